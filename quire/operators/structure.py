@@ -183,30 +183,31 @@ def _blank(df: DataFrame, hit: Column) -> DataFrame:
     return _set(df, [(hit, "unknown", 0.95)])
 
 
+def _keyword_rules() -> list:
+    line = c.is_paragraph & c.has_text
+    open_role = c.role.isin("unknown", "abstract_body")
+    return [
+        (line & P.is_keyword_line("text"), "keywords", 0.85),
+        (line & open_role & P.is_pipe_list("text"), "keywords", 0.60),
+    ]
+
+
 def keyword_lines(elements: DataFrame) -> DataFrame:
     """O-D10: keyword lines, labelled or as a pipe list."""
-    open_role = c.role.isin("unknown", "abstract_body")
-    out = _set(
-        _with_text(elements),
-        [
-            (c.is_paragraph & c.has_text & P.is_keyword_line("text"), "keywords", 0.85),
-            (c.is_paragraph & c.has_text & open_role & P.is_pipe_list("text"), "keywords", 0.60),
-        ],
-    )
-    return out.select(*elements.columns)
+    return _set(_with_text(elements), _keyword_rules()).select(*elements.columns)
+
+
+def _caption_rules() -> list:
+    candidate = c.is_paragraph & c.role.isin("unknown", "body") & c.has_text
+    return [
+        (candidate & P.is_figure_caption("text"), "figure_caption", 0.85),
+        (candidate & P.is_table_caption("text"), "table_caption", 0.85),
+    ]
 
 
 def caption_lines(elements: DataFrame) -> DataFrame:
     """O-D11: figure and table captions."""
-    candidate = c.is_paragraph & c.role.isin("unknown", "body") & c.has_text
-    out = _set(
-        _with_text(elements),
-        [
-            (candidate & P.is_figure_caption("text"), "figure_caption", 0.85),
-            (candidate & P.is_table_caption("text"), "table_caption", 0.85),
-        ],
-    )
-    return out.select(*elements.columns)
+    return _set(_with_text(elements), _caption_rules()).select(*elements.columns)
 
 
 # --- passes along the document ------------------------------------------------------
@@ -353,8 +354,9 @@ def _artifact_pass(df, scan):
         & (F.col("_last_stop").isNull() | (F.col("_last_stop") < F.col("_last_hit")))
     )
     gone = F.coalesce(F.col("_hit") | zone, F.lit(False))
-    df = _blank(df.withColumn("_gone", gone), F.col("_gone"))
-    return df.withColumn("text", F.when(F.col("_gone"), "").otherwise(c.text)).select(*cols)
+    df = _set(df.withColumn("_now", gone), [(F.col("_now"), "unknown", 0.95)])
+    text = F.when(F.col("_now"), "").otherwise(c.text)
+    return df.withColumns({"text": text, "_gone": F.col("_now")}).select(*cols)
 
 
 def _front_matter_pass(df, scan):
@@ -395,53 +397,66 @@ def _fill_pass(df, scan):
     ).select(*cols)
 
 
-def _operator(*passes, doc):
-    def op(elements: DataFrame, max_rows: int | None = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
-        def chained(df, scan):
-            return reduce(lambda d, p: p(d, scan), passes, df)
+def _pack(elements: DataFrame) -> DataFrame:
+    """What the passes read, and one struct with everything they only carry along."""
+    df = _with_text(elements)
+    rest = [x for x in elements.columns if x not in _READ]
+    return df.select(*_READ, "text", F.lit(False).alias("_gone"), F.struct(*rest).alias("_rest"))
+
+
+def _unpack(df: DataFrame, columns: list[str]) -> DataFrame:
+    content = F.when(F.col("_gone"), "").otherwise(F.col("_rest.content")).alias("content")
+    return df.select(
+        *[content if x == "content" else F.col(x if x in _READ else f"_rest.{x}").alias(x) for x in columns]
+    )
+
 
-        return over_documents(_with_text(elements), chained, max_rows).select(*elements.columns)
+_READ = ("doc_id", "idx", "type", "role", "confidence")
 
-    op.__doc__ = doc
+
+def _run(elements: DataFrame, passes, max_rows: int | None) -> DataFrame:
+    def chained(df, scan):
+        return reduce(lambda d, p: p(d, scan), passes, df)
+
+    return _unpack(over_documents(_pack(elements), chained, max_rows), elements.columns)
+
+
+def _operator(ordered_pass):
+    def op(elements: DataFrame, max_rows: int | None = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+        return _run(elements, [ordered_pass], max_rows)
+
+    op.__doc__ = ordered_pass.__doc__
     return op
 
 
-reference_section = _operator(_reference_pass, doc=_reference_pass.__doc__)
-title_detection = _operator(_title_pass, doc=_title_pass.__doc__)
-author_affiliation = _operator(_author_pass, doc=_author_pass.__doc__)
-abstract_detection = _operator(_abstract_pass, doc=_abstract_pass.__doc__)
-suppress_zone = _operator(_artifact_pass, doc=_artifact_pass.__doc__)
-extend_front_matter = _operator(_front_matter_pass, doc=_front_matter_pass.__doc__)
-fill_remaining = _operator(_fill_pass, doc=_fill_pass.__doc__)
+reference_section = _operator(_reference_pass)
+title_detection = _operator(_title_pass)
+author_affiliation = _operator(_author_pass)
+abstract_detection = _operator(_abstract_pass)
+suppress_zone = _operator(_artifact_pass)
+extend_front_matter = _operator(_front_matter_pass)
+fill_remaining = _operator(_fill_pass)
 
 
 def detect_structure(elements: DataFrame, max_rows: int | None = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
     """O-D16: all passes in order; one exchange on ``doc_id`` for ordinary documents."""
     labelled = role_from_keyword(role_from_style(clean_content(elements)))
 
-    def passes(df, scan):
-        for step in (_reference_pass, _title_pass, _author_pass, _abstract_pass, _artifact_pass):
-            df = step(df, scan)
-        # Both line rules read the text as it is after suppression.
-        open_role = c.role.isin("unknown", "abstract_body")
-        df = _set(
-            df,
-            [
-                (c.is_paragraph & c.has_text & P.is_keyword_line("text"), "keywords", 0.85),
-                (c.is_paragraph & c.has_text & open_role & P.is_pipe_list("text"), "keywords", 0.60),
-            ],
-        )
-        candidate = c.is_paragraph & c.role.isin("unknown", "body") & c.has_text
-        df = _set(
-            df,
-            [
-                (candidate & P.is_figure_caption("text"), "figure_caption", 0.85),
-                (candidate & P.is_table_caption("text"), "table_caption", 0.85),
-            ],
-        )
-        return _fill_pass(_front_matter_pass(df, scan), scan)
-
-    return over_documents(_with_text(labelled), passes, max_rows).select(*elements.columns)
+    def line_rules(df, scan):
+        # Both read the text as it is after suppression.
+        return _set(_set(df, _keyword_rules()), _caption_rules())
+
+    passes = [
+        _reference_pass,
+        _title_pass,
+        _author_pass,
+        _abstract_pass,
+        _artifact_pass,
+        line_rules,
+        _front_matter_pass,
+        _fill_pass,
+    ]
+    return _run(labelled, passes, max_rows)
 
 
 # --- review, corrections, summaries -------------------------------------------------
