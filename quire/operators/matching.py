@@ -19,6 +19,10 @@ FUZZY_THRESHOLD = 85
 # share of their joint length (ratios round half to even, so 84.5 is not enough).
 _EDIT_SHARE = 0.155
 
+# Texts of the two format issues.
+USE_AMPERSAND = 'Should use "&" instead of "and" in parenthetical citation (APA 7 §8.21)'
+USE_AND = 'Should use "and" instead of "&" in narrative citation (APA 7 §8.21)'
+
 KEY = ["doc_id", "author", "year"]
 CIT = ["doc_id", "idx", "cit_no"]
 
@@ -236,7 +240,7 @@ def format_issues(citations: DataFrame, style_specs: DataFrame) -> DataFrame:
     wants_word = (
         F.col("word") & (kind == "narrative") & text.contains(" & ") & ~F.lower(text).contains(" and ")
     )
-    issue = F.when(wants_amp, "use & in parenthetical").when(wants_word, "use and in narrative")
+    issue = F.when(wants_amp, USE_AMPERSAND).when(wants_word, USE_AND)
     joined = odd.join(F.broadcast(rules), wants_amp | wants_word)
     return joined.select("style_id", *CIT, "text", issue.alias("issue"))
 
