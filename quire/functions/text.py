@@ -8,7 +8,7 @@ from quire.functions.base import SPACE_RUN, SPACES, WORD, raw, sql_function, str
 _INVISIBLE_CODES = (
     "200b 200c 200d 200e 200f feff 00ad 2028 2029 034f 061c 180e fff9 fffa fffb"
 )
-INVISIBLE = "[" + "".join(f"\\u{c}" for c in _INVISIBLE_CODES.split()) + "]"
+INVISIBLE = "'" + "".join(f"\\u{c}" for c in _INVISIBLE_CODES.split()) + "'"
 
 # Minor words of the two title-case rules.
 APA_MINOR_WORDS = (
@@ -27,7 +27,8 @@ def _in(word: str, choices: list[str]) -> str:
 
 
 def capitalise(w: str) -> str:
-    return f"concat(upper(left({w}, 1)), lower(substr({w}, 2)))"
+    # A sharp s opens a word as "Ss".
+    return f"concat(replace(upper(left({w}, 1)), 'SS', 'Ss'), lower(substr({w}, 2)))"
 
 
 def all_caps(w: str) -> str:
@@ -37,7 +38,7 @@ def all_caps(w: str) -> str:
 @sql_function("s STRING", "STRING")
 def strip_invisible(s):
     """Delete zero-width and format characters."""
-    return f"regexp_replace({s}, {raw(INVISIBLE)}, '')"
+    return f"translate({s}, {INVISIBLE}, '')"
 
 
 @sql_function("s STRING", "STRING")

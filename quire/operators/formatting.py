@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.base import strip
 from quire.functions.text import strip_heading_number, text_case
-from quire.ordering import MAX_ROWS_PER_DOCUMENT, latest, over_documents, reindex, total
+from quire.ordering import MAX_ROWS_PER_DOCUMENT, Limit, latest, over_documents, reindex, total
 from quire.schemas import HEADING_ROLES, ROLES
 
 ALIGNMENTS = ("left", "center", "right", "justify")
@@ -247,7 +247,7 @@ def _level() -> Column:
     return F.substring("role", 9, 1).cast("int")
 
 
-def number_headings(elements: DataFrame, max_rows: int | None = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+def number_headings(elements: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
     """O-F4: ``prefix`` of every heading that gets a number: ``I.``, ``A.``, ``1)``."""
     clean = strip_heading_number.sql(strip("content"))
     label = F.expr(f"lower({strip_heading_number.sql(clean)})")
@@ -295,7 +295,7 @@ def number_headings(elements: DataFrame, max_rows: int | None = MAX_ROWS_PER_DOC
 
 
 def heading_text(
-    elements: DataFrame, specs: DataFrame, max_rows: int | None = MAX_ROWS_PER_DOCUMENT
+    elements: DataFrame, specs: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT
 ) -> DataFrame:
     """O-F5: heading text under each style: old number off, case set, new number on."""
     from quire.operators.styles import heading_specs
@@ -338,7 +338,7 @@ def _body_start(elements: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def insert_missing_labels(
-    elements: DataFrame, specs: DataFrame, style_id: str, max_rows: int | None = MAX_ROWS_PER_DOCUMENT
+    elements: DataFrame, specs: DataFrame, style_id: str, max_rows: Limit = MAX_ROWS_PER_DOCUMENT
 ) -> DataFrame:
     """O-F6: an abstract or reference label row in front of its first row, where none exists."""
     marks = _document_marks(elements)
@@ -528,7 +528,7 @@ def _changes(df: DataFrame, category, description, rule, idx="idx", old=None, ne
 
 
 def format_changes(
-    elements: DataFrame, specs: DataFrame, max_rows: int | None = MAX_ROWS_PER_DOCUMENT
+    elements: DataFrame, specs: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT
 ) -> DataFrame:
     """O-F11: what formatting changes: rows for single paragraphs, one summary row for body and
     references, and the document-wide settings."""
@@ -689,7 +689,7 @@ def font_violations(elements: DataFrame, specs: DataFrame) -> DataFrame:
 
 
 def replace_reference_text(
-    elements: DataFrame, bibliography: DataFrame, max_rows: int | None = MAX_ROWS_PER_DOCUMENT
+    elements: DataFrame, bibliography: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT
 ) -> DataFrame:
     """O-F13: the nth reference entry takes the nth formatted text ``(doc_id, n, text)``, if not blank."""
 

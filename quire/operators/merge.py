@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import predicates as P
 from quire.functions.base import SPACES, strip
-from quire.ordering import MAX_ROWS_PER_DOCUMENT, latest, over_documents, reindex, total
+from quire.ordering import MAX_ROWS_PER_DOCUMENT, Limit, latest, long_documents, over_documents, reindex, total
 
 # Roles whose consecutive lines may belong together, and thresholds.
 MERGEABLE = ("body", "abstract_body", "title", "author_info", "keywords", "reference_entry", "figure_caption")
@@ -20,24 +20,32 @@ def _lines(elements: DataFrame) -> DataFrame:
     return elements.filter(F.col("type") == "paragraph").withColumn("line", F.expr(strip("content")))
 
 
+def _statistics() -> dict[str, Column]:
+    n = F.when(F.col("line") != "", F.length("line"))
+    return {
+        "n_lines": F.count(n),
+        "median_length": F.percentile(n, F.lit(0.5)),
+        "n_short": F.count_if(n < SHORT_LINE),
+        "median": F.percentile(F.when(n > 10, n), F.lit(0.5)),
+    }
+
+
+def _is_fragmented() -> Column:
+    short = F.col("n_short") / F.col("n_lines") > SHORT_SHARE
+    enough = F.col("n_lines") >= MIN_LINES
+    return F.coalesce(enough & short & (F.col("median_length") < MEDIAN_LIMIT), F.lit(False))
+
+
 def is_fragmented(elements: DataFrame) -> DataFrame:
     """O-M1: per document, whether most non-blank paragraphs are short lines."""
-    n = F.length("line")
-    stats = _lines(elements).filter("line <> ''").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.percentile(n, F.lit(0.5)).alias("median_length"),
-        F.count_if(n < SHORT_LINE).alias("n_short"),
-    )
-    short = F.col("n_short") / F.col("n_lines") > SHORT_SHARE
-    flag = (F.col("n_lines") >= MIN_LINES) & short & (F.col("median_length") < MEDIAN_LIMIT)
-    return stats.withColumn("fragmented", flag)
+    aggs = [a.alias(n) for n, a in _statistics().items() if n != "median"]
+    return _lines(elements).groupBy("doc_id").agg(*aggs).withColumn("fragmented", _is_fragmented())
 
 
 def median_line_length(elements: DataFrame) -> DataFrame:
     """O-M2: median length of lines longer than 10, 65 where there are none."""
-    n = F.length("line")
     return _lines(elements).groupBy("doc_id").agg(
-        F.coalesce(F.percentile(F.when(n > 10, n), F.lit(0.5)), F.lit(DEFAULT_MEDIAN)).alias("median")
+        F.coalesce(_statistics()["median"], F.lit(DEFAULT_MEDIAN)).alias("median")
     )
 
 
@@ -62,15 +70,18 @@ def should_merge(prev: str, cur: str, role: str, median: str) -> Column:
     )
 
 
-def merge_groups(elements: DataFrame, max_rows: int | None = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+def merge_groups(
+    elements: DataFrame, force: bool = True, max_rows: Limit = MAX_ROWS_PER_DOCUMENT
+) -> DataFrame:
     """O-M3: paragraphs with ``grp``; rows of one document with the same ``grp`` belong together.
 
     ``grp`` is null on rows that never merge; ``starts`` marks the first row of a group.
+    With ``force=False`` only fragmented documents have groups.
     """
-    lines = _lines(elements).join(median_line_length(elements), "doc_id")
     keep, text = F.col("role").isin(*MERGEABLE), F.col("line")
 
     def group(df, scan):
+        df = scan.grouped(df, **_statistics()).fillna(DEFAULT_MEDIAN, ["median"])
         member = keep & (text != "")
         # A blank row of a mergeable role is transparent inside body text only.
         breaks = ~keep
@@ -91,9 +102,10 @@ def merge_groups(elements: DataFrame, max_rows: int | None = MAX_ROWS_PER_DOCUME
         )
         starts = member & ~F.coalesce(joins, F.lit(False))
         df = scan.running(df.withColumn("_starts", starts), _grp=total(starts.cast("int")))
-        return df.withColumns({"grp": F.when(member, F.col("_grp")), "starts": F.col("_starts")})
+        merges = member if force else member & _is_fragmented()
+        return df.withColumns({"grp": F.when(merges, F.col("_grp")), "starts": F.col("_starts")})
 
-    out = over_documents(lines, group, max_rows)
+    out = over_documents(_lines(elements), group, max_rows)
     return out.select(*elements.columns, "line", "grp", "starts")
 
 
@@ -117,28 +129,31 @@ def _chop(s: Column) -> Column:
     return F.substring(s, F.lit(1), F.length(s) - 1)
 
 
-def apply_merge(elements: DataFrame, groups: DataFrame) -> DataFrame:
+def apply_merge(groups: DataFrame) -> DataFrame:
     """O-M6: the first row of each group takes the joined text; the others are removed.
 
-    The text is joined in two steps, first within stretches of 1,000 rows, so that a very
-    long paragraph is not gathered line by line in one task.
+    ``groups`` is the result of ``merge_groups``.  The text is joined in two steps, first
+    within stretches of 1,000 rows, so that a very long paragraph is not gathered line by
+    line in one task.
     """
-    stretch = F.floor(F.col("idx") / 1000).alias("stretch")
+    columns = [c for c in groups.columns if c not in ("line", "grp", "starts")]
+    # Rows outside any group are groups of their own.
+    key = F.coalesce(F.col("grp"), -(F.col("idx") + 1)).alias("_key")
+    stretch = F.floor(F.col("idx") / 1000).alias("_stretch")
     ordered = F.array_sort(F.collect_list(F.struct("idx", "line")))
-    pieces = groups.filter("grp is not null").groupBy("doc_id", "grp", stretch).agg(
-        F.count(F.lit(1)).alias("n"),
-        join_fragments(F.transform(ordered, lambda r: r["line"])).alias("text"),
+    pieces = groups.groupBy("doc_id", key, stretch).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min_by(F.struct(*columns), "idx").alias("_head"),
+        join_fragments(F.transform(ordered, lambda r: r["line"])).alias("_text"),
     )
-    ordered = F.array_sort(F.collect_list(F.struct("stretch", "text")))
-    merged = pieces.groupBy("doc_id", "grp").agg(
-        F.sum("n").alias("_n"),
-        join_fragments(F.transform(ordered, lambda r: r["text"])).alias("_joined"),
+    ordered = F.array_sort(F.collect_list(F.struct("_stretch", "_text")))
+    merged = pieces.groupBy("doc_id", "_key").agg(
+        F.sum("_n").alias("_n"),
+        F.min_by("_head", "_stretch").alias("_head"),
+        join_fragments(F.transform(ordered, lambda r: r["_text"])).alias("_text"),
     )
-    kept = groups.filter(F.col("grp").isNull() | F.col("starts"))
-    kept = kept.join(merged.filter("_n > 1"), ["doc_id", "grp"], "left")
-    content = F.coalesce("_joined", "content").alias("content")
-    paragraphs = kept.select(*[content if x == "content" else x for x in elements.columns])
-    return paragraphs.unionByName(elements.filter(F.col("type") != "paragraph"))
+    content = F.when(F.col("_n") > 1, F.col("_text")).otherwise(F.col("_head.content")).alias("content")
+    return merged.select(*[content if c == "content" else F.col(f"_head.{c}") for c in columns])
 
 
 def merge_citations(citations: DataFrame, groups: DataFrame) -> DataFrame:
@@ -151,13 +166,8 @@ def merge_citations(citations: DataFrame, groups: DataFrame) -> DataFrame:
     return moved.select(*[idx if x == "idx" else x for x in citations.columns])
 
 
-def merge(
-    elements: DataFrame, force: bool = False, max_rows: int | None = MAX_ROWS_PER_DOCUMENT
-) -> DataFrame:
+def merge(elements: DataFrame, force: bool = False, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
     """Fragmented documents (or all, with ``force``) merged and renumbered densely."""
-    groups = merge_groups(elements, max_rows)
-    if not force:
-        flags = is_fragmented(elements).select("doc_id", "fragmented")
-        grp = F.when(F.col("fragmented"), F.col("grp"))
-        groups = groups.join(flags, "doc_id", "left").withColumn("grp", grp).drop("fragmented")
-    return reindex(apply_merge(elements, groups), max_rows)
+    limit = long_documents(elements, max_rows)
+    merged = apply_merge(merge_groups(elements, force, limit))
+    return reindex(merged.unionByName(elements.filter(F.col("type") != "paragraph")), limit)

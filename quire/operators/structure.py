@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import predicates as P
 from quire.functions.base import strip
 from quire.functions.text import strip_invisible, word_count
-from quire.ordering import MAX_ROWS_PER_DOCUMENT, greatest, latest, least, over_documents, total
+from quire.ordering import MAX_ROWS_PER_DOCUMENT, Limit, greatest, latest, least, over_documents, total
 from quire.schemas import HEADING_ROLES, ROLES, SECTION_ROLES
 
 # Section names and the role each stands for.
@@ -130,8 +130,13 @@ def section_keywords(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "keyword string, keyword_role string")
 
 
+_LONGEST_NAME = max(len(k) for ks in SECTION_KEYWORDS.values() for k in ks)
+
+
 def _keyword_key() -> Column:
-    return F.expr("rtrim('.', lower(text))")
+    """The text as it would stand in the dictionary; null if too long to be there."""
+    bare = "rtrim('.', text)"
+    return F.expr(f"if(length({bare}) <= {_LONGEST_NAME}, lower({bare}), null)")
 
 
 # --- row-local passes ---------------------------------------------------------------
@@ -163,8 +168,8 @@ def role_from_keyword(elements: DataFrame) -> DataFrame:
     """O-D2: section names standing alone, by a lookup in a fixed 46-row dictionary."""
     df = _with_text(elements).withColumn("keyword", _keyword_key())
     df = df.join(F.broadcast(section_keywords(df.sparkSession)), "keyword", "left")
-    short = word_count("text") <= 8
-    out = _set(df, [(c.eligible & short & F.col("keyword_role").isNotNull(), F.col("keyword_role"), 0.85)])
+    named = F.col("keyword_role").isNotNull() & c.eligible & (word_count("text") <= 8)
+    out = _set(df, [(named, F.col("keyword_role"), 0.85)])
     return out.select(*elements.columns)
 
 
@@ -220,13 +225,14 @@ def _reference_pass(df, scan):
     key = _keyword_key()
     names = [k for ks in SECTION_KEYWORDS.values() for k in ks]
     cols = df.columns
-    df = df.withColumns({"_num": numbered, "_key": key})
+    is_name, is_label = F.coalesce(key.isin(*names), F.lit(False)), F.coalesce(key.isin(*REFERENCE_LABELS), F.lit(False))
+    df = df.withColumns({"_num": numbered, "_name": is_name, "_label_text": is_label})
     num = F.col("_num")
 
     df = scan.running(
         df,
         _line_no=total(F.when(line, 1).otherwise(0)),
-        _names=total(F.when(line & ~num & F.col("_key").isin(*names), 1).otherwise(0)),
+        _names=total(F.when(c.is_paragraph & ~num & F.col("_name"), 1).otherwise(0)),
     )
     df = scan.before(df, _prev=latest(F.when(num, F.struct("_line_no", "_names"))))
     # A numbered line starts a new block if too many other lines, or a section name,
@@ -247,7 +253,7 @@ def _reference_pass(df, scan):
     df = scan.whole(
         df,
         _entries=total(F.when(num & (c.idx >= F.col("_first")), 1).otherwise(0)),
-        _near=least(F.when(near & F.col("_key").isin(*REFERENCE_LABELS), c.idx)),
+        _near=least(F.when(near & F.col("_label_text"), c.idx)),
     )
     found = F.col("_entries") >= 3
     df = _set(df, [(found & (c.idx == F.col("_near")), "reference_label", 0.80)])
@@ -414,7 +420,7 @@ def _unpack(df: DataFrame, columns: list[str]) -> DataFrame:
 _READ = ("doc_id", "idx", "type", "role", "confidence")
 
 
-def _run(elements: DataFrame, passes, max_rows: int | None) -> DataFrame:
+def _run(elements: DataFrame, passes, max_rows: Limit) -> DataFrame:
     def chained(df, scan):
         return reduce(lambda d, p: p(d, scan), passes, df)
 
@@ -422,7 +428,7 @@ def _run(elements: DataFrame, passes, max_rows: int | None) -> DataFrame:
 
 
 def _operator(ordered_pass):
-    def op(elements: DataFrame, max_rows: int | None = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+    def op(elements: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
         return _run(elements, [ordered_pass], max_rows)
 
     op.__doc__ = ordered_pass.__doc__
@@ -438,7 +444,7 @@ extend_front_matter = _operator(_front_matter_pass)
 fill_remaining = _operator(_fill_pass)
 
 
-def detect_structure(elements: DataFrame, max_rows: int | None = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+def detect_structure(elements: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
     """O-D16: all passes in order; one exchange on ``doc_id`` for ordinary documents."""
     labelled = role_from_keyword(role_from_style(clean_content(elements)))
 
@@ -463,35 +469,41 @@ def detect_structure(elements: DataFrame, max_rows: int | None = MAX_ROWS_PER_DO
 
 
 def review_candidates(
-    elements: DataFrame, front: int = 40, scattered: int = 30, leftovers: int = 20
+    elements: DataFrame,
+    front: int = 40,
+    scattered: int = 30,
+    leftovers: int = 20,
+    max_rows: Limit = MAX_ROWS_PER_DOCUMENT,
 ) -> DataFrame:
     """O-D14: the rows worth a second look, per document, with a 150-character preview.
 
     Batches are ``front`` (the first rows), ``low_confidence`` (further uncertain rows)
-    and ``unknown`` (rows without a role).  The ranks are limited per partition before
-    the shuffle, so a long document sends only its first rows.
+    and ``unknown`` (rows without a role).
     """
     lines = _with_text(elements).filter(c.is_paragraph & c.has_text)
-    w = Window.partitionBy("doc_id").orderBy("idx")
-    enough = lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 10").select("doc_id")
-    keep = ["doc_id", "idx", "role", "confidence", F.substring("text", 1, 150).alias("preview")]
-    top = lines.select(*keep).withColumn("seq", F.row_number().over(w)).filter(F.col("seq") <= front)
-    bound = top.groupBy("doc_id").agg(F.max("idx").alias("last"), F.max("seq").alias("n"))
-    bound = bound.filter(F.col("n") == front).select("doc_id", "last")
-    weak = lines.filter((c.conf < 0.40) & c.role.isin("body", "unknown")).select(*keep)
-    weak = weak.join(bound, "doc_id").filter(c.idx > F.col("last")).drop("last")
-    weak = weak.withColumn("seq", F.row_number().over(w)).filter(F.col("seq") <= scattered)
-    left = lines.filter(c.unknown).select(*keep)
-    left = left.withColumn("seq", F.row_number().over(w)).filter(F.col("seq") <= leftovers)
-    batches = [
-        top.join(enough, "doc_id", "left_semi").withColumn("batch", F.lit("front")),
-        weak.join(enough, "doc_id", "left_semi").withColumn("batch", F.lit("low_confidence")),
-        left.withColumn("batch", F.lit("unknown")),
-    ]
-    out = reduce(DataFrame.unionByName, batches)
-    return out.withColumn("seq", F.col("seq") - 1).select(
-        "doc_id", "batch", "seq", "idx", "role", "confidence", "preview"
+    rows = lines.select("doc_id", "idx", "role", "confidence", F.substring("text", 1, 150).alias("preview"))
+
+    def rank(df, scan):
+        df = scan.running(df, _nth=total(F.lit(1)), _unknown=total(c.unknown.cast("int")))
+        weak = (F.col("_nth") > front) & (c.conf < 0.40) & c.role.isin("body", "unknown")
+        df = scan.running(df.withColumn("_weak", weak), _low=total(F.col("_weak").cast("int")))
+        return scan.whole(df, _lines=total(F.lit(1)))
+
+    enough = F.col("_lines") >= 10
+
+    def batch(name: str, applies: Column, seq: str) -> Column:
+        return F.when(applies, F.struct(F.lit(name).alias("batch"), (F.col(seq) - 1).alias("seq")))
+
+    batches = F.array(
+        batch("front", enough & (F.col("_nth") <= front), "_nth"),
+        batch("low_confidence", enough & F.col("_weak") & (F.col("_low") <= scattered), "_low"),
+        batch("unknown", c.unknown & (F.col("_unknown") <= leftovers), "_unknown"),
+    )
+    ranked = over_documents(rows, rank, max_rows)
+    chosen = ranked.select(
+        "doc_id", "idx", "role", "confidence", "preview", F.inline(F.filter(batches, lambda b: b.isNotNull()))
     )
+    return chosen.select("doc_id", "batch", "seq", "idx", "role", "confidence", "preview")
 
 
 def review_context(elements: DataFrame, candidates: DataFrame, reach: int = 2) -> DataFrame:

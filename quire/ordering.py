@@ -51,9 +51,6 @@ _PLAIN = {"min": F.min, "max": F.max, "sum": F.sum}
 class WindowScan:
     """Every document is one window partition."""
 
-    def prepare(self, df: DataFrame) -> DataFrame:
-        return df
-
     def _w(self):
         return Window.partitionBy(DOC).orderBy(IDX)
 
@@ -78,15 +75,18 @@ class WindowScan:
         return self._apply(df, self._w().rowsBetween(Window.unboundedPreceding, -1), aggs)
 
 
+    def grouped(self, df: DataFrame, **aggs: Column) -> DataFrame:
+        """Any aggregate functions over the whole document."""
+        frame = self._w().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return df.withColumns({name: agg.over(frame) for name, agg in aggs.items()})
+
+
 class BlockScan:
     """Documents are cut into blocks of rows; only block summaries meet."""
 
     def __init__(self, block_rows: int = BLOCK_ROWS):
         self.block_rows = block_rows
 
-    def prepare(self, df: DataFrame) -> DataFrame:
-        return df
-
     def _blocked(self, df: DataFrame) -> DataFrame:
         # The rows are read twice (summary and join), so the lineage is cut first.
         return checkpoint(df).withColumn("_block", F.floor(F.col(IDX) / self.block_rows).cast("long"))
@@ -116,6 +116,10 @@ class BlockScan:
         )
         return rows.join(carry, [DOC, "_block"]).drop("_block")
 
+    def grouped(self, df: DataFrame, **aggs: Column) -> DataFrame:
+        rows = checkpoint(df)
+        return rows.join(rows.groupBy(DOC).agg(*[a.alias(n) for n, a in aggs.items()]), DOC)
+
     def running(self, df: DataFrame, **aggs: Agg) -> DataFrame:
         return self._prefix(df, aggs, 0)
 
@@ -167,29 +171,40 @@ def checkpoint(df: DataFrame) -> DataFrame:
 Pass = Callable[[DataFrame, "WindowScan | BlockScan"], DataFrame]
 
 
+# How a caller bounds documents: a row limit to check now, None if every document is known
+# to fit one task, or the table of long documents that an earlier check found.
+Limit = int | None | DataFrame
+
+
+def long_documents(rows: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame | None:
+    """Documents of more than ``max_rows`` rows, or None if there are none.
+
+    Row counts are pre-aggregated before they are shuffled.  A job that runs several
+    ordered passes checks its source once and hands the answer on.
+    """
+    if max_rows is None or isinstance(max_rows, DataFrame):
+        return max_rows
+    counts = rows.groupBy(DOC).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.filter(F.col("n") > max_rows).select(DOC)
+    return None if found.isEmpty() else found
+
+
 def over_documents(
     elements: DataFrame,
     ordered_pass: Pass,
-    max_rows: int | None = MAX_ROWS_PER_DOCUMENT,
+    max_rows: Limit = MAX_ROWS_PER_DOCUMENT,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Run ``ordered_pass`` over every document, long ones block by block.
-
-    Row counts are pre-aggregated before they are shuffled.  ``max_rows=None``
-    states that the caller knows every document fits in one task (for example
-    because each was exploded from a single text cell) and skips the count.
-    """
-    if max_rows is None:
-        return ordered_pass(elements, WindowScan())
-    long_docs = elements.groupBy(DOC).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_rows).select(DOC)
-    if long_docs.isEmpty():
+    """Run ``ordered_pass`` over every document, long ones block by block."""
+    long_docs = long_documents(elements, max_rows)
+    if long_docs is None:
         return ordered_pass(elements, WindowScan())
     short = ordered_pass(elements.join(long_docs, DOC, "left_anti"), WindowScan())
     long = ordered_pass(elements.join(long_docs, DOC, "left_semi"), BlockScan(block_rows))
     return short.unionByName(long)
 
 
-def reindex(elements: DataFrame, max_rows: int | None = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+def reindex(elements: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
     """Renumber ``idx`` densely from 0 within each document (O-M7)."""
 
     def number(df, scan):

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.operators.structure import detect_structure
 from quire.sources.text import from_lines
 
 SURNAMES = """select * from (values (0,'Smith','J.'),(1,'Jones','A. B.'),(2,'Nataro','K.'),(3,'Zhang','Y.'),
@@ -130,7 +129,3 @@ def manuscript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manuscript_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_lines(manuscript_lines(spark, sf_dir))
-
-
-def labelled_manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect_structure(manuscript_elements(spark, sf_dir))

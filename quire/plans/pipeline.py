@@ -11,12 +11,12 @@ from quire.operators.formatting import format_changes, target_format
 from quire.operators.matching import citation_report, match_citations
 from quire.operators.merge import merge
 from quire.operators.structure import detect_structure, structure_summary_map
-from quire.ordering import MAX_ROWS_PER_DOCUMENT
+from quire.ordering import MAX_ROWS_PER_DOCUMENT, Limit, checkpoint, long_documents
 
 
 @dataclass(frozen=True)
 class Analysis:
-    """Result tables of one run; all lazy."""
+    """Result tables of one run."""
 
     elements: DataFrame
     merged: DataFrame
@@ -30,18 +30,19 @@ class Analysis:
 
 
 def analyse(
-    elements: DataFrame, specs: DataFrame, fuzzy: str = "ratio", max_rows: int | None = MAX_ROWS_PER_DOCUMENT
+    elements: DataFrame, specs: DataFrame, fuzzy: str = "ratio", max_rows: Limit = MAX_ROWS_PER_DOCUMENT
 ) -> Analysis:
     """Label, extract, reconcile and plan, for every document and every style in ``specs``.
 
-    Several tables read the labelled elements; callers that use more than one may persist
-    ``elements`` of the result first, or write them out and start from there.
+    Tables that several results read - labelled elements, citations, references - are
+    computed once and kept in the checkpoint folder.
     """
-    labelled = detect_structure(elements, max_rows)
-    citations = extract_citations(labelled)
-    references = primary_references(references_of(labelled, max_rows))
+    limit = long_documents(elements, max_rows)
+    labelled = checkpoint(detect_structure(elements, limit))
+    citations = checkpoint(extract_citations(labelled))
+    references = checkpoint(primary_references(references_of(labelled, limit)))
     documents = labelled.select("doc_id").distinct()
-    merged = merge(labelled, max_rows=max_rows)
+    merged = merge(labelled, max_rows=limit)
     return Analysis(
         elements=labelled,
         merged=merged,
@@ -51,5 +52,5 @@ def analyse(
         matches=match_citations(citations, references, fuzzy),
         report=citation_report(documents, citations, references, specs, fuzzy),
         plan=target_format(merged, specs),
-        changes=format_changes(merged, specs, max_rows),
+        changes=format_changes(merged, specs, limit),
     )

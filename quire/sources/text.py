@@ -9,8 +9,14 @@ from pyspark.sql import types as T
 from quire.schemas import CELL, PARAGRAPH_FORMAT, RUN
 
 
-def read_text_manuscripts(documents: DataFrame, text: str = "text") -> DataFrame:
-    """One element per line of ``documents(doc_id, text)``, in document order."""
+def read_text_manuscripts(documents: DataFrame, text: str = "text", by_document: bool = False) -> DataFrame:
+    """One element per line of ``documents(doc_id, text)``, in document order.
+
+    ``by_document`` moves the whole texts to their document's partition before they are
+    split into lines; ordered passes that follow then need no exchange of their own.
+    """
+    if by_document:
+        documents = documents.select("doc_id", text).repartition("doc_id")
     lines = documents.select("doc_id", F.posexplode(F.split(text, "\n", -1)).alias("idx", "content"))
     return from_lines(lines)
 

@@ -23,7 +23,7 @@ def incremental_pipeline(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         first = batch.dropDuplicates(["doc_id"])
-        labelled = detect_structure(read_text_manuscripts(first))
+        labelled = detect_structure(read_text_manuscripts(first, by_document=True))
         labelled.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 
     writer = documents.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
