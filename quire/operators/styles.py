@@ -10,6 +10,7 @@ from quire.sources.styles import FALLBACK_STYLE, SECTIONS, leaf_paths, with_defa
 
 __all__ = [
     "compare_specs",
+    "compare_styles",
     "deep_merge",
     "flatten_specs",
     "heading_level_spec",
@@ -111,12 +112,22 @@ def recover_sections(documents: DataFrame, column: str = "json") -> DataFrame:
     return with_defaults(flags.select(*built))
 
 
-def compare_specs(specs: DataFrame, a: str, b: str) -> DataFrame:
-    """O-Y4: ``(path, a, b)`` where two styles differ."""
+def _differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    a = left.select(*keys, F.col("value").alias("a"))
+    b = right.select(*keys, F.col("value").alias("b"))
+    return a.join(b, keys, "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
+
+
+def compare_specs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """O-Y4: ``(style_id, path, a, b)`` where two sets of specifications differ."""
+    return _differences(flatten_specs(left), flatten_specs(right), ["style_id", "path"])
+
+
+def compare_styles(specs: DataFrame, a: str, b: str) -> DataFrame:
+    """O-Y4 for two styles of one set: ``(path, a, b)``."""
     leaves = flatten_specs(specs)
-    left = leaves.filter(F.col("style_id") == a).select("path", F.col("value").alias("a"))
-    right = leaves.filter(F.col("style_id") == b).select("path", F.col("value").alias("b"))
-    return left.join(right, "path", "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
+    left, right = (leaves.filter(F.col("style_id") == s) for s in (a, b))
+    return _differences(left, right, ["path"])
 
 
 def resolve_style(requests: DataFrame, interpreted: DataFrame, specs: DataFrame) -> DataFrame:
