@@ -73,31 +73,30 @@ def truncate_text(s, n="50"):
     return f"if(length({s}) <= {n}, {s}, concat(left({s}, {n} - 3), '...'))"
 
 
+def _cased(s: str, inner: str, last: str) -> str:
+    """Words joined after ``inner`` (over w, i) on all but the last and ``last`` (over w) on it."""
+    tokens = words(s)
+    head = f"slice({tokens}, 1, greatest(size({tokens}) - 1, 0))"
+    tail = f"slice({tokens}, greatest(size({tokens}), 1), 1)"
+    return f"array_join(concat(transform({head}, (w, i) -> {inner}), transform({tail}, w -> {last})), ' ')"
+
+
 @sql_function("s STRING", "STRING")
 def apa_title_case(s):
     """Title case with minor words lowered unless first or last."""
-    tokens = words(s)
-    bare = "lower(btrim(w, '.:;,!?()'))"
-    minor = f"i > 0 and i < regexp_count({s}, {raw(WORD)}) - 1 and {_in(bare, APA_MINOR_WORDS)}"
-    return (
-        f"array_join(transform({tokens}, (w, i) -> "
-        f"case when {minor} then lower(w) else {capitalise('w')} end), ' ')"
-    )
+    minor = f"i > 0 and {_in("lower(btrim(w, '.:;,!?()'))", APA_MINOR_WORDS)}"
+    return _cased(s, f"case when {minor} then lower(w) else {capitalise('w')} end", capitalise("w"))
 
 
 @sql_function("s STRING, mode STRING", "STRING")
 def text_case(s, mode):
     """Heading case: upper, title_case or sentence_case; abbreviations kept."""
-    tokens = words(s)
     keep = f"length(w) > 1 and {all_caps('w')}"
-    inner = f"i > 0 and i < regexp_count({s}, {raw(WORD)}) - 1"
-    title = (
-        f"array_join(transform({tokens}, (w, i) -> case "
-        f"when {inner} and {_in('lower(w)', HEADING_MINOR_WORDS)} then lower(w) "
-        f"when {keep} then w else {capitalise('w')} end), ' ')"
-    )
+    kept = f"case when {keep} then w else {capitalise('w')} end"
+    minor = f"i > 0 and {_in('lower(w)', HEADING_MINOR_WORDS)}"
+    title = _cased(s, f"case when {minor} then lower(w) else {kept} end", kept)
     sentence = (
-        f"array_join(transform({tokens}, (w, i) -> case when i = 0 then {capitalise('w')} "
+        f"array_join(transform({words(s)}, (w, i) -> case when i = 0 then {capitalise('w')} "
         f"when {keep} then w else lower(w) end), ' ')"
     )
     return (
