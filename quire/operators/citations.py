@@ -144,11 +144,12 @@ def parse_references(entries: DataFrame, text: str = "text") -> DataFrame:
         return F.when(is_apa, a).when(is_num, n).otherwise(f)
 
     rest = F.nullif(C.py_strip(F.rtrim(C.py_strip(cut[0]), F.lit(","))), F.lit(""))
+    df = df.withColumn("_names", pick(apa[0], num[1], rest))
     number = F.regexp_extract(t, r"^(\d{1,3})[.)]\s*", 1)
     doi = F.nullif(F.regexp_extract(t, C.DOI, 1), F.lit(""))
     null = F.lit(None).cast("string")
     ref = F.struct(
-        C.parse_authors(pick(apa[0], num[1], rest)).alias("authors"),
+        C.parse_authors(F.col("_names")).alias("authors"),
         pick(apa[1], num[2], cut[1]).alias("year"),
         pick(_text(apa[2]), _drop_dots(num[3]), _text(F.col("_titled")[0])).alias("title"),
         pick(

@@ -132,14 +132,16 @@ def _ratio_candidates(cited: DataFrame, names: DataFrame) -> DataFrame:
         )
     )
     shift = F.col("shift")
+    shortest = F.ceil(size * ((1 - _EDIT_SHARE) / (1 + _EDIT_SHARE))).cast("int")
+    lengths = names.select("doc_id", "year", size.alias("n")).distinct()
     probes = (
-        cited.withColumn("n", F.explode(F.sequence(
-            F.ceil(size * ((1 - _EDIT_SHARE) / (1 + _EDIT_SHARE))).cast("int"), _longest(size))))
+        cited.withColumn("n", F.explode(F.sequence(shortest, _longest(size))))
+        # Only lengths that a name of this document and year has are worth probing.
+        .join(lengths, ["doc_id", "year", "n"], "left_semi")
         .withColumn("j", F.explode(F.sequence(F.lit(0), _edits(F.col("n")))))
         .withColumn("shift", F.explode(F.sequence(-_edits(F.col("n")), _edits(F.col("n")))))
         .filter((at + shift >= 0) & (at + shift + width <= size))
         .select(*KEY, "n", "j", F.substring("author", at + shift + 1, width).alias("piece"))
-        .distinct()
     )
     pairs = probes.join(pieces, ["doc_id", "year", "n", "j", "piece"])
     return pairs.select(*KEY, "family", "ref_idx").distinct()
