@@ -11,8 +11,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import DataType, StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_AND_GAP = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
@@ -66,3 +66,31 @@ def fold(id_col: str, parts: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def column_function(returns: str, start: Callable[[], Callable[[list], list]]) -> Callable[[Column], Column]:
+    """A scalar column function over lists of values; ``start`` runs once per task."""
+    kind = to_arrow_type(DataType.fromDDL(returns))
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        step = start()
+        for array in arrays:
+            yield pa.array(step(array.to_pylist()), type=kind)
+
+    return F.arrow_udf(run, returns, F.ArrowUDFType.SCALAR_ITER)
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, rows: int, label_col: str = "quality", where: Column | None = None
+) -> DataFrame:
+    """(doc_id, text, label) of at most ``rows`` labelled documents, chosen by a hash of the id.
+
+    The ids are chosen before texts are read; ``rows`` bounds what is broadcast.  Labels of one
+    id that disagree count as the smallest; rows without an id or a label are left out.
+    """
+    ids = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
+    if where is not None:
+        ids = ids.filter(where)
+    ids = ids.groupBy("doc_id").agg(F.min("label").alias("label"))
+    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

@@ -8,8 +8,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe
-from quire.llm.common import table
+from quire.llm import bpe, quality_rules
+from quire.llm.common import labelled_sample, table
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,21 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Bounds of the labelled samples that classifiers are fitted on.
+RULE_SAMPLE = 8000
+
+
+def rule_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality_rules.RuleModel:
+    labels = table(spark, sf_dir, "labels")
+    return quality_rules.fit_rules(labelled_sample(docs, labels, RULE_SAMPLE))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.apply_rules(docs, rule_model(spark, sf_dir, docs))
+
+
 QUERIES = {
     "op2_byte_bpe": (op2_byte_bpe, None),
+    "op10_quality_rules": (op10_quality_rules, None),
 }
