@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quire.llm import bpe, quality_rules
-from quire.llm.common import labelled_sample, table
+from quire.llm import bpe, language_id, quality_classifier, quality_rules
+from quire.llm.common import fold, labelled_sample, table
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,8 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Bounds of the labelled samples that classifiers are fitted on.
 RULE_SAMPLE = 8000
+QUALITY_SAMPLE = 3000
+LANGUAGE_SAMPLE = 1000  # documents of each language
 
 
 def rule_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality_rules.RuleModel:
@@ -30,6 +33,25 @@ def rule_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality_rul
     return quality_rules.fit_rules(labelled_sample(docs, labels, RULE_SAMPLE))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    seen = fold("doc_id", 5) != 0
+    sample = labelled_sample(docs, table(spark, sf_dir, "labels"), QUALITY_SAMPLE, where=seen)
+    scored = quality_classifier.score_quality(docs, quality_classifier.fit_quality(sample))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def language_model(docs: DataFrame) -> language_id.LanguageModel:
+    sample = language_id.training_sample(docs, LANGUAGE_SAMPLE, fold("doc_id", 5) != 0)
+    return language_id.fit_languages(sample)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_model(docs))
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.apply_rules(docs, rule_model(spark, sf_dir, docs))
@@ -37,5 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_byte_bpe": (op2_byte_bpe, None),
+    "op5_quality_classifier": (op5_quality_classifier, None),
+    "op7_language_id": (op7_language_id, None),
     "op10_quality_rules": (op10_quality_rules, None),
 }
