@@ -77,7 +77,7 @@ def column_function(returns: str, start: Callable[[], Callable[[list], list]]) -
         for array in arrays:
             yield pa.array(step(array.to_pylist()), type=kind)
 
-    return F.arrow_udf(run, returns, F.ArrowUDFType.SCALAR_ITER)
+    return F.arrow_udf(run, returns)
 
 
 def labelled_sample(
