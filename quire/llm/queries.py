@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, language_id, quality_classifier, quality_rules, simhash
+from quire.llm import bpe, language_id, quality_classifier, quality_rules, simhash, topk_search
 from quire.llm.common import fold, labelled_sample, table
 
 
@@ -56,6 +56,29 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+_OP9 = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+  from embeddings
+  where embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id,
+         cast(list_inner_product(cast(q.e as double[]), cast(c.e as double[])) as bigint) as score
+  from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e)
+  where q.vec_id % 50 = 0
+), r as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
+)
+select query_id, cast(rank as int) as rank, vec_id, score from r where rank <= 5
+"""
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.apply_rules(docs, rule_model(spark, sf_dir, docs))
@@ -66,5 +89,6 @@ QUERIES = {
     "op2_byte_bpe": (op2_byte_bpe, None),
     "op5_quality_classifier": (op5_quality_classifier, None),
     "op7_language_id": (op7_language_id, None),
+    "op9_topk_search": (op9_topk_search, _OP9),
     "op10_quality_rules": (op10_quality_rules, None),
 }
