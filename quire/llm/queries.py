@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, language_id, quality_classifier, quality_rules, simhash, topk_search
+from quire.llm import bpe, language_id, quality_classifier, quality_rules, simhash, topk_search, url_filter
 from quire.llm.common import fold, labelled_sample, table
 
 
@@ -37,6 +37,14 @@ def rule_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality_rul
     return quality_rules.fit_rules(labelled_sample(docs, labels, RULE_SAMPLE))
 
 
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+URL_MODEL = url_filter.fit_urls(url_filter.seed_table())
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_MODEL)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     seen = fold("doc_id", 5) != 0
@@ -87,6 +95,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": (op1_simhash, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
+    "op4_url_filter": (op4_url_filter, url_filter.sql(URL_RULES, URL_MODEL)),
     "op5_quality_classifier": (op5_quality_classifier, None),
     "op7_language_id": (op7_language_id, None),
     "op9_topk_search": (op9_topk_search, _OP9),
