@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, language_id, quality_classifier, quality_rules, simhash, topk_search, url_filter
+from quire.llm import bpe, language_id, mixing, quality_classifier, quality_rules, simhash, topk_search, url_filter
 from quire.llm.common import fold, labelled_sample, table
 
 
@@ -64,6 +64,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_counts(table(spark, sf_dir, "documents"))
+
+
 def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk_search.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
@@ -98,6 +102,7 @@ QUERIES = {
     "op4_url_filter": (op4_url_filter, url_filter.sql(URL_RULES, URL_MODEL)),
     "op5_quality_classifier": (op5_quality_classifier, None),
     "op7_language_id": (op7_language_id, None),
+    "op8_mixing": (op8_mixing, mixing.sql()),
     "op9_topk_search": (op9_topk_search, _OP9),
     "op10_quality_rules": (op10_quality_rules, None),
 }

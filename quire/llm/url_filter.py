@@ -252,7 +252,7 @@ def sql(rules: list[tuple[str, str]], model: UrlModel) -> str:
     return f"""
 with weights as (
   select unnest(range(0, {len(model.weights)})) as bucket, unnest({list(model.weights)}) as weight
-), rest as (
+), rest as materialized (
   select page_id, row_number() over () as no,
          case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as r
   from pages
