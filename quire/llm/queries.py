@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, language_id, mixing, quality_classifier, quality_rules, simhash, topk_search, url_filter
+from quire.llm import bpe, language_id, mixing, quality_classifier, quality_rules, simhash, token_counts, topk_search, url_filter
 from quire.llm.common import fold, labelled_sample, table
 
 
@@ -37,6 +37,10 @@ def rule_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality_rul
     return quality_rules.fit_rules(labelled_sample(docs, labels, RULE_SAMPLE))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 URL_MODEL = url_filter.fit_urls(url_filter.seed_table())
 
@@ -99,6 +103,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": (op1_simhash, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
+    "op3_token_counts": (op3_token_counts, None),
     "op4_url_filter": (op4_url_filter, url_filter.sql(URL_RULES, URL_MODEL)),
     "op5_quality_classifier": (op5_quality_classifier, None),
     "op7_language_id": (op7_language_id, None),
