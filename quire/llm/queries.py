@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, language_id, mixing, quality_classifier, quality_rules, simhash, token_counts, topk_search, url_filter
+from quire.llm import bpe, language_id, lm_scoring, mixing, quality_classifier, quality_rules, simhash, token_counts, topk_search, url_filter
 from quire.llm.common import fold, labelled_sample, table
 
 
@@ -57,6 +57,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = lm_scoring.learn_and_score(docs, fold("doc_id", 7) != 2)
+    return scored.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), *scored.columns[1:])
+
+
 def language_model(docs: DataFrame) -> language_id.LanguageModel:
     sample = language_id.training_sample(docs, LANGUAGE_SAMPLE, fold("doc_id", 5) != 0)
     return language_id.fit_languages(sample)
@@ -106,6 +112,7 @@ QUERIES = {
     "op3_token_counts": (op3_token_counts, None),
     "op4_url_filter": (op4_url_filter, url_filter.sql(URL_RULES, URL_MODEL)),
     "op5_quality_classifier": (op5_quality_classifier, None),
+    "op6_lm_scoring": (op6_lm_scoring, None),
     "op7_language_id": (op7_language_id, None),
     "op8_mixing": (op8_mixing, mixing.sql()),
     "op9_topk_search": (op9_topk_search, _OP9),
