@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import citation_text as C
 from quire.functions.base import strip
-from quire.ordering import MAX_ROWS_PER_DOCUMENT, Limit, over_documents, total
+from quire.ordering import Limit, over_documents, total
 
 STRUCTURE_ROLES = ("body", "abstract_body")
 ENGINE_ROLES = ("body", "abstract_body", "unknown")
@@ -71,7 +71,7 @@ def _entry_lines(elements: DataFrame, max_rows: Limit) -> DataFrame:
     return over_documents(lines, number, max_rows)
 
 
-def merge_reference_lines(elements: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+def merge_reference_lines(elements: DataFrame, max_rows: Limit = None) -> DataFrame:
     """O-C6: one row per reference, continuation lines joined with a space."""
     ordered = F.array_sort(F.collect_list(F.struct("idx", "line")))
     return (
@@ -197,7 +197,7 @@ def parse_references_simple(entries: DataFrame, text: str = "text") -> DataFrame
     return df.select(*cols, ref.alias("ref"))
 
 
-def references_of(elements: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+def references_of(elements: DataFrame, max_rows: Limit = None) -> DataFrame:
     """References of labelled elements: ``(doc_id, ref_idx, content, n_lines, text, ref)``."""
     return parse_references(merge_reference_lines(elements, max_rows))
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from quire.functions.predicates import search_text as _contains
 from quire.functions.text import word_count
 from quire.operators.formatting import runs_of
-from quire.ordering import MAX_ROWS_PER_DOCUMENT, Limit, reindex
+from quire.ordering import Limit, reindex
 from quire.schemas import CELL
 
 NORMAL = "Normal"
@@ -161,7 +161,7 @@ def _after(idx: Column, seq: Column) -> Column:
     return idx + 1 - 1 / (seq + 2)
 
 
-def insert_after(elements: DataFrame, edits: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+def insert_after(elements: DataFrame, edits: DataFrame, max_rows: Limit = None) -> DataFrame:
     """O-E8: ``edits(doc_id, idx, text, style[, seq])`` put after existing rows."""
     known = edits.join(elements.select("doc_id", "idx"), ["doc_id", "idx"], "left_semi")
     rows = _rows_like(
@@ -174,7 +174,7 @@ def _ends(elements: DataFrame) -> DataFrame:
     return elements.groupBy("doc_id").agg(F.max("idx").alias("_last"))
 
 
-def append_paragraphs(elements: DataFrame, edits: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+def append_paragraphs(elements: DataFrame, edits: DataFrame, max_rows: Limit = None) -> DataFrame:
     """O-E8: ``edits(doc_id, text, style[, seq])`` at the end."""
     at = edits.join(_ends(elements), "doc_id")
     rows = _rows_like(
@@ -183,14 +183,14 @@ def append_paragraphs(elements: DataFrame, edits: DataFrame, max_rows: Limit = M
     return _insert(elements, rows, max_rows)
 
 
-def append_headings(elements: DataFrame, edits: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+def append_headings(elements: DataFrame, edits: DataFrame, max_rows: Limit = None) -> DataFrame:
     """O-E8: ``edits(doc_id, text, level[, seq])``; levels 1 to 4."""
     ok = edits.filter(F.col("level").between(1, 4))
     style = F.concat(F.lit("Heading "), F.col("level").cast("string"))
     return append_paragraphs(elements, ok.withColumn("style", style), max_rows)
 
 
-def append_page_breaks(elements: DataFrame, edits: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+def append_page_breaks(elements: DataFrame, edits: DataFrame, max_rows: Limit = None) -> DataFrame:
     """O-E8: a page break at the end of each ``edits(doc_id)``."""
     at = edits.select("doc_id").distinct().join(_ends(elements), "doc_id")
     rows = _rows_like(elements, at, idx=F.col("_last") + 1, type=F.lit("page_break"), style_name=F.lit(NORMAL))
@@ -198,7 +198,7 @@ def append_page_breaks(elements: DataFrame, edits: DataFrame, max_rows: Limit =
 
 
 def append_list(
-    elements: DataFrame, edits: DataFrame, numbered: bool = False, max_rows: Limit = MAX_ROWS_PER_DOCUMENT
+    elements: DataFrame, edits: DataFrame, numbered: bool = False, max_rows: Limit = None
 ) -> DataFrame:
     """O-E9: ``edits(doc_id, items)`` with a JSON array of strings; other JSON adds nothing."""
     style = "List Number" if numbered else "List Bullet"
@@ -210,7 +210,7 @@ def append_list(
     return _insert(elements, rows, max_rows)
 
 
-def append_table(elements: DataFrame, edits: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+def append_table(elements: DataFrame, edits: DataFrame, max_rows: Limit = None) -> DataFrame:
     """O-E10: ``edits(doc_id, n_rows, n_cols, data)``; cells outside the table are ignored."""
     values = F.from_json("data", "array<array<string>>")
     row_nos = F.sequence(F.lit(0), F.col("n_rows") - 1)
@@ -238,7 +238,7 @@ def append_table(elements: DataFrame, edits: DataFrame, max_rows: Limit = MAX_RO
     return _insert(elements, rows, max_rows)
 
 
-def delete_paragraphs(elements: DataFrame, edits: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+def delete_paragraphs(elements: DataFrame, edits: DataFrame, max_rows: Limit = None) -> DataFrame:
     """O-E11: rows named in ``edits(doc_id, idx)`` removed, the rest renumbered."""
     return reindex(elements.join(edits.select("doc_id", "idx"), ["doc_id", "idx"], "left_anti"), max_rows)
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.base import strip
 from quire.functions.text import strip_heading_number, text_case
-from quire.ordering import MAX_ROWS_PER_DOCUMENT, Limit, latest, over_documents, reindex, total
+from quire.operators.styles import heading_specs, in_styles
+from quire.ordering import Limit, latest, over_documents, reindex, total
 from quire.schemas import HEADING_ROLES, ROLES
 
 ALIGNMENTS = ("left", "center", "right", "justify")
@@ -162,11 +163,10 @@ def _suppressed() -> Column:
     return (F.col("role") == "unknown") & (F.col("text") == "")
 
 
-def target_format(elements: DataFrame, specs: DataFrame) -> DataFrame:
+def target_format(elements: DataFrame, specs: DataFrame, doc_styles: DataFrame) -> DataFrame:
     """O-F1: the format every paragraph should have; suppressed rows are left out."""
     rows = _paragraphs(elements).filter(~_suppressed()).select("doc_id", "idx", "role")
-    dim = F.broadcast(role_format(specs))
-    return rows.join(dim, "role").select("style_id", "doc_id", "idx", "role", *TARGET_FIELDS)
+    return in_styles(rows, doc_styles, role_format(specs), "role").select("style_id", "doc_id", "idx", "role", *TARGET_FIELDS)
 
 
 def runs_of(elements: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def _restyled(run: Column, bold: Column, italic: Column) -> Column:
     )
 
 
-def caption_run_format(elements: DataFrame, specs: DataFrame) -> DataFrame:
+def caption_run_format(elements: DataFrame, specs: DataFrame, doc_styles: DataFrame) -> DataFrame:
     """O-F2: runs that open with the number label take its flags, others the title's."""
     rules = specs.select(
         "style_id",
@@ -210,7 +210,7 @@ def caption_run_format(elements: DataFrame, specs: DataFrame) -> DataFrame:
         ),
     )
     rows = runs_of(elements.filter(F.col("role").isin("table_caption", "figure_caption")))
-    joined = rows.join(F.broadcast(rules), "role")
+    joined = in_styles(rows, doc_styles, rules, "role")
 
     def one(run: Column) -> Column:
         number = F.lower(F.trim(run["text"])).startswith(F.col("_label"))
@@ -223,7 +223,7 @@ def caption_run_format(elements: DataFrame, specs: DataFrame) -> DataFrame:
     return joined.select("style_id", "doc_id", "idx", F.transform("runs", one).alias("runs"))
 
 
-def keyword_run_format(elements: DataFrame, specs: DataFrame) -> DataFrame:
+def keyword_run_format(elements: DataFrame, specs: DataFrame, doc_styles: DataFrame) -> DataFrame:
     """O-F3: the run with the word ``keyword`` is italic, the others plain."""
     fonts = specs.select(
         "style_id",
@@ -231,7 +231,7 @@ def keyword_run_format(elements: DataFrame, specs: DataFrame) -> DataFrame:
         F.col("default_typography.font_size_pt").alias("_size"),
     )
     rows = runs_of(elements.filter(F.col("role") == "keywords"))
-    joined = rows.join(F.broadcast(fonts), F.col("style_id").isNotNull())
+    joined = in_styles(rows, doc_styles, fonts)
     return joined.select(
         "style_id",
         "doc_id",
@@ -247,7 +247,7 @@ def _level() -> Column:
     return F.substring("role", 9, 1).cast("int")
 
 
-def number_headings(elements: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+def number_headings(elements: DataFrame, max_rows: Limit = None) -> DataFrame:
     """O-F4: ``prefix`` of every heading that gets a number: ``I.``, ``A.``, ``1)``."""
     clean = strip_heading_number.sql(strip("content"))
     label = F.expr(f"lower({strip_heading_number.sql(clean)})")
@@ -295,18 +295,16 @@ def number_headings(elements: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT
 
 
 def heading_text(
-    elements: DataFrame, specs: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT
+    elements: DataFrame, specs: DataFrame, doc_styles: DataFrame, max_rows: Limit = None
 ) -> DataFrame:
-    """O-F5: heading text under each style: old number off, case set, new number on."""
-    from quire.operators.styles import heading_specs
-
+    """O-F5: heading text in the document's style: old number off, case set, new number on."""
     cases = heading_specs(specs).select("style_id", "level", F.col("case").alias("_case"), "description")
     numbered = specs.select("style_id", (F.col("headings.numbering_style") == "ieee").alias("_numbered"))
-    dim = F.broadcast(cases.join(numbered, "style_id"))
+    dim = cases.join(numbered, "style_id")
     rows = _paragraphs(elements).filter(F.col("role").isin(*HEADING_ROLES))
     rows = rows.select("doc_id", "idx", "text", _level().alias("level"), strip_heading_number("text").alias("_clean"))
     prefixes = number_headings(elements, max_rows).select("doc_id", "idx", "prefix")
-    df = rows.join(prefixes, ["doc_id", "idx"], "left").join(dim, "level")
+    df = in_styles(rows.join(prefixes, ["doc_id", "idx"], "left"), doc_styles, dim, "level")
     cased = text_case("_clean", "_case")
     new = F.when(
         F.col("_numbered") & F.col("prefix").isNotNull(), F.concat("prefix", F.lit(" "), cased)
@@ -338,16 +336,17 @@ def _body_start(elements: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def insert_missing_labels(
-    elements: DataFrame, specs: DataFrame, style_id: str, max_rows: Limit = MAX_ROWS_PER_DOCUMENT
+    elements: DataFrame, specs: DataFrame, doc_styles: DataFrame, max_rows: Limit = None
 ) -> DataFrame:
-    """O-F6: an abstract or reference label row in front of its first row, where none exists."""
+    """O-F6: an abstract or reference label row in front of its first row, where none exists.
+
+    ``doc_styles`` has one row per document: the labels become rows of the document.
+    """
     marks = _document_marks(elements)
-    labels = F.broadcast(
-        specs.filter(F.col("style_id") == style_id).select(
-            F.col("abstract.label").alias("_abstract"), F.col("references.section_label").alias("_references")
-        )
-    )
-    wanted = marks.join(labels, F.col("_abstract").isNotNull()).select(
+    labels = specs.select(
+        "style_id", F.col("abstract.label").alias("_abstract"), F.col("references.section_label").alias("_references")
+    ).filter("_abstract is not null")
+    wanted = in_styles(marks, doc_styles, labels).select(
         "doc_id",
         F.inline(
             F.array(
@@ -378,12 +377,11 @@ def insert_missing_labels(
     return reindex(old.unionByName(new), max_rows)
 
 
-def page_breaks(elements: DataFrame, specs: DataFrame) -> DataFrame:
+def page_breaks(elements: DataFrame, specs: DataFrame, doc_styles: DataFrame) -> DataFrame:
     """O-F7: rows that start a page; ``inserted`` if the break sits on an inserted label row."""
     marks = _document_marks(elements)
     marks = marks.join(_body_start(elements, marks), "doc_id", "left")
-    styles = F.broadcast(specs.select("style_id", F.col("title_page.required").alias("_page")))
-    df = marks.join(styles, F.col("style_id").isNotNull())
+    df = in_styles(marks, doc_styles, specs.select("style_id", F.col("title_page.required").alias("_page")))
     page = F.col("_page")
     breaks = F.array(
         F.struct(
@@ -403,20 +401,18 @@ def page_breaks(elements: DataFrame, specs: DataFrame) -> DataFrame:
     return df.select("style_id", "doc_id", F.inline(breaks)).filter("idx is not null")
 
 
-def running_head(elements: DataFrame, specs: DataFrame) -> DataFrame:
+def running_head(elements: DataFrame, specs: DataFrame, doc_styles: DataFrame) -> DataFrame:
     """O-F8: the joined title in capitals, cut to the style's length, where a style has one.
 
     From the first non-blank title line on every line adds at least one character, so no
     more lines than characters are gathered per document.
     """
-    styles = F.broadcast(
-        specs.filter("running_head.enabled").select("style_id", F.col("running_head.max_characters").alias("_max"))
-    )
+    styles = specs.filter("running_head.enabled").select("style_id", F.col("running_head.max_characters").alias("_max"))
     titles = elements.filter(F.col("role") == "title").select("doc_id", "idx", "content")
     first = titles.filter(F.expr(strip("content")) != "").groupBy("doc_id").agg(F.min("idx").alias("_first"))
     lines = titles.join(first, "doc_id").filter("idx >= _first").drop("_first")
     rank = F.row_number().over(Window.partitionBy("style_id", "doc_id").orderBy("idx"))
-    lines = lines.join(styles, F.col("style_id").isNotNull()).withColumn("_n", rank).filter("_n <= _max")
+    lines = in_styles(lines, doc_styles, styles).withColumn("_n", rank).filter("_n <= _max")
     ordered = F.array_sort(F.collect_list(F.struct("idx", "content")))
     joined = F.array_join(F.transform(ordered, lambda r: r["content"]), " ")
     heads = lines.groupBy("style_id", "doc_id", "_max").agg(joined.alias("_title"))
@@ -424,16 +420,14 @@ def running_head(elements: DataFrame, specs: DataFrame) -> DataFrame:
     return heads.select("style_id", "doc_id", head.alias("running_head"))
 
 
-def column_sections(elements: DataFrame, specs: DataFrame) -> DataFrame:
+def column_sections(elements: DataFrame, specs: DataFrame, doc_styles: DataFrame) -> DataFrame:
     """O-F9: for styles with columns, the section and column count of every paragraph."""
-    styles = F.broadcast(
-        specs.filter("page_layout.columns > 1").select("style_id", F.col("page_layout.columns").alias("_columns"))
-    )
+    styles = specs.filter("page_layout.columns > 1").select("style_id", F.col("page_layout.columns").alias("_columns"))
     marks = _document_marks(elements).select("doc_id", "front_idx")
     rows = elements.filter(F.col("type") == "paragraph").select("doc_id", "idx").join(marks, "doc_id")
     front = F.coalesce(F.col("idx") <= F.col("front_idx"), F.lit(False))
     section = F.when(F.col("front_idx").isNull() | front, 1).otherwise(2)
-    df = rows.join(styles, F.col("style_id").isNotNull())
+    df = in_styles(rows, doc_styles, styles)
     return df.select(
         "style_id",
         "doc_id",
@@ -443,11 +437,11 @@ def column_sections(elements: DataFrame, specs: DataFrame) -> DataFrame:
     )
 
 
-def reference_label_text(elements: DataFrame, specs: DataFrame) -> DataFrame:
-    """O-F10: the label each style wants on the reference section."""
-    styles = F.broadcast(specs.select("style_id", F.col("references.section_label").alias("_label")))
+def reference_label_text(elements: DataFrame, specs: DataFrame, doc_styles: DataFrame) -> DataFrame:
+    """O-F10: the label the style wants on the reference section."""
+    styles = specs.select("style_id", F.col("references.section_label").alias("_label"))
     rows = _paragraphs(elements).filter(F.col("role") == "reference_label").select("doc_id", "idx", "text")
-    df = rows.join(styles, F.col("style_id").isNotNull())
+    df = in_styles(rows, doc_styles, styles)
     differs = F.lower("text") != F.lower("_label")
     return df.select(
         "style_id", "doc_id", "idx", F.col("text").alias("old_text"), F.when(differs, F.col("_label")).otherwise(F.col("text")).alias("new_text")
@@ -528,34 +522,23 @@ def _changes(df: DataFrame, category, description, rule, idx="idx", old=None, ne
 
 
 def format_changes(
-    elements: DataFrame, specs: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT
+    elements: DataFrame, specs: DataFrame, doc_styles: DataFrame, max_rows: Limit = None
 ) -> DataFrame:
     """O-F11: what formatting changes: rows for single paragraphs, one summary row for body and
     references, and the document-wide settings."""
     name = F.col("style_name")
-    dim = F.broadcast(
-        specs.select(
-            "style_id",
-            "style_name",
-            F.inline(
-                F.array(
-                    *[
-                        F.expr(
-                            f"struct('{role}' as role, '{cat}' as category, {text} as description, '{rule}' as rule)"
-                        )
-                        for role, (cat, text, rule) in _ROLE_CHANGES.items()
-                    ]
-                )
-            ),
-        )
-    )
+    by_role = [
+        F.expr(f"struct('{role}' as role, '{cat}' as category, {text} as description, '{rule}' as rule)")
+        for role, (cat, text, rule) in _ROLE_CHANGES.items()
+    ]
+    dim = specs.select("style_id", "style_name", F.inline(F.array(*by_role)))
     rule = F.concat(name, F.lit(" "), F.col("rule"))
     rows = _paragraphs(elements).filter(~_suppressed())
-    single = rows.select("doc_id", "idx", "role").join(dim, "role")
+    single = in_styles(rows.select("doc_id", "idx", "role"), doc_styles, dim, "role")
     parts = [_changes(single, F.col("category"), F.col("description"), rule)]
 
-    names = F.broadcast(specs.select("style_id", "style_name"))
-    headings = heading_text(elements, specs, max_rows).join(names, "style_id")
+    names = specs.select("style_id", "style_name")
+    headings = heading_text(elements, specs, doc_styles, max_rows).join(names, "style_id")
     shown = F.when(
         F.col("new_text") != F.col("old_text"), F.concat(F.lit(" ["), F.substring("new_text", 1, 40), F.lit("]"))
     ).otherwise("")
@@ -577,7 +560,7 @@ def format_changes(
     )
     marks = _document_marks(elements)
     marks = marks.join(_body_start(elements, marks), "doc_id", "left").join(counts, "doc_id", "left")
-    wide = marks.join(F.broadcast(specs), F.col("style_id").isNotNull())
+    wide = in_styles(marks, doc_styles, specs)
     t = "default_typography"
     inch = "'\"'"
     whole = [
@@ -664,32 +647,32 @@ def format_changes(
     summary = wide.select("style_id", "style_name", "doc_id", F.inline(rows_of)).filter("applies")
     parts.append(_changes(summary, F.col("category"), F.col("description"), rule, None, new=F.col("new_value")))
 
-    enabled = F.broadcast(specs.filter("running_head.enabled").select("style_id", "style_name"))
-    heads = elements.select("doc_id").distinct().join(enabled, F.col("style_id").isNotNull())
-    heads = heads.join(running_head(elements, specs), ["style_id", "doc_id"], "left")
+    enabled = specs.filter("running_head.enabled").select("style_id", "style_name")
+    heads = in_styles(elements.select("doc_id").distinct(), doc_styles, enabled)
+    heads = heads.join(running_head(elements, specs, doc_styles), ["style_id", "doc_id"], "left")
     text = F.concat(F.lit('Running head: "'), F.coalesce("running_head", F.lit("")), F.lit('" + page number'))
     parts.append(_changes(heads, "running_head", text, F.concat(name, F.lit(" running head")), None))
     return reduce(DataFrame.unionByName, parts).select(*_CHANGE)
 
 
-def font_violations(elements: DataFrame, specs: DataFrame) -> DataFrame:
+def font_violations(elements: DataFrame, specs: DataFrame, doc_styles: DataFrame) -> DataFrame:
     """O-F12: runs whose font or size is not the style's."""
     rows = runs_of(_paragraphs(elements).filter(~_suppressed()))
     runs = rows.select("doc_id", "idx", "role", F.posexplode("runs").alias("run_no", "run"))
-    dim = F.broadcast(
-        role_format(specs).select("style_id", "role", F.col("font_name").alias("want_font"), F.col("font_size_pt").alias("want_size"))
+    dim = role_format(specs).select(
+        "style_id", "role", F.col("font_name").alias("want_font"), F.col("font_size_pt").alias("want_size")
     )
     font, size = F.col("run.font_name"), F.col("run.font_size_pt")
     wrong = ~font.eqNullSafe(F.col("want_font")) | ~size.eqNullSafe(F.col("want_size"))
     return (
-        runs.join(dim, "role")
+        in_styles(runs, doc_styles, dim, "role")
         .filter(wrong)
         .select("style_id", "doc_id", "idx", "run_no", font.alias("font_name"), size.alias("font_size_pt"), "want_font", "want_size")
     )
 
 
 def replace_reference_text(
-    elements: DataFrame, bibliography: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT
+    elements: DataFrame, bibliography: DataFrame, max_rows: Limit = None
 ) -> DataFrame:
     """O-F13: the nth reference entry takes the nth formatted text ``(doc_id, n, text)``, if not blank."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from quire.functions.base import strip
 from quire.functions.citation_text import py_strip
-from quire.ordering import MAX_ROWS_PER_DOCUMENT, Limit, latest, over_documents, total
+from quire.ordering import Limit, latest, over_documents, total
 
 # Names that open a section, and chunk sizes.
 SECTION_START = (
@@ -21,7 +21,7 @@ MAX_SECTION_CHUNK, MAX_GUIDELINE_CHUNK = 5000, 6000
 STRETCH = 1000
 
 
-def split_sections(lines: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+def split_sections(lines: DataFrame, max_rows: Limit = None) -> DataFrame:
     """O-L1: ``(doc_id, idx, content)`` lines to ``(doc_id, section_no, title, content)``.
 
     A line that starts with a section name opens a section unless the current one has no

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.styles import in_styles
 from quire.functions.base import strip
 from quire.functions.citation_text import expand_citation_numbers, indel_ratio
 
@@ -227,8 +228,8 @@ def cited_references(references: DataFrame, matches: DataFrame) -> DataFrame:
     return references.join(_matched(matches), ["doc_id", "ref_idx"], "left_semi")
 
 
-def format_issues(citations: DataFrame, style_specs: DataFrame) -> DataFrame:
-    """O-J9: ``and`` in brackets, or ``&`` in running text, against the style; per style."""
+def format_issues(citations: DataFrame, style_specs: DataFrame, doc_styles: DataFrame) -> DataFrame:
+    """O-J9: ``and`` in brackets, or ``&`` in running text, against the document's style."""
     rules = style_specs.select(
         "style_id",
         F.col("in_text_citations.ampersand_in_parenthetical").alias("amp"),
@@ -243,7 +244,7 @@ def format_issues(citations: DataFrame, style_specs: DataFrame) -> DataFrame:
         F.col("word") & (kind == "narrative") & text.contains(" & ") & ~F.lower(text).contains(" and ")
     )
     issue = F.when(wants_amp, USE_AMPERSAND).when(wants_word, USE_AND)
-    joined = odd.join(F.broadcast(rules), wants_amp | wants_word)
+    joined = in_styles(odd, doc_styles, rules).filter(wants_amp | wants_word)
     return joined.select("style_id", *CIT, "text", issue.alias("issue"))
 
 
@@ -252,11 +253,12 @@ def citation_report(
     citations: DataFrame,
     references: DataFrame,
     style_specs: DataFrame,
+    doc_styles: DataFrame,
     fuzzy: str = "ratio",
 ) -> DataFrame:
-    """O-J10: one row per document and style with counts and a 0-100 consistency score.
+    """O-J10: counts and a 0-100 consistency score of each document in its style.
 
-    ``documents`` has one row per ``doc_id``; ``style_specs`` is the small style dimension.
+    ``documents`` has one row per ``doc_id``; ``doc_styles`` says which style each is set in.
     """
     matches = match_citations(citations, references, fuzzy)
     cits = citations.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_citations"))
@@ -266,13 +268,11 @@ def citation_report(
         F.count_if(F.col("ref_idx").isNull()).alias("orphans"),
         F.count_distinct(F.col("ref_idx")).alias("cited"),
     )
-    issues = format_issues(citations, style_specs).groupBy("doc_id", "style_id").agg(
+    issues = format_issues(citations, style_specs, doc_styles).groupBy("doc_id", "style_id").agg(
         F.count(F.lit(1)).alias("format_issues")
     )
-    # Every document is scored under every style; the styles are a handful of rows.
-    styles = F.broadcast(style_specs.select("style_id"))
     df = documents.select("doc_id").join(cits, "doc_id", "left").join(refs, "doc_id", "left")
-    df = df.join(found, "doc_id", "left").join(styles, F.col("style_id").isNotNull())
+    df = in_styles(df.join(found, "doc_id", "left"), doc_styles, style_specs.select("style_id"))
     df = df.join(issues, ["doc_id", "style_id"], "left").fillna(0)
     bad = F.col("orphans") + (F.col("total_references") - F.col("cited")) + F.col("format_issues")
     items = F.col("total_citations") + F.col("total_references")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import predicates as P
 from quire.functions.base import SPACES, strip
-from quire.ordering import MAX_ROWS_PER_DOCUMENT, Limit, latest, long_documents, over_documents, reindex, total
+from quire.ordering import Limit, latest, long_documents, over_documents, reindex, total
 
 # Roles whose consecutive lines may belong together, and thresholds.
 MERGEABLE = ("body", "abstract_body", "title", "author_info", "keywords", "reference_entry", "figure_caption")
@@ -71,7 +71,7 @@ def should_merge(prev: str, cur: str, role: str, median: str) -> Column:
 
 
 def merge_groups(
-    elements: DataFrame, force: bool = True, max_rows: Limit = MAX_ROWS_PER_DOCUMENT
+    elements: DataFrame, force: bool = True, max_rows: Limit = None
 ) -> DataFrame:
     """O-M3: paragraphs with ``grp``; rows of one document with the same ``grp`` belong together.
 
@@ -166,7 +166,7 @@ def merge_citations(citations: DataFrame, groups: DataFrame) -> DataFrame:
     return moved.select(*[idx if x == "idx" else x for x in citations.columns])
 
 
-def merge(elements: DataFrame, force: bool = False, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+def merge(elements: DataFrame, force: bool = False, max_rows: Limit = None) -> DataFrame:
     """Fragmented documents (or all, with ``force``) merged and renumbered densely."""
     limit = long_documents(elements, max_rows)
     merged = apply_merge(merge_groups(elements, force, limit))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quire.functions import predicates as P
 from quire.functions.base import strip
 from quire.functions.text import strip_invisible, word_count
-from quire.ordering import MAX_ROWS_PER_DOCUMENT, Limit, greatest, latest, least, over_documents, total
+from quire.ordering import Limit, greatest, latest, least, over_documents, total
 from quire.schemas import HEADING_ROLES, ROLES, SECTION_ROLES
 
 # Section names and the role each stands for.
@@ -428,7 +428,7 @@ def _run(elements: DataFrame, passes, max_rows: Limit) -> DataFrame:
 
 
 def _operator(ordered_pass):
-    def op(elements: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+    def op(elements: DataFrame, max_rows: Limit = None) -> DataFrame:
         return _run(elements, [ordered_pass], max_rows)
 
     op.__doc__ = ordered_pass.__doc__
@@ -444,7 +444,7 @@ extend_front_matter = _operator(_front_matter_pass)
 fill_remaining = _operator(_fill_pass)
 
 
-def detect_structure(elements: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+def detect_structure(elements: DataFrame, max_rows: Limit = None) -> DataFrame:
     """O-D16: all passes in order; one exchange on ``doc_id`` for ordinary documents."""
     labelled = role_from_keyword(role_from_style(clean_content(elements)))
 
@@ -473,7 +473,7 @@ def review_candidates(
     front: int = 40,
     scattered: int = 30,
     leftovers: int = 20,
-    max_rows: Limit = MAX_ROWS_PER_DOCUMENT,
+    max_rows: Limit = None,
 ) -> DataFrame:
     """O-D14: the rows worth a second look, per document, with a 150-character preview.
 

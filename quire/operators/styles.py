@@ -141,7 +141,7 @@ def resolve_style(requests: DataFrame, interpreted: DataFrame, specs: DataFrame)
     text = F.trim(F.coalesce("guidelines_text", F.lit(""))) != ""
     page = F.length(normalise_guideline("url_text")) >= MIN_GUIDELINE
     wants = F.when(text, "text").when(F.coalesce(page, F.lit(False)), "url").otherwise("style")
-    known = F.broadcast(specs.select(F.col("style_id").alias("_known")))
+    known = specs.select(F.col("style_id").alias("_known"))
     df = (
         requests.withColumn("_wants", wants)
         .join(interpreted, "request_id", "left")
@@ -157,6 +157,23 @@ def resolve_style(requests: DataFrame, interpreted: DataFrame, specs: DataFrame)
     )
 
 
+def in_styles(rows: DataFrame, doc_styles: DataFrame, dimension: DataFrame, *keys: str) -> DataFrame:
+    """Rows of documents with the rules of the style each document is set in.
+
+    ``doc_styles(doc_id, style_id)`` says which: one row per document, or several where a
+    document is wanted in several styles.  Both joins are on keys, and whether the rules are
+    small enough to broadcast is left to their size.
+    """
+    assigned = rows.join(doc_styles.select("doc_id", "style_id"), "doc_id")
+    return assigned.join(dimension, ["style_id", *keys])
+
+
+def every_style(documents: DataFrame, style_ids: list[str]) -> DataFrame:
+    """The assignment of every document to each of the named styles."""
+    ids = F.explode(F.array(*[F.lit(s) for s in style_ids])).alias("style_id")
+    return documents.select("doc_id").distinct().select("doc_id", ids)
+
+
 def heading_specs(specs: DataFrame) -> DataFrame:
     """Heading levels unpivoted: ``(style_id, level, alignment, …)``."""
     levels = F.array(
@@ -169,4 +186,4 @@ def heading_level_spec(requests: DataFrame, specs: DataFrame) -> DataFrame:
     """O-Y6: ``requests(style_id, level)`` with the level's rules; levels outside 1-5 read as 1."""
     wanted = F.when(F.col("level").between(1, 5), F.col("level")).otherwise(1)
     rules = heading_specs(specs).withColumnRenamed("level", "used_level")
-    return requests.withColumn("used_level", wanted).join(F.broadcast(rules), ["style_id", "used_level"])
+    return requests.withColumn("used_level", wanted).join(rules, ["style_id", "used_level"])

@@ -5,24 +5,28 @@ two ways:
 
 * ``WindowScan`` - one window partition per document.  One exchange on
   ``doc_id`` serves every pass that follows.
-* ``BlockScan`` - for documents too long for one task.  Rows are grouped into
+* ``BlockScan`` - for callers that know of documents too long for one task and say so.  Rows are grouped into
   blocks of ``(doc_id, idx div block_rows)``; each block is summarised to one
   row, the summaries are scanned per document, and the carried value is joined
   back on the block key, so no task ever holds a whole document.
 
-``over_documents`` picks per document by its row count, so both kinds can occur
-in the same corpus.
+Operators use the window form unless they are given a row limit or the ids of the long
+documents; windows stream and spill, so a long document costs time, not memory.  With a
+limit ``over_documents`` writes its input once before it branches, so that chained passes
+do not repeat each other's work or plans.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DOC, IDX = "doc_id", "idx"
-MAX_ROWS_PER_DOCUMENT = 1_000_000
 BLOCK_ROWS = 100_000
 
 Agg = tuple[str, Column]
@@ -154,30 +158,32 @@ class BlockScan:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's checkpoint folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
+    """Cut lineage through the cluster's checkpoint folder.
+
+    A session on one machine without that setting gets a temporary folder until it ends.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not spark.sparkContext.master.startswith("local"):
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(folder)
+            folder = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
 Pass = Callable[[DataFrame, "WindowScan | BlockScan"], DataFrame]
 
 
-# How a caller bounds documents: a row limit to check now, None if every document is known
-# to fit one task, or the table of long documents that an earlier check found.
+# How a caller bounds documents: None if every document fits one task, a row limit to check,
+# or the table of long documents that an earlier check found.
 Limit = int | None | DataFrame
 
 
-def long_documents(rows: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame | None:
-    """Documents of more than ``max_rows`` rows, or None if there are none.
+def long_documents(rows: DataFrame, max_rows: Limit) -> DataFrame | None:
+    """The ids of documents of more than ``max_rows`` rows, written once, or None.
 
     Row counts are pre-aggregated before they are shuffled.  A job that runs several
     ordered passes checks its source once and hands the answer on.
@@ -185,26 +191,23 @@ def long_documents(rows: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) ->
     if max_rows is None or isinstance(max_rows, DataFrame):
         return max_rows
     counts = rows.groupBy(DOC).agg(F.count(F.lit(1)).alias("n"))
-    found = counts.filter(F.col("n") > max_rows).select(DOC)
-    return None if found.isEmpty() else found
+    return checkpoint(counts.filter(F.col("n") > max_rows).select(DOC))
 
 
 def over_documents(
-    elements: DataFrame,
-    ordered_pass: Pass,
-    max_rows: Limit = MAX_ROWS_PER_DOCUMENT,
-    block_rows: int = BLOCK_ROWS,
+    elements: DataFrame, ordered_pass: Pass, max_rows: Limit = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Run ``ordered_pass`` over every document, long ones block by block."""
-    long_docs = long_documents(elements, max_rows)
-    if long_docs is None:
+    """Run ``ordered_pass`` over every document, the long ones of a given limit block by block."""
+    if max_rows is None:
         return ordered_pass(elements, WindowScan())
+    elements = checkpoint(elements)
+    long_docs = long_documents(elements, max_rows)
     short = ordered_pass(elements.join(long_docs, DOC, "left_anti"), WindowScan())
     long = ordered_pass(elements.join(long_docs, DOC, "left_semi"), BlockScan(block_rows))
     return short.unionByName(long)
 
 
-def reindex(elements: DataFrame, max_rows: Limit = MAX_ROWS_PER_DOCUMENT) -> DataFrame:
+def reindex(elements: DataFrame, max_rows: Limit = None) -> DataFrame:
     """Renumber ``idx`` densely from 0 within each document (O-M7)."""
 
     def number(df, scan):

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from quire.functions import citation_text as T
 from quire.operators import citations as C
 from quire.operators import matching as J
-from quire.ordering import checkpoint
 from quire.plans.catalog.inputs import (
     MANUSCRIPT_LINES,
+    assigned,
     builtin_style_specs,
+    document_styles,
     labelled_manuscripts,
-    long_orders,
 )
 from quire.plans.catalog.structure_queries import chain
 from quire.plans.compliance_inputs import styles_values_sql
@@ -23,13 +23,13 @@ from quire.sources.exports import csl_json
 def _needed(spark, sf) -> DataFrame:
     """Labelled rows that citations and references come from, computed once."""
     rows = labelled_manuscripts(spark, sf).filter(F.col("role").isin("body", "abstract_body", "reference_entry"))
-    return checkpoint(rows.select("doc_id", "idx", "type", "role", "content"))
+    return rows.select("doc_id", "idx", "type", "role", "content").persist()
 
 
 def citations_and_references(spark, sf) -> tuple[DataFrame, DataFrame]:
     rows = _needed(spark, sf)
-    references = C.primary_references(C.references_of(rows, long_orders(spark, sf)))
-    return checkpoint(C.extract_citations(rows)), checkpoint(references)
+    references = C.primary_references(C.references_of(rows))
+    return C.extract_citations(rows).persist(), references.persist()
 
 
 def wrapped_references(spark, sf) -> DataFrame:
@@ -156,7 +156,7 @@ REPORT_SQL = f"""{_MATCH},
 def report(spark, sf) -> DataFrame:
     citations, references = citations_and_references(spark, sf)
     documents = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("doc_id")).distinct()
-    return J.citation_report(documents, citations, references, builtin_style_specs(spark))
+    return J.citation_report(documents, citations, references, builtin_style_specs(spark), document_styles(spark, sf))
 
 
 def _with_matches(build):
@@ -185,19 +185,19 @@ QUERIES = {
         f"{_CITED} select * from citations where year is not null",
     ),
     "merge_reference_lines": (
-        lambda spark, sf: C.merge_reference_lines(wrapped_references(spark, sf), long_orders(spark, sf)).select(
+        lambda spark, sf: C.merge_reference_lines(wrapped_references(spark, sf)).select(
             "doc_id", "ref_idx", "n_lines", "text"
         ),
         f"{chain('fill', MANUSCRIPT_LINES)} select doc_id, idx * 2 as ref_idx, 2 as n_lines, content as text from fill "
         "where role = 'reference_entry'",
     ),
     "parse_references": (
-        lambda spark, sf: _flat(C.references_of(labelled_manuscripts(spark, sf), long_orders(spark, sf))),
+        lambda spark, sf: _flat(C.references_of(labelled_manuscripts(spark, sf))),
         f"{chain('fill', MANUSCRIPT_LINES)}, {_REFS} select {_FLAT}, original_number from refs2",
     ),
     "parse_references_simple": (
         lambda spark, sf: _flat(
-            C.parse_references_simple(C.merge_reference_lines(labelled_manuscripts(spark, sf), long_orders(spark, sf)))
+            C.parse_references_simple(C.merge_reference_lines(labelled_manuscripts(spark, sf)))
         ),
         # Numbered entries only have a year, and what stands before it, for the simple parser.
         f"{chain('fill', MANUSCRIPT_LINES)}, {_REFS} select doc_id, ref_idx, case when original_number is null then concat(family, '|', given) "
@@ -218,19 +218,19 @@ QUERIES = {
     ),
     "primary_references": (
         lambda spark, sf: C.primary_references(
-            C.references_of(labelled_manuscripts(spark, sf), long_orders(spark, sf))
+            C.references_of(labelled_manuscripts(spark, sf))
         ).select("doc_id", "ref_idx"),
         f"{chain('fill', MANUSCRIPT_LINES)}, {_REFS} select doc_id, ref_idx from refs2 where year <> ''",
     ),
     "references_parse_rate": (
         lambda spark, sf: C.references_parse_rate(
-            C.references_of(labelled_manuscripts(spark, sf), long_orders(spark, sf))
+            C.references_of(labelled_manuscripts(spark, sf))
         ),
         f"{chain('fill', MANUSCRIPT_LINES)}, {_REFS} select doc_id, count(*) filter (where year <> '') as parsed_ok, count(*) as n_references, "
         "count(*) as n_lines from refs2 group by doc_id",
     ),
     "csl_json": (
-        lambda spark, sf: csl_json(C.references_of(labelled_manuscripts(spark, sf), long_orders(spark, sf))),
+        lambda spark, sf: csl_json(C.references_of(labelled_manuscripts(spark, sf))),
         f"{chain('fill', MANUSCRIPT_LINES)}, {_REFS} select doc_id, ref_idx, concat('{{\"type\":\"article-journal\",\"id\":\"', lower(family), '-', year, "
         "'\",\"author\":[{\"family\":\"', family, '\",\"given\":\"', given, '\"}],\"issued\":{\"date-parts\":[[', year, ']]},\"title\":\"', title, "
         "'\",\"container-title\":\"', container_title, '\",\"volume\":\"', volume, '\",\"issue\":\"', issue, '\",\"page\":\"', pages, '\"}') as csl from refs2",
@@ -264,9 +264,9 @@ QUERIES = {
     ),
     "format_issues": (
         lambda spark, sf: J.format_issues(
-            C.extract_citations(labelled_manuscripts(spark, sf)), builtin_style_specs(spark)
+            C.extract_citations(labelled_manuscripts(spark, sf)), builtin_style_specs(spark), document_styles(spark, sf)
         ),
-        f"{_MATCH} select * from issues where issue is not null",
+        assigned(f"{_MATCH} select * from issues where issue is not null"),
     ),
-    "citation_report": (report, f"{REPORT_SQL} select * from report"),
+    "citation_report": (report, assigned(f"{REPORT_SQL} select * from report")),
 }

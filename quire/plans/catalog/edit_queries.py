@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import edits as E
-from quire.plans.catalog.inputs import CELL_BOUND, DOC_LINES, doc_elements, table
+from quire.plans.catalog.inputs import DOC_LINES, doc_elements, table
 from quire.sources.text import from_lines, read_cells, table_rows
 
 
@@ -71,7 +71,7 @@ def _tables(spark, sf):
         F.lit(2).alias("n_cols"),
         F.concat(F.lit('[["id","'), F.col("quality").cast("string"), F.lit('","beyond"],["last"]]')).alias("data"),
     )
-    return E.append_table(_base(spark, sf), edits, CELL_BOUND)
+    return E.append_table(_base(spark, sf), edits)
 
 
 def _paragraph_format(spark, sf):
@@ -160,18 +160,18 @@ QUERIES = {
         f"with {DOC_LINES}, e as ({_EDIT}) select lines.doc_id, idx, coalesce(e.text, content) as content, '-' as style from lines left join e on e.doc_id = lines.doc_id and idx = 1",
     ),
     "insert_after": (
-        lambda spark, sf: _out(E.insert_after(_base(spark, sf), _targets(spark, sf), CELL_BOUND)),
+        lambda spark, sf: _out(E.insert_after(_base(spark, sf), _targets(spark, sf))),
         f"with {DOC_LINES}, e as ({_EDIT}), u as (select doc_id, cast(idx as double) as p, content, style from ({_L}) union all "
         f"select e.doc_id, 1.5, e.text, e.style from e join lines on lines.doc_id = e.doc_id and lines.idx = 1) {_NUMBERED}",
     ),
     "append_paragraphs": (
-        lambda spark, sf: _out(E.append_paragraphs(_base(spark, sf), _targets(spark, sf).drop("idx"), CELL_BOUND)),
+        lambda spark, sf: _out(E.append_paragraphs(_base(spark, sf), _targets(spark, sf).drop("idx"))),
         _appended(f"select e.doc_id, last + 1, e.text, e.style from ({_EDIT}) e join ends using (doc_id)"),
     ),
     "append_headings": (
         lambda spark, sf: _out(
             E.append_headings(
-                _base(spark, sf), _targets(spark, sf).drop("idx", "style").withColumn("level", (F.col("doc_id") % 6).cast("int")), CELL_BOUND
+                _base(spark, sf), _targets(spark, sf).drop("idx", "style").withColumn("level", (F.col("doc_id") % 6).cast("int"))
             )
         ),
         _appended(
@@ -179,7 +179,7 @@ QUERIES = {
         ),
     ),
     "append_page_breaks": (
-        lambda spark, sf: E.append_page_breaks(_base(spark, sf), _ids(spark, sf), CELL_BOUND).select("doc_id", "idx", "type", "content"),
+        lambda spark, sf: E.append_page_breaks(_base(spark, sf), _ids(spark, sf)).select("doc_id", "idx", "type", "content"),
         f"with {DOC_LINES}, {_ENDS} select doc_id, idx, 'paragraph' as type, content from lines union all "
         "select doc_id, last + 1, 'page_break', '' from ends where doc_id in (select doc_id from labels)",
     ),
@@ -191,7 +191,7 @@ QUERIES = {
                     "doc_id", F.expr("case when toxic = 1 then 'not json' else concat('[\"first\",\"', quality, '\"]') end").alias("items")
                 ),
                 numbered=True,
-                max_rows=CELL_BOUND,
+                
             )
         ),
         _appended(
@@ -211,7 +211,7 @@ QUERIES = {
         "select doc_id, idx, 0 as \"row\", concat('id|', quality) as texts from c union all select doc_id, idx, 1, 'last|' from c",
     ),
     "delete_paragraphs": (
-        lambda spark, sf: _out(E.delete_paragraphs(_base(spark, sf), _targets(spark, sf), CELL_BOUND)),
+        lambda spark, sf: _out(E.delete_paragraphs(_base(spark, sf), _targets(spark, sf))),
         f"with {DOC_LINES}, u as (select doc_id, idx as p, content, style from ({_L}) where not (idx = 1 and doc_id in (select doc_id from labels))) {_NUMBERED}",
     ),
     "create_documents": (

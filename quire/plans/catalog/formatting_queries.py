@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from quire.operators import formatting as F_
 from quire.operators import styles as Y
-from quire.ordering import checkpoint
 from quire.plans.catalog.inputs import (
     DOC_LINES,
     MANUSCRIPT_LINES,
+    assigned,
     builtin_style_specs,
     doc_elements,
+    document_styles,
     labelled_manuscripts,
-    long_orders,
     table,
 )
 from quire.plans.catalog.structure_queries import chain
@@ -47,17 +47,13 @@ _FILL = chain("fill", MANUSCRIPT_LINES)
 
 
 def _styled(spark, sf):
-    return checkpoint(labelled_manuscripts(spark, sf)), builtin_style_specs(spark)
+    return labelled_manuscripts(spark, sf).persist(), builtin_style_specs(spark), document_styles(spark, sf)
 
 
 def _plain(build):
     return lambda spark, sf: build(*_styled(spark, sf))
 
 
-def _limited(build):
-    return lambda spark, sf: build(*_styled(spark, sf), long_orders(spark, sf))
-
-
 # --- requests derived from customers --------------------------------------------------
 
 _REQUEST = """select c_custkey as request_id,
@@ -229,19 +225,20 @@ _MARKS_SQL = f"""{_FILL}, m as (select doc_id, bool_or(role = 'abstract_label')
 
 
 def _without_labels(spark, sf):
-    rows = checkpoint(labelled_manuscripts(spark, sf).filter("role not in ('abstract_label', 'reference_label')"))
-    return F_.insert_missing_labels(rows, builtin_style_specs(spark), "chicago", long_orders(spark, sf)).select(
+    rows = labelled_manuscripts(spark, sf).persist().filter("role not in ('abstract_label', 'reference_label')")
+    one_style = document_styles(spark, sf).withColumn("style_id", F.lit("chicago"))
+    return F_.insert_missing_labels(rows, builtin_style_specs(spark), one_style).select(
         "doc_id", "idx", "role", "content"
     )
 
 
 def _bibliography(spark, sf):
-    rows = checkpoint(labelled_manuscripts(spark, sf))
+    rows = labelled_manuscripts(spark, sf)
     texts = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.min("l_partkey").alias("k"))
     texts = texts.select("doc_id", F.lit(0).alias("n"), F.concat(F.lit("Entry "), F.col("k").cast("string")).alias("text")).unionByName(
         texts.select("doc_id", F.lit(1).alias("n"), F.lit("  ").alias("text"))
     )
-    return F_.replace_reference_text(rows, texts, long_orders(spark, sf)).select("doc_id", "idx", "content")
+    return F_.replace_reference_text(rows, texts).select("doc_id", "idx", "content")
 
 
 def _runs_text(df):
@@ -254,11 +251,23 @@ def _size(c: str) -> str:
 
 
 def _changes(spark, sf):
-    rows = checkpoint(labelled_manuscripts(spark, sf).select("doc_id", "idx", "type", "role", "content"))
-    out = F_.format_changes(rows, builtin_style_specs(spark), long_orders(spark, sf))
-    return out.groupBy("style_id", "category", "rule_reference").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("description").alias("n_descriptions")
+    rows = labelled_manuscripts(spark, sf).select("doc_id", "idx", "type", "role", "content").persist()
+    return F_.format_changes(rows, builtin_style_specs(spark), document_styles(spark, sf))
+
+
+# Fonts of the runs, by position: some are the style's, some are not, some are not stated.
+_HAVE_FONT = "case (doc_id + idx) % 3 when 0 then 'Times New Roman' when 1 then 'Arial' else null end"
+_HAVE_SIZE = "cast(case (doc_id + 2 * idx) % 5 when 0 then null when 1 then 10 else 12 end as double)"
+
+
+def _font_violations(spark, sf):
+    rows, specs, doc_styles = _styled(spark, sf)
+    rows = F_.runs_of(rows)
+    run = F.transform(
+        "runs",
+        lambda r: r.withField("font_name", F.expr(_HAVE_FONT)).withField("font_size_pt", F.expr(_HAVE_SIZE)),
     )
+    return F_.font_violations(rows.withColumn("runs", run), specs, doc_styles)
 
 
 QUERIES = {
@@ -311,28 +320,28 @@ QUERIES = {
         "cast(c_custkey % 8 as int) as level from customer) select request_id, q.style_id, level, used_level, alignment, bold, italic, font_size_pt, \"case\" "
         "from q join s on s.style_id = q.style_id and s.used_level = case when level between 1 and 5 then level else 1 end",
     ),
-    "target_format": (_plain(F_.target_format), _TARGET_SQL),
+    "target_format": (_plain(F_.target_format), assigned(_TARGET_SQL)),
     "caption_run_format": (
-        _plain(lambda e, s: _runs_text(F_.caption_run_format(e, s))),
-        f"{_FILL}, s as ({_spec_values('tables.number_label', 'tables.number_bold', 'tables.number_italic', 'tables.title_italic', 'figures.number_label', 'figures.number_bold', 'figures.number_italic', 'figures.title_italic', f'{_T}.font_name', f'{_T}.font_size_pt')}), "
+        _plain(lambda e, s, d: _runs_text(F_.caption_run_format(e, s, d))),
+        assigned(f"{_FILL}, s as ({_spec_values('tables.number_label', 'tables.number_bold', 'tables.number_italic', 'tables.title_italic', 'figures.number_label', 'figures.number_bold', 'figures.number_italic', 'figures.title_italic', f'{_T}.font_name', f'{_T}.font_size_pt')}), "
         "c as (select *, starts_with(lower(content), lower(case when role = 'table_caption' then tables_number_label else figures_number_label end)) as hit from fill, s "
         "where role in ('table_caption', 'figure_caption')) select style_id, doc_id, idx, concat_ws('/', content, "
         "cast(case when not hit then false when role = 'table_caption' then tables_number_bold else figures_number_bold end as varchar), "
         "cast(case when role = 'table_caption' then (case when hit then tables_number_italic else tables_title_italic end) "
         "else (case when hit then figures_number_italic else figures_title_italic end) end as varchar), "
-        f"{_D}_font_name, {_size(f'{_D}_font_size_pt')}) as runs from c",
+        f"{_D}_font_name, {_size(f'{_D}_font_size_pt')}) as runs from c"),
     ),
     "keyword_run_format": (
-        _plain(lambda e, s: _runs_text(F_.keyword_run_format(e, s))),
-        f"{_FILL}, s as ({_spec_values(f'{_T}.font_name', f'{_T}.font_size_pt')}) select style_id, doc_id, idx, concat_ws('/', content, 'false', "
-        f"case when contains(lower(content), 'keyword') then 'true' else 'false' end, {_D}_font_name, {_size(f'{_D}_font_size_pt')}) as runs from fill, s where role = 'keywords'",
+        _plain(lambda e, s, d: _runs_text(F_.keyword_run_format(e, s, d))),
+        assigned(f"{_FILL}, s as ({_spec_values(f'{_T}.font_name', f'{_T}.font_size_pt')}) select style_id, doc_id, idx, concat_ws('/', content, 'false', "
+        f"case when contains(lower(content), 'keyword') then 'true' else 'false' end, {_D}_font_name, {_size(f'{_D}_font_size_pt')}) as runs from fill, s where role = 'keywords'"),
     ),
     "number_headings": (lambda spark, sf: F_.number_headings(_planted(spark, sf), None), _NUM_SQL),
     "heading_text": (
-        _limited(lambda e, s, n: F_.heading_text(e, s, n).select("style_id", "doc_id", "idx", "level", "old_text", "new_text")),
-        f"{_FILL}, s as ({_spec_values('headings.level_1.case', 'headings.numbering_style')}) select style_id, doc_id, idx, 1 as level, text as old_text, "
+        _plain(lambda e, s, d: F_.heading_text(e, s, d).select("style_id", "doc_id", "idx", "level", "old_text", "new_text")),
+        assigned(f"{_FILL}, s as ({_spec_values('headings.level_1.case', 'headings.numbering_style')}) select style_id, doc_id, idx, 1 as level, text as old_text, "
         "concat(case when headings_numbering_style = 'ieee' then 'I. ' else '' end, case when headings_level_1_case = 'upper' then upper(text) else text end) as new_text "
-        "from fill, s where role = 'heading_1'",
+        "from fill, s where role = 'heading_1'"),
     ),
     "insert_missing_labels": (
         _without_labels,
@@ -343,29 +352,31 @@ QUERIES = {
     ),
     "page_breaks": (
         _plain(F_.page_breaks),
-        f"{_MARKS_SQL}, s as ({_spec_values('title_page.required')}), j as (select * from m left join b using (doc_id), s) "
+        assigned(f"{_MARKS_SQL}, s as ({_spec_values('title_page.required')}), j as (select * from m left join b using (doc_id), s) "
         "select style_id, doc_id, 'abstract' as reason, abs_idx as idx, not has_abs as inserted from j where title_page_required and abs_idx is not null "
         "union all select style_id, doc_id, 'body', body_idx, false from j where title_page_required and body_idx is not null "
-        "union all select style_id, doc_id, 'references', ref_idx, not has_ref from j where ref_idx is not null",
+        "union all select style_id, doc_id, 'references', ref_idx, not has_ref from j where ref_idx is not null"),
     ),
     "running_head": (
         _plain(F_.running_head),
-        f"{_FILL} select 'mla' as style_id, doc_id, upper(trim(string_agg(content, ' ' order by idx)))[1:50] as running_head from fill where role = 'title' group by doc_id",
+        assigned(f"{_FILL} select 'mla' as style_id, doc_id, upper(trim(string_agg(content, ' ' order by idx)))[1:50] as running_head from fill where role = 'title' group by doc_id"),
     ),
     "column_sections": (
         _plain(F_.column_sections),
-        f"{_MARKS_SQL} select 'ieee' as style_id, f.doc_id, f.idx, case when front_idx is null or idx <= front_idx then 1 else 2 end as section, "
-        "case when idx <= front_idx then 1 else 2 end as columns from fill f join m using (doc_id)",
+        assigned(f"{_MARKS_SQL} select 'ieee' as style_id, f.doc_id, f.idx, case when front_idx is null or idx <= front_idx then 1 else 2 end as section, "
+        "case when idx <= front_idx then 1 else 2 end as columns from fill f join m using (doc_id)"),
     ),
     "reference_label_text": (
         _plain(F_.reference_label_text),
-        f"{_FILL}, s as ({_spec_values('references.section_label')}) select style_id, doc_id, idx, text as old_text, case when lower(text) <> lower(references_section_label) "
-        "then references_section_label else text end as new_text from fill, s where role = 'reference_label'",
+        assigned(f"{_FILL}, s as ({_spec_values('references.section_label')}) select style_id, doc_id, idx, text as old_text, case when lower(text) <> lower(references_section_label) "
+        "then references_section_label else text end as new_text from fill, s where role = 'reference_label'"),
     ),
     "format_changes": (_changes, None),
     "font_violations": (
-        _plain(lambda e, s: F_.font_violations(e, s).groupBy("style_id", "want_font", "want_size").agg(F.count(F.lit(1)).alias("n"))),
-        f"select style_id, font_name as want_font, font_size_pt as want_size, count(*) as n from ({_TARGET_SQL}) group by all",
+        _font_violations,
+        "select style_id, doc_id, idx, cast(0 as int) as run_no, have_font as font_name, have_size as font_size_pt, "
+        f"font_name as want_font, font_size_pt as want_size from (select *, {_HAVE_FONT} as have_font, {_HAVE_SIZE} as have_size "
+        f"from ({assigned(_TARGET_SQL)})) where have_font is distinct from font_name or have_size is distinct from font_size_pt",
     ),
     "replace_reference_text": (
         _bibliography,

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators.styles import resolve_style
 from quire.operators.structure import SECTION_KEYWORDS, detect_structure
-from quire.ordering import MAX_ROWS_PER_DOCUMENT, long_documents, reindex
+from quire.ordering import reindex
 from quire.plans.manuscripts import CTES, manuscript_elements, manuscript_lines
 from quire.sources.styles import builtin_style_specs
 from quire.sources.text import from_lines, read_text_manuscripts
@@ -53,31 +54,48 @@ def noisy_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_elements(spark, sf_dir, by_document=True).withColumn("content", F.expr(_NOISE))
 
 
-def long_orders(spark: SparkSession, sf_dir: str) -> DataFrame | None:
-    """Orders too long for one task, counted on the narrow line-item key."""
-    keys = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"))
-    return long_documents(keys, MAX_ROWS_PER_DOCUMENT // 2)
-
-
 def unlabelled_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = manuscript_lines(spark, sf_dir).filter("content <> 'References'")
-    return from_lines(reindex(lines, long_orders(spark, sf_dir)))
+    return from_lines(reindex(lines))
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Every document is exploded from one text cell, which bounds its rows.
-    return detect_structure(doc_elements(spark, sf_dir, by_document=True), CELL_BOUND)
+    return detect_structure(doc_elements(spark, sf_dir, by_document=True))
 
 
 def labelled_manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect_structure(manuscript_elements(spark, sf_dir), long_orders(spark, sf_dir))
+    return detect_structure(manuscript_elements(spark, sf_dir))
+
+
+# The style each manuscript asks for; one id is unknown and falls back to apa7.
+_ASKED = "element_at(array('apa7', 'mla', 'ieee', 'vancouver', 'chicago', 'nature'), cast(doc_id % 6 as int) + 1)"
+ASSIGNED = (
+    "case doc_id % 6 when 1 then 'mla' when 2 then 'ieee' when 3 then 'vancouver' when 4 then 'chicago' else 'apa7' end"
+)
+
+
+def document_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The style every manuscript is set in, as its request resolves."""
+    docs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id")).distinct()
+    null = F.lit(None).cast("string")
+    requests = docs.select(
+        F.col("doc_id").alias("request_id"), F.expr(_ASKED).alias("style_id"), null.alias("guidelines_text"), null.alias("url_text")
+    )
+    interpreted = requests.filter("false").select("request_id", F.col("style_id").alias("spec_id"))
+    resolved = resolve_style(requests, interpreted, builtin_style_specs(spark))
+    return resolved.select(F.col("request_id").alias("doc_id"), F.col("spec_id").alias("style_id"))
+
 
+def assigned(sql: str) -> str:
+    """Of a result for all styles, each document's rows in its own style."""
+    return f"select * from ({sql}) as every_style where style_id = {ASSIGNED}"
 
-CELL_BOUND = None
 
 __all__ = [
+    "ASSIGNED",
+    "assigned",
+    "document_styles",
     "DOC_LINES",
-    "CELL_BOUND",
     "MANUSCRIPT_LINES",
     "NOISY_LINES",
     "SECTION_NAMES",
@@ -87,7 +105,6 @@ __all__ = [
     "doc_lines",
     "labelled_documents",
     "labelled_manuscripts",
-    "long_orders",
     "manuscript_elements",
     "manuscript_lines",
     "noisy_elements",

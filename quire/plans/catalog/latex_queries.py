@@ -8,10 +8,8 @@ from quire.operators import latex as L
 from quire.plans.catalog.inputs import (
     DOC_LINES,
     MANUSCRIPT_LINES,
-    CELL_BOUND,
     doc_elements,
     doc_lines,
-    long_orders,
     manuscript_lines,
     table,
 )
@@ -30,7 +28,7 @@ _PARAGRAPHS = "replace(content, chr(10), concat(chr(10), chr(10)))"
 
 
 def _sections(spark, sf):
-    return L.split_sections(manuscript_lines(spark, sf), long_orders(spark, sf))
+    return L.split_sections(manuscript_lines(spark, sf))
 
 
 def _spaced(df):
@@ -99,7 +97,7 @@ def _sanitised(spark, sf):
 QUERIES = {
     "split_sections": (_sections, f"{_SECTIONS} select doc_id, section_no, title, content from sections"),
     "split_sections_documents": (
-        lambda spark, sf: L.split_sections(doc_lines(spark, sf), CELL_BOUND),
+        lambda spark, sf: L.split_sections(doc_lines(spark, sf)),
         _SECTIONS.replace(MANUSCRIPT_LINES, DOC_LINES) + " select doc_id, section_no, title, content from sections",
     ),
     "chunk_sections": (

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from quire.functions import predicates as P
 from quire.operators import merge as M
 from quire.operators import structure as S
-from quire.ordering import checkpoint, reindex
+from quire.ordering import reindex
 from quire.plans.catalog.inputs import (
-    CELL_BOUND,
     DOC_LINES,
     MANUSCRIPT_LINES,
     NOISY_LINES,
@@ -18,7 +17,6 @@ from quire.plans.catalog.inputs import (
     doc_elements,
     labelled_documents,
     labelled_manuscripts,
-    long_orders,
     manuscript_elements,
     noisy_elements,
     unlabelled_elements,
@@ -165,16 +163,14 @@ _STEPS = [
 ]
 
 
-_ROW_LOCAL = ("keyword", "keywords", "captions")
 
-
-def _upto(name: str, source, limit=lambda spark, sf: CELL_BOUND):
+def _upto(name: str, source):
     """Operators applied one by one up to ``name``."""
 
     def run(spark, sf):
-        df, known = source(spark, sf), limit(spark, sf)
+        df = source(spark, sf)
         for step, op in _STEPS:
-            df = op(df) if step in _ROW_LOCAL else op(df, known)
+            df = op(df)
             if step == name:
                 return _out(df)
         raise KeyError(name)
@@ -204,12 +200,12 @@ def _corrections(spark, sf):
 
 
 def _review(spark, sf):
-    return S.review_candidates(labelled_documents(spark, sf), max_rows=CELL_BOUND)
+    return S.review_candidates(labelled_documents(spark, sf))
 
 
 def _context(spark, sf):
-    labelled = checkpoint(labelled_documents(spark, sf))
-    wanted = S.review_candidates(labelled, max_rows=CELL_BOUND).select("doc_id", "idx").distinct()
+    labelled = labelled_documents(spark, sf).persist()
+    wanted = S.review_candidates(labelled).select("doc_id", "idx").distinct()
     return S.review_context(labelled, wanted)
 
 
@@ -235,11 +231,11 @@ _MERGE_SQL = f"""{_M},
 
 
 def _merge_groups(spark, sf):
-    return M.merge_groups(labelled_documents(spark, sf), max_rows=CELL_BOUND).select("doc_id", "idx", "grp", "starts")
+    return M.merge_groups(labelled_documents(spark, sf)).select("doc_id", "idx", "grp", "starts")
 
 
 def _merged(spark, sf):
-    return M.merge(labelled_documents(spark, sf), force=True, max_rows=CELL_BOUND).select("doc_id", "idx", "role", "content")
+    return M.merge(labelled_documents(spark, sf), force=True).select("doc_id", "idx", "role", "content")
 
 
 _JOINED_SQL = f"""{_MERGE_SQL},
@@ -255,16 +251,16 @@ QUERIES = {
         "when 4 then 'abstract_body' else 'unknown' end as role, cast(case idx % 7 when 0 then 0.92 when 1 then 0.88 "
         "when 2 then 0.88 when 4 then 0.85 else 0.0 end as double) as confidence from lines",
     ),
-    "role_from_keyword": (_upto("keyword", manuscript_elements, long_orders), labelled_sql(MANUSCRIPT_LINES, "keyword")),
-    "reference_section": (_upto("reference", manuscript_elements, long_orders), labelled_sql(MANUSCRIPT_LINES, "reference")),
+    "role_from_keyword": (_upto("keyword", manuscript_elements), labelled_sql(MANUSCRIPT_LINES, "keyword")),
+    "reference_section": (_upto("reference", manuscript_elements), labelled_sql(MANUSCRIPT_LINES, "reference")),
     "reference_block_without_label": (
-        _upto("reference", unlabelled_elements, long_orders),
+        _upto("reference", unlabelled_elements),
         labelled_sql(UNLABELLED_LINES, "reference"),
     ),
     "title_detection": (_upto("title", doc_elements), labelled_sql(DOC_LINES, "title")),
     "author_affiliation": (_upto("author", doc_elements), labelled_sql(DOC_LINES, "author")),
     "author_affiliation_manuscripts": (
-        _upto("author", manuscript_elements, long_orders),
+        _upto("author", manuscript_elements),
         labelled_sql(MANUSCRIPT_LINES, "author"),
     ),
     "abstract_detection": (_upto("abstract", doc_elements), labelled_sql(DOC_LINES, "abstract")),
@@ -276,7 +272,7 @@ QUERIES = {
     ),
     "suppress_zone": (_upto("artifact", noisy_elements), labelled_sql(NOISY_LINES, "artifact")),
     "keyword_lines": (_upto("keywords", doc_elements), labelled_sql(DOC_LINES, "keywords")),
-    "caption_lines": (_upto("captions", manuscript_elements, long_orders), labelled_sql(MANUSCRIPT_LINES, "captions")),
+    "caption_lines": (_upto("captions", manuscript_elements), labelled_sql(MANUSCRIPT_LINES, "captions")),
     "extend_front_matter": (_upto("front", noisy_elements), labelled_sql(NOISY_LINES, "front")),
     "fill_remaining": (_upto("fill", noisy_elements), labelled_sql(NOISY_LINES)),
     "detect_structure": (lambda spark, sf: _out(labelled_documents(spark, sf)), labelled_sql(DOC_LINES)),
@@ -285,7 +281,7 @@ QUERIES = {
         labelled_sql(MANUSCRIPT_LINES),
     ),
     "detect_structure_noisy": (
-        lambda spark, sf: _out(S.detect_structure(noisy_elements(spark, sf), CELL_BOUND)),
+        lambda spark, sf: _out(S.detect_structure(noisy_elements(spark, sf))),
         labelled_sql(NOISY_LINES),
     ),
     "role_counts_by_language": (
@@ -361,7 +357,7 @@ QUERIES = {
     "merge_groups": (_merge_groups, f"{_MERGE_SQL} select doc_id, idx, grp, starts from groups"),
     "merge_paragraphs": (_merged, _JOINED_SQL),
     "reindex": (
-        lambda spark, sf: reindex(doc_elements(spark, sf).filter("content not like '%a%'"), CELL_BOUND).select("doc_id", "idx", "content"),
+        lambda spark, sf: reindex(doc_elements(spark, sf).filter("content not like '%a%'")).select("doc_id", "idx", "content"),
         f"with {DOC_LINES} select doc_id, cast(row_number() over (partition by doc_id order by idx) - 1 as int) as idx, content "
         "from lines where content not like '%a%'",
     ),

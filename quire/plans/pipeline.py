@@ -11,7 +11,7 @@ from quire.operators.formatting import format_changes, target_format
 from quire.operators.matching import citation_report, match_citations
 from quire.operators.merge import merge
 from quire.operators.structure import detect_structure, structure_summary_map
-from quire.ordering import MAX_ROWS_PER_DOCUMENT, Limit, checkpoint, long_documents
+from quire.ordering import Limit, long_documents
 
 
 @dataclass(frozen=True)
@@ -30,17 +30,21 @@ class Analysis:
 
 
 def analyse(
-    elements: DataFrame, specs: DataFrame, fuzzy: str = "ratio", max_rows: Limit = MAX_ROWS_PER_DOCUMENT
+    elements: DataFrame,
+    specs: DataFrame,
+    doc_styles: DataFrame,
+    fuzzy: str = "ratio",
+    max_rows: Limit = None,
 ) -> Analysis:
-    """Label, extract, reconcile and plan, for every document and every style in ``specs``.
+    """Label, extract, reconcile and plan every document in the style ``doc_styles`` gives it.
 
     Tables that several results read - labelled elements, citations, references - are
-    computed once and kept in the checkpoint folder.
+    computed once and persisted.
     """
     limit = long_documents(elements, max_rows)
-    labelled = checkpoint(detect_structure(elements, limit))
-    citations = checkpoint(extract_citations(labelled))
-    references = checkpoint(primary_references(references_of(labelled, limit)))
+    labelled = detect_structure(elements, limit).persist()
+    citations = extract_citations(labelled).persist()
+    references = primary_references(references_of(labelled, limit)).persist()
     documents = labelled.select("doc_id").distinct()
     merged = merge(labelled, max_rows=limit)
     return Analysis(
@@ -50,7 +54,7 @@ def analyse(
         citations=citations,
         references=references,
         matches=match_citations(citations, references, fuzzy),
-        report=citation_report(documents, citations, references, specs, fuzzy),
-        plan=target_format(merged, specs),
-        changes=format_changes(merged, specs, limit),
+        report=citation_report(documents, citations, references, specs, doc_styles, fuzzy),
+        plan=target_format(merged, specs, doc_styles),
+        changes=format_changes(merged, specs, doc_styles, limit),
     )

@@ -251,13 +251,13 @@ def builtin_style_specs(spark: SparkSession) -> DataFrame:
 def style_for(requests: DataFrame, specs: DataFrame) -> DataFrame:
     """Requests ``(…, style_id)`` with the specification; an unknown id falls back to apa7."""
     known = specs.select(F.col("style_id").alias("_known"))
-    wanted = requests.join(F.broadcast(known), F.col("style_id") == F.col("_known"), "left")
+    wanted = requests.join(known, F.col("style_id") == F.col("_known"), "left")
     resolved = F.coalesce("_known", F.lit(FALLBACK_STYLE))
     spec = specs.select("style_id", F.struct("*").alias("spec"))
     return (
         wanted.withColumn("resolved_style", resolved)
         .drop("_known")
         .join(
-            F.broadcast(spec.withColumnRenamed("style_id", "resolved_style")), "resolved_style"
+            spec.withColumnRenamed("style_id", "resolved_style"), "resolved_style"
         )
     )

@@ -6,6 +6,7 @@ from quire.functions import citation_text as T
 from quire.operators import citations as C
 from quire.operators import matching as J
 from quire.sources.exports import csl_json
+from quire.operators.styles import every_style
 from quire.sources.styles import builtin_style_specs
 
 
@@ -133,6 +134,6 @@ def test_numeric_document_and_report(spark):
     cits, refs = C.extract_citations(e), C.primary_references(C.references_of(e))
     got = sorted((r.text, r.number or 0, r.ref_idx or 0) for r in J.match_citations(cits, refs).collect())
     assert got == [("(1, 3)", 1, 1), ("(1, 3)", 3, 0), ("(2)", 2, 3), ("(9)", 9, 0), ("Smith (2000)", 0, 1)]
-    report = J.citation_report(e.select("doc_id").distinct(), cits, refs, builtin_style_specs(spark))
+    report = J.citation_report(e.select("doc_id").distinct(), cits, refs, builtin_style_specs(spark), every_style(e, ["apa7", "ieee"]))
     r = report.filter("style_id = 'ieee'").collect()[0]
     assert (r.matched, r.orphan_citations, r.uncited_references, r.consistency_score) == (3, 2, 1, 57.1)

@@ -10,6 +10,7 @@ from quire.plans.catalog import QUERIES
 from quire.plans.pipeline import analyse
 from quire.sources.docx import read_docx_corpus
 from quire.sources.exports import write_reports
+from quire.operators.styles import every_style
 from quire.sources.styles import builtin_style_specs, read_style_specs
 from quire.sources.text import from_lines, read_text_files, read_text_manuscripts
 from quire.streaming.incremental import incremental_pipeline, labelled_elements
@@ -93,7 +94,7 @@ def test_heading_numbers(spark):
     got = {r.idx: r.prefix for r in formatting.number_headings(e).collect()}
     assert got == {0: "I.", 1: "A.", 2: "B.", 3: "1)", 4: "2)", 6: "II.", 7: "1)"}
     ieee = builtin_style_specs(spark).filter("style_id = 'ieee'")
-    text = {r.idx: r.new_text for r in formatting.heading_text(e, ieee).collect()}
+    text = {r.idx: r.new_text for r in formatting.heading_text(e, ieee, every_style(e, ["ieee"])).collect()}
     assert text[1] == "A. First" and text[6] == "II. METHODS" and text[5] == "REFERENCES"
 
 
@@ -110,7 +111,7 @@ def test_latex_postprocess(spark):
 def test_pipeline_and_reports(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     specs = builtin_style_specs(spark).filter("style_id in ('apa7', 'ieee')")
-    out = analyse(read_text_manuscripts(docs, by_document=True), specs, max_rows=None)
+    out = analyse(read_text_manuscripts(docs, by_document=True), specs, every_style(docs, ["apa7", "ieee"]))
     assert out.summary.count() == docs.count()
     write_reports(out.report, str(tmp_path / "r"), mode="overwrite")
     assert spark.read.parquet(str(tmp_path / "r")).groupBy("style_id").count().count() == 2
