@@ -163,7 +163,8 @@ def spans(placed: DataFrame, slots: DataFrame, mix: Mix, how: str) -> DataFrame:
     parts = placed.filter("size > 0").withColumn("block", F.explode(blocks))
     start = F.col("block") * words
     parts = parts.withColumns({"a": F.greatest(F.col("first"), start), "b": F.least(end, start + words)})
-    read = parts.join(slots, ["rank", "block"], how)
+    # Spark can't foresee how many slots a source unfolds to, so it must not choose a broadcast.
+    read = parts.join(slots.hint("merge"), ["rank", "block"], how)
     low, high = F.col("a"), F.least(F.col("b"), start + F.coalesce("words", F.lit(0)))
     return read.withColumns({"low": low - F.col("first"), "high": F.greatest(low, high) - F.col("first")})
 
