@@ -30,8 +30,13 @@ def words(s: str) -> str:
     return f"filter(split({s}, {raw(SPACE_RUN)}), w -> w <> '')"
 
 
+def every_script(pattern: str) -> str:
+    """The pattern with word, digit and space classes of all scripts, and ``.`` up to a newline only."""
+    return "(?Ud)" + pattern
+
+
 def matches(s: str, pattern: str) -> str:
-    return f"({s} rlike {raw(pattern)})"
+    return f"({s} rlike {raw(every_script(pattern))})"
 
 
 class SqlFunction:

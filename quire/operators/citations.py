@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.base import every_script
 from quire.functions import citation_text as C
 from quire.functions.base import strip
 from quire.ordering import Limit, over_documents, total
@@ -120,9 +121,9 @@ def parse_references(entries: DataFrame, text: str = "text") -> DataFrame:
     cols = entries.columns
     df = entries.withColumns(
         {
-            "_apa": F.when(t.rlike(r"\(\d{4}\)\."), _groups(t, C.APA_JOURNAL, 8)),
+            "_apa": F.when(t.rlike(r"\(\d{4}\)\."), _groups(t, every_script(C.APA_JOURNAL), 8)),
             "_num": F.when(
-                t.rlike(r"^\d{1,3}[.)].*\(\d{4}\)"), _groups(t, C.NUMBERED_JOURNAL + r"[\s\S]*$", 8)
+                t.rlike(every_script(r"^\d{1,3}[.)].*\(\d{4}\)")), _groups(t, every_script(C.NUMBERED_JOURNAL) + r"[\s\S]*$", 8)
             ),
             "_plain": F.regexp_replace(t, r"^\d{1,3}[.)]\s*", ""),
         }
@@ -173,7 +174,7 @@ def parse_references_simple(entries: DataFrame, text: str = "text") -> DataFrame
     cols = entries.columns
     df = entries.withColumn("_t", F.expr(strip(text)))
     t = F.col("_t")
-    df = df.withColumn("_m", F.when(t.rlike(r"\(\d{4}\)\."), _groups(t, C.SIMPLE_JOURNAL, 8)))
+    df = df.withColumn("_m", F.when(t.rlike(r"\(\d{4}\)\."), _groups(t, every_script(C.SIMPLE_JOURNAL), 8)))
     df = _after_year(df, t)
     m, cut = F.col("_m"), F.col("_cut")
     hit = m.isNotNull()

@@ -77,10 +77,10 @@ def search_text(elements: DataFrame, query: str, case_sensitive: bool = False) -
     )
 
 
-def snapshot(elements: DataFrame, last: int = 5) -> DataFrame:
-    """O-E5: counts and the last five rows, 200 characters each."""
+def snapshot(elements: DataFrame, last: int = 5, chars: int = 200) -> DataFrame:
+    """O-E5: counts and the ``last`` rows, ``chars`` characters each."""
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("idx")))
-    tail = elements.select("doc_id", "idx", _style().alias("style"), F.substring("content", 1, 200).alias("text"))
+    tail = elements.select("doc_id", "idx", _style().alias("style"), F.substring("content", 1, chars).alias("text"))
     tail = tail.withColumn("_n", rank).filter(F.col("_n") <= last)
     rows = tail.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("idx", "style", "text"))).alias("last_paragraphs")
@@ -91,6 +91,16 @@ def snapshot(elements: DataFrame, last: int = 5) -> DataFrame:
 # --- text edits ---------------------------------------------------------------------
 
 
+def _last(edits: DataFrame, *values: str) -> DataFrame:
+    """One row per (doc_id, idx): of each value the last that is given.
+
+    Later means a larger ``seq``, if the edits have one, and then the larger value.
+    """
+    order = [F.col("seq")] if "seq" in edits.columns else []
+    last = [F.max(F.when(F.col(v).isNotNull(), F.struct(*order, F.col(v).alias("v"))))["v"].alias(v) for v in values]
+    return edits.groupBy("doc_id", "idx").agg(*last)
+
+
 def search_and_replace(elements: DataFrame, find: str, replace: str, case_sensitive: bool = False) -> DataFrame:
     """O-E6: replace inside runs; ``n_replaced`` counts runs if case-sensitive, else occurrences."""
     f = F.lit(find)
@@ -118,9 +128,11 @@ def _with_text(runs: Column, text: Column) -> Column:
 
 
 def edit_text(elements: DataFrame, edits: DataFrame) -> DataFrame:
-    """O-E7: ``edits(doc_id, idx, new_text)``; the first run takes the text, later runs are emptied."""
-    e = edits.select("doc_id", "idx", "new_text")
-    df = elements.join(e, ["doc_id", "idx"], "left")
+    """O-E7: ``edits(doc_id, idx, new_text[, seq])``; the first run takes the text, later runs are emptied.
+
+    Of several edits of one row the last counts.
+    """
+    df = elements.join(_last(edits, "new_text"), ["doc_id", "idx"], "left")
     hit = F.col("new_text").isNotNull()
     df = df.withColumns(
         {
@@ -152,8 +164,12 @@ def _insert(elements: DataFrame, rows: DataFrame, max_rows: Limit) -> DataFrame:
     return reindex(old.unionByName(rows), max_rows)
 
 
-def _seq(edits: DataFrame) -> Column:
-    return F.col("seq") if "seq" in edits.columns else F.lit(0)
+def _ranked(edits: DataFrame, *keys: str) -> DataFrame:
+    """Edits with ``_rank`` from 0 within their keys: by ``seq``, if there is one, then by their values."""
+    rest = sorted(c for c in edits.columns if c not in (*keys, "seq"))
+    order = [*(["seq"] if "seq" in edits.columns else []), *rest] or list(keys)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
+    return edits.withColumn("_rank", rank)
 
 
 def _after(idx: Column, seq: Column) -> Column:
@@ -164,8 +180,9 @@ def _after(idx: Column, seq: Column) -> Column:
 def insert_after(elements: DataFrame, edits: DataFrame, max_rows: Limit = None) -> DataFrame:
     """O-E8: ``edits(doc_id, idx, text, style[, seq])`` put after existing rows."""
     known = edits.join(elements.select("doc_id", "idx"), ["doc_id", "idx"], "left_semi")
+    known = _ranked(known, "doc_id", "idx")
     rows = _rows_like(
-        elements, known, idx=_after(F.col("idx"), _seq(edits)), content=F.col("text"), style_name=F.col("style")
+        elements, known, idx=_after(F.col("idx"), F.col("_rank")), content=F.col("text"), style_name=F.col("style")
     )
     return _insert(elements, rows, max_rows)
 
@@ -176,9 +193,9 @@ def _ends(elements: DataFrame) -> DataFrame:
 
 def append_paragraphs(elements: DataFrame, edits: DataFrame, max_rows: Limit = None) -> DataFrame:
     """O-E8: ``edits(doc_id, text, style[, seq])`` at the end."""
-    at = edits.join(_ends(elements), "doc_id")
+    at = _ranked(edits, "doc_id").join(_ends(elements), "doc_id")
     rows = _rows_like(
-        elements, at, idx=F.col("_last") + 1 + _seq(edits), content=F.col("text"), style_name=F.coalesce("style", F.lit(NORMAL))
+        elements, at, idx=F.col("_last") + 1 + F.col("_rank"), content=F.col("text"), style_name=F.coalesce("style", F.lit(NORMAL))
     )
     return _insert(elements, rows, max_rows)
 
@@ -202,10 +219,12 @@ def append_list(
 ) -> DataFrame:
     """O-E9: ``edits(doc_id, items)`` with a JSON array of strings; other JSON adds nothing."""
     style = "List Number" if numbered else "List Bullet"
-    items = edits.select("doc_id", F.posexplode(F.from_json("items", "array<string>")).alias("_n", "_item"))
+    ranked = _ranked(edits, "doc_id")
+    items = ranked.select("doc_id", "_rank", F.posexplode(F.from_json("items", "array<string>")).alias("_n", "_item"))
     at = items.join(_ends(elements), "doc_id")
+    # Lists follow each other; an item's place is between two whole numbers.
     rows = _rows_like(
-        elements, at, idx=F.col("_last") + 1 + F.col("_n"), content=F.col("_item"), style_name=F.lit(style)
+        elements, at, idx=_after(F.col("_last") + 1 + F.col("_rank"), F.col("_n")), content=F.col("_item"), style_name=F.lit(style)
     )
     return _insert(elements, rows, max_rows)
 
@@ -312,9 +331,13 @@ def format_matching_text(elements: DataFrame, query: str, **flags) -> DataFrame:
 
 
 def format_paragraphs(elements: DataFrame, edits: DataFrame) -> DataFrame:
-    """O-E14: ``edits(doc_id, idx[, alignment, style, bold, ...])``; an unknown alignment is ignored."""
+    """O-E14: ``edits(doc_id, idx[, alignment, style, bold, ..., seq])``; an unknown alignment is ignored.
+
+    Of several edits of one row the last value of each kind counts.
+    """
     wanted = [c for c in ("alignment", "style", *RUN_FLAGS) if c in edits.columns]
-    e = edits.select("doc_id", "idx", *[F.col(c).alias(f"_{c}") for c in wanted])
+    last = _last(edits, *wanted)
+    e = last.select("doc_id", "idx", *[F.col(c).alias(f"_{c}") for c in wanted])
     df = elements.join(e, ["doc_id", "idx"], "left")
     if "alignment" in wanted:
         align = F.lower("_alignment")
@@ -335,15 +358,19 @@ def format_paragraphs(elements: DataFrame, edits: DataFrame) -> DataFrame:
     return df.select(*elements.columns)
 
 
+def _seq(edits: DataFrame) -> list[str]:
+    return ["seq"] if "seq" in edits.columns else []
+
+
 def set_style(elements: DataFrame, edits: DataFrame) -> DataFrame:
     """O-E14: ``edits(doc_id, idx, style)``."""
-    return format_paragraphs(elements, edits.select("doc_id", "idx", "style"))
+    return format_paragraphs(elements, edits.select("doc_id", "idx", "style", *_seq(edits)))
 
 
 def set_alignment(elements: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """O-E14: ``edits(doc_id, idx, alignment)``; also the edits rejected for an unknown alignment."""
     ok = F.coalesce(F.lower("alignment").isin(*ALIGNMENTS), F.lit(False))
-    done = format_paragraphs(elements, edits.filter(ok).select("doc_id", "idx", "alignment"))
+    done = format_paragraphs(elements, edits.filter(ok).select("doc_id", "idx", "alignment", *_seq(edits)))
     rejected = edits.filter(~ok).select(
         "doc_id", "idx", F.concat(F.lit("Unknown alignment '"), "alignment", F.lit("'.")).alias("error")
     )

@@ -520,10 +520,14 @@ def review_context(elements: DataFrame, candidates: DataFrame, reach: int = 2) -
 
 
 def apply_corrections(elements: DataFrame, corrections: DataFrame) -> DataFrame:
-    """O-D15: take a proposed ``(role, confidence)`` if valid and surer, or if the old one is weak."""
-    proposed = corrections.select(
-        "doc_id", "idx", F.col("role").alias("_role"), F.coalesce("confidence", F.lit(0.5)).alias("_conf")
-    )
+    """O-D15: take a proposed ``(role, confidence)`` if valid and surer, or if the old one is weak.
+
+    Of several proposals for one row the surest valid one counts, of equally sure ones the last role.
+    """
+    valid = corrections.filter(F.col("role").isin(*ROLES))
+    surest = F.max(F.struct(F.coalesce("confidence", F.lit(0.5)).alias("c"), F.col("role").alias("r")))
+    proposed = valid.groupBy("doc_id", "idx").agg(surest.alias("p"))
+    proposed = proposed.select("doc_id", "idx", F.col("p.r").alias("_role"), F.col("p.c").alias("_conf"))
     df = elements.join(proposed, ["doc_id", "idx"], "left")
     take = F.col("_role").isin(*ROLES) & ((F.col("_conf") > c.conf) | (c.conf < 0.50))
     take = F.coalesce(take, F.lit(False))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -141,9 +142,12 @@ def _paragraph(node, styles: dict, normal: str | None) -> dict:
     props = node.find(_W + "pPr")
     style_id = _val(props, "pStyle") or normal
     name, font, size, _ = styles.get(style_id, (None, None, None, False))
-    runs = [_run(r) for r in node if r.tag == _W + "r"]
-    for link in node.findall(_W + "hyperlink"):
-        runs += [_run(r) for r in link.findall(_W + "r")]
+    runs = []
+    for child in node:
+        if child.tag == _W + "r":
+            runs.append(_run(child))
+        elif child.tag == _W + "hyperlink":
+            runs += [_run(r) for r in child.findall(_W + "r")]
     return {
         "type": "paragraph",
         # The built-in names are stored in lower case and shown capitalised.
@@ -201,11 +205,21 @@ def _read_one(doc_id: int, path: str, content: bytes) -> list[dict]:
 
 def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for file in batch.to_pylist():
-            rows = _read_one(file["doc_id"], file["path"], file["content"])
+        for at in range(batch.num_rows):  # one archive at a time
+            file = {name: batch.column(name)[at].as_py() for name in batch.schema.names}
+            try:
+                rows = _read_one(file["doc_id"], file["path"], file["content"])
+            except (zipfile.BadZipFile, zlib.error, KeyError, ElementTree.ParseError, TypeError) as why:
+                rows = [_unreadable(file["doc_id"], file["path"], why)]
             yield pa.RecordBatch.from_pylist(rows, schema=_RAW_ARROW)
 
 
+def _unreadable(doc_id: int, path: str, why: Exception) -> dict:
+    """The row of a file that is no readable document: type ``error`` with the reason as its text."""
+    text = {"text": f"{type(why).__name__}: {why}"}
+    return {"doc_id": doc_id, "filename": path.rsplit("/", 1)[-1], "idx": 0, "type": "error", "drawings": 0, "runs": [text]}
+
+
 def read_docx_raw(spark: SparkSession, path: str) -> DataFrame:
     """Raw rows of every DOCX file under ``path``."""
     files = (
@@ -274,17 +288,17 @@ def to_elements(raw: DataFrame) -> DataFrame:
     fmt = F.struct(
         *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in PARAGRAPH_FORMAT.fields]
     )
-    paragraph = F.col("type") == "paragraph"
+    paragraph, table, failed = (F.col("type") == kind for kind in ("paragraph", "table", "error"))
     # A file is one archive read whole, so its rows are bounded by it.
     so_far = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     cols = {
         "elem_id": F.format_string("elem_%04d", F.col("idx") + 1),
-        "role": F.when(paragraph, "unknown").otherwise("table"),
+        "role": F.when(paragraph | failed, "unknown").otherwise("table"),
         "confidence": F.lit(0.0),
-        "content": F.when(paragraph, F.array_join(F.transform("runs", lambda r: r["text"]), "")).otherwise(""),
+        "content": F.when(paragraph | failed, F.array_join(F.transform("runs", lambda r: r["text"]), "")).otherwise(""),
         "fmt": F.when(paragraph, fmt),
         "figure_number": F.when(F.col("drawings") > 0, F.sum("drawings").over(so_far)),
-        "table_number": F.when(~paragraph, F.sum((~paragraph).cast("int")).over(so_far)),
+        "table_number": F.when(table, F.sum(table.cast("int")).over(so_far)),
     }
     return df.select(
         *[cols.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in ELEMENTS.fields]

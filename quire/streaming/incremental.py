@@ -11,18 +11,19 @@ from quire.sources.text import read_text_manuscripts
 
 
 def incremental_pipeline(
-    documents: DataFrame, output: str, checkpoint: str, available_now: bool = True
+    documents: DataFrame, output: str, checkpoint: str, available_now: bool = True, order_by: str = "text"
 ) -> StreamingQuery:
     """A stream of ``(doc_id, text)`` rows to labelled elements under ``output``.
 
     A document is complete in its row, so no watermark or state is needed.  Each batch
     writes the folder of its own batch number and replaces it if the batch is repeated, so
     a restarted job leaves the same files; ``labelled_elements`` reads the first arrival
-    of every document.
+    of every document.  Within a batch the row of smallest ``order_by`` counts: name an arrival
+    column if the stream has one, so that a repeated batch makes the same choice.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        first = batch.dropDuplicates(["doc_id"])
+        first = batch.groupBy("doc_id").agg(F.min_by("text", F.struct(order_by, "text")).alias("text"))
         labelled = detect_structure(read_text_manuscripts(first, by_document=True))
         labelled.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
 

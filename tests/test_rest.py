@@ -4,13 +4,13 @@ import pytest
 from compare import connect, difference, duck_rows, spark_rows
 from pyspark.sql import functions as F
 
-from quire.functions import register_functions
-from quire.operators import formatting, latex
+from quire.functions import predicates, register_functions
+from quire.operators import citations, edits, formatting, latex, structure
+from quire.operators.styles import every_style
 from quire.plans.catalog import QUERIES
 from quire.plans.pipeline import analyse
 from quire.sources.docx import read_docx_corpus
 from quire.sources.exports import write_reports
-from quire.operators.styles import every_style
 from quire.sources.styles import builtin_style_specs, read_style_specs
 from quire.sources.text import from_lines, read_text_files, read_text_manuscripts
 from quire.streaming.incremental import incremental_pipeline, labelled_elements
@@ -128,3 +128,38 @@ def test_incremental(spark, tmp_path):
     got = labelled_elements(spark, str(tmp_path / "out"))
     lines = read_text_manuscripts(docs.filter("doc_id % 2 = 0 or doc_id % 3 = 0"))
     assert got.count() == lines.count()
+
+
+def test_repeated_edits_and_ties(spark):
+    e = from_lines(spark.createDataFrame([(1, 0, "a"), (1, 1, "b")], "doc_id long, idx int, content string"))
+    twice = spark.createDataFrame([(1, 0, "x", 1), (1, 0, "w", 2)], "doc_id long, idx int, new_text string, seq int")
+    assert [r.content for r in edits.edit_text(e, twice).orderBy("idx").collect()] == ["w", "b"]
+    styles = spark.createDataFrame([(1, 1, "Title"), (1, 1, "Quote")], "doc_id long, idx int, style string")
+    assert [r.style_name for r in edits.set_style(e, styles).orderBy("idx").collect()][1] == "Title"
+    added = spark.createDataFrame([(1, 0, t, None) for t in "dce"], "doc_id long, idx int, text string, style string")
+    for _ in range(2):
+        got = [r.content for r in edits.insert_after(e, added.repartition(3)).orderBy("idx").collect()]
+        assert got == ["a", "c", "d", "e", "b"]
+    wanted = spark.createDataFrame([(1, 0, "title", 0.6), (1, 0, "heading_1", 0.9), (1, 0, "nonsense", 1.0)], "doc_id long, idx int, role string, confidence double")
+    fixed = structure.apply_corrections(e, wanted).orderBy("idx").collect()
+    assert [r.role for r in fixed][0] == "heading_1" and len(fixed) == 2
+
+
+def test_patterns_know_all_letters(spark):
+    df = spark.createDataFrame([("Müller et al. PNAS",), ("Müller writes",)], "content string")
+    assert [r[0] for r in df.select(predicates.is_page_artifact("content")).collect()] == [True, False]
+    text = "3. García ML (2010) On parts. Revista Española Médica 12(3): 45-67."
+    ref = citations.parse_references(spark.createDataFrame([(text,)], "text string")).collect()[0].ref
+    assert (ref.container_title, ref.volume, ref.issue, ref.pages) == ("Revista Española Médica", "12", "3", "45-67")
+
+
+def test_links_in_order_and_unreadable_files(spark, tmp_path):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    run = "<w:r><w:t xml:space='preserve'>{}</w:t></w:r>"
+    body = "<w:p>" + run.format("See ") + "<w:hyperlink>" + run.format("the link") + "</w:hyperlink>" + run.format(" for more.") + "</w:p>"
+    with zipfile.ZipFile(tmp_path / "good.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", f"<w:styles {w}/>")
+    (tmp_path / "bad.docx").write_bytes(b"no archive")
+    rows = {r.type: r.content for r in read_docx_corpus(spark, str(tmp_path)).collect()}
+    assert rows["paragraph"] == "See the link for more." and rows["error"].startswith("BadZipFile")
