@@ -8,11 +8,12 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # The white space that Python's str.strip and str.split remove.
-_SPACE_CODES = (
-    "0020 0009 000a 000b 000c 000d 001c 001d 001e 001f 0085 00a0 1680 2000 2001 2002 2003 "
-    "2004 2005 2006 2007 2008 2009 200a 2028 2029 202f 205f 3000"
+SPACE_CODES = (
+    "0020", "0009", "000a", "000b", "000c", "000d", "001c", "001d", "001e", "001f", "0085", "00a0",
+    "1680", "2000", "2001", "2002", "2003", "2004", "2005", "2006", "2007", "2008", "2009", "200a",
+    "2028", "2029", "202f", "205f", "3000",
 )
-SPACES = "'" + "".join(f"\\u{c}" for c in _SPACE_CODES.split()) + "'"
+SPACES = "'" + "".join(f"\\u{c}" for c in SPACE_CODES) + "'"
 SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 WORD = r"(?U)[^\s\x1c-\x1f]+"
 

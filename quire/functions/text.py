@@ -5,18 +5,21 @@ from __future__ import annotations
 from quire.functions.base import SPACE_RUN, SPACES, WORD, raw, sql_function, strip, words
 
 # Zero-width and format code points removed from element content.
-_INVISIBLE_CODES = (
-    "200b 200c 200d 200e 200f feff 00ad 2028 2029 034f 061c 180e fff9 fffa fffb"
+INVISIBLE_CODES = (
+    "200b", "200c", "200d", "200e", "200f", "feff", "00ad", "2028", "2029", "034f", "061c", "180e",
+    "fff9", "fffa", "fffb",
 )
-INVISIBLE = "'" + "".join(f"\\u{c}" for c in _INVISIBLE_CODES.split()) + "'"
+INVISIBLE = "'" + "".join(f"\\u{c}" for c in INVISIBLE_CODES) + "'"
 
 # Minor words of the two title-case rules.
-APA_MINOR_WORDS = (
-    "a an and as at but by for if in nor of on or so the to up yet"
-).split()
-HEADING_MINOR_WORDS = (
-    "a an the and but or for nor on at to by in of up as is if it vs via so yet"
-).split()
+APA_MINOR_WORDS = [
+    "a", "an", "and", "as", "at", "but", "by", "for", "if", "in", "nor", "of", "on", "or", "so",
+    "the", "to", "up", "yet",
+]
+HEADING_MINOR_WORDS = [
+    "a", "an", "the", "and", "but", "or", "for", "nor", "on", "at", "to", "by", "in", "of", "up",
+    "as", "is", "if", "it", "vs", "via", "so", "yet",
+]
 
 # Fixed value: numbering in front of a heading.
 HEADING_NUMBER = r"^(?:[IVXLC]+[.)]\s*|[A-Za-z][.)]\s*|\d+[.)]\s*)"

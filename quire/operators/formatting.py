@@ -33,7 +33,10 @@ UNNUMBERED = (
     "supporting information",
 )
 # Roman numerals of the first twenty sections.
-ROMAN = "I II III IV V VI VII VIII IX X XI XII XIII XIV XV XVI XVII XVIII XIX XX".split()
+ROMAN = [
+    "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI", "XII", "XIII", "XIV", "XV",
+    "XVI", "XVII", "XVIII", "XIX", "XX",
+]
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FRONT_ROLES = ("title", "author_info", "abstract_label", "abstract_body", "keywords")
 

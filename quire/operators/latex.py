@@ -191,12 +191,7 @@ def escape_fallback(title: Column, content: Column) -> Column:
     return F.concat(F.lit("\\section{"), title, F.lit("}\n\n"), escaped)
 
 
-# Preamble lines per style; a style without one takes the default.
-_ARTICLE = ["\\documentclass[12pt]{article}", "\\usepackage[margin=1in]{geometry}"]
-_SPACED = [*_ARTICLE, "\\usepackage{times}", "\\usepackage{setspace}", "\\doublespacing"]
-_COMMON = ["\\usepackage{amsmath}", "\\usepackage{graphicx}", "\\usepackage{hyperref}", "\\usepackage{float}"]
-_ENCODING = ["\\usepackage[utf8]{inputenc}", "\\usepackage[T1]{fontenc}"]
-_INDENT = ["\\usepackage{indentfirst}", "\\setlength{\\parindent}{0.5in}"]
+# The preamble of each style, line by line.
 PREAMBLES = {
     "ieee": [
         "\\documentclass[conference]{IEEEtran}",
@@ -207,14 +202,74 @@ PREAMBLES = {
         "\\usepackage{xcolor}",
         "\\usepackage{hyperref}",
         "\\usepackage{float}",
-        *_ENCODING,
+        "\\usepackage[utf8]{inputenc}",
+        "\\usepackage[T1]{fontenc}",
+    ],
+    "apa7": [
+        "\\documentclass[12pt]{article}",
+        "\\usepackage[margin=1in]{geometry}",
+        "\\usepackage{times}",
+        "\\usepackage{setspace}",
+        "\\doublespacing",
+        "\\usepackage{amsmath}",
+        "\\usepackage{graphicx}",
+        "\\usepackage{hyperref}",
+        "\\usepackage{float}",
+        "\\usepackage{natbib}",
+        "\\usepackage{caption}",
+        "\\usepackage[utf8]{inputenc}",
+        "\\usepackage[T1]{fontenc}",
+        "\\usepackage{indentfirst}",
+        "\\setlength{\\parindent}{0.5in}",
+    ],
+    "mla": [
+        "\\documentclass[12pt]{article}",
+        "\\usepackage[margin=1in]{geometry}",
+        "\\usepackage{times}",
+        "\\usepackage{setspace}",
+        "\\doublespacing",
+        "\\usepackage{amsmath}",
+        "\\usepackage{graphicx}",
+        "\\usepackage{hyperref}",
+        "\\usepackage{float}",
+        "\\usepackage[utf8]{inputenc}",
+        "\\usepackage[T1]{fontenc}",
+        "\\usepackage{indentfirst}",
+        "\\setlength{\\parindent}{0.5in}",
+    ],
+    "chicago": [
+        "\\documentclass[12pt]{article}",
+        "\\usepackage[margin=1in]{geometry}",
+        "\\usepackage{times}",
+        "\\usepackage{setspace}",
+        "\\doublespacing",
+        "\\usepackage{amsmath}",
+        "\\usepackage{graphicx}",
+        "\\usepackage{hyperref}",
+        "\\usepackage{float}",
+        "\\usepackage{caption}",
+        "\\usepackage[utf8]{inputenc}",
+        "\\usepackage[T1]{fontenc}",
+        "\\usepackage{indentfirst}",
+        "\\setlength{\\parindent}{0.5in}",
+    ],
+    "vancouver": [
+        "\\documentclass[12pt]{article}",
+        "\\usepackage[margin=1in]{geometry}",
+        "\\usepackage{times}",
+        "\\usepackage{setspace}",
+        "\\doublespacing",
+        "\\usepackage{amsmath}",
+        "\\usepackage{graphicx}",
+        "\\usepackage{hyperref}",
+        "\\usepackage{float}",
+        "\\usepackage{caption}",
+        "\\usepackage[utf8]{inputenc}",
+        "\\usepackage[T1]{fontenc}",
     ],
-    "apa7": [*_SPACED, *_COMMON, "\\usepackage{natbib}", "\\usepackage{caption}", *_ENCODING, *_INDENT],
-    "mla": [*_SPACED, *_COMMON, *_ENCODING, *_INDENT],
-    "chicago": [*_SPACED, *_COMMON, "\\usepackage{caption}", *_ENCODING, *_INDENT],
-    "vancouver": [*_SPACED, *_COMMON, "\\usepackage{caption}", *_ENCODING],
     "default": [
-        *_ARTICLE,
+        "\\documentclass[12pt]{article}",
+        "\\usepackage[margin=1in]{geometry}",
         "\\usepackage{amsmath}",
         "\\usepackage{amssymb}",
         "\\usepackage{graphicx}",
@@ -223,7 +278,8 @@ PREAMBLES = {
         "\\usepackage{caption}",
         "\\usepackage{natbib}",
         "\\usepackage{times}",
-        *_ENCODING,
+        "\\usepackage[utf8]{inputenc}",
+        "\\usepackage[T1]{fontenc}",
     ],
 }
 
