@@ -98,9 +98,22 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, head: int, short: int) -> Vocabulary:
-    """The totals, and the bounded head of the count table."""
-    tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(head).collect()
+    """The totals, and the head of the count table: at most ``head`` words.
+
+    Words are counted by the power of two their count reaches, and the head is all words from
+    the lowest power that leaves no more than ``head``; only these come to the driver.
+    """
+    power = F.floor(F.log2("c")).cast("int")
+    sizes = counts.groupBy(power.alias("power")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()
+    tokens, distinct = sum(r.c for r in sizes), sum(r.n for r in sizes)
+    lowest, above = 64, 0
+    for r in sorted(sizes, reverse=True):
+        above += r.n
+        if above > head:
+            break
+        lowest = r.power
+    top = counts.filter(power >= lowest).collect()
+    top.sort(key=lambda r: (-r.c, r.token))
     known = {r.token: r.c for r in top}
     end = counts.filter(F.col("token") == END).first()
     if end is not None:
