@@ -217,10 +217,11 @@ def _matched(matches: DataFrame) -> DataFrame:
     return matches.filter("ref_idx is not null").select("doc_id", "ref_idx").distinct()
 
 
-def uncited_references(references: DataFrame, matches: DataFrame) -> DataFrame:
-    """O-J7: references never matched, first 100 characters."""
+def uncited_references(references: DataFrame, matches: DataFrame, chars: int | None = None) -> DataFrame:
+    """O-J7: references never matched, with the first ``chars`` characters of their text; None: all."""
     left = references.join(_matched(matches), ["doc_id", "ref_idx"], "left_anti")
-    return left.select("doc_id", "ref_idx", F.substring("content", 1, 100).alias("reference_text"))
+    text = F.col("content") if chars is None else F.substring("content", 1, chars)
+    return left.select("doc_id", "ref_idx", text.alias("reference_text"))
 
 
 def cited_references(references: DataFrame, matches: DataFrame) -> DataFrame:

@@ -474,14 +474,15 @@ def review_candidates(
     scattered: int = 30,
     leftovers: int = 20,
     max_rows: Limit = None,
+    chars: int = 150,
 ) -> DataFrame:
-    """O-D14: the rows worth a second look, per document, with a 150-character preview.
+    """O-D14: the rows worth a second look, per document, with a preview of ``chars`` characters.
 
     Batches are ``front`` (the first rows), ``low_confidence`` (further uncertain rows)
     and ``unknown`` (rows without a role).
     """
     lines = _with_text(elements).filter(c.is_paragraph & c.has_text)
-    rows = lines.select("doc_id", "idx", "role", "confidence", F.substring("text", 1, 150).alias("preview"))
+    rows = lines.select("doc_id", "idx", "role", "confidence", F.substring("text", 1, chars).alias("preview"))
 
     def rank(df, scan):
         df = scan.running(df, _nth=total(F.lit(1)), _unknown=total(c.unknown.cast("int")))
@@ -506,13 +507,13 @@ def review_candidates(
     return chosen.select("doc_id", "batch", "seq", "idx", "role", "confidence", "preview")
 
 
-def review_context(elements: DataFrame, candidates: DataFrame, reach: int = 2) -> DataFrame:
-    """Each candidate with the rows within ``reach`` of it, as one text block."""
+def review_context(elements: DataFrame, candidates: DataFrame, reach: int = 2, chars: int = 100) -> DataFrame:
+    """Each candidate with the rows within ``reach`` of it, ``chars`` characters each, as one text block."""
     want = candidates.select("doc_id", F.col("idx").alias("target"), F.explode(
         F.sequence(F.col("idx") - reach, F.col("idx") + reach)).alias("idx"))
     rows = want.join(elements.select("doc_id", "idx", "role", "content"), ["doc_id", "idx"])
     mark = F.when(c.idx == F.col("target"), ">>> ").otherwise("    ")
-    shown = F.concat(mark, F.lit("["), c.role, F.lit("] "), F.substring("content", 1, 100))
+    shown = F.concat(mark, F.lit("["), c.role, F.lit("] "), F.substring("content", 1, chars))
     ordered = F.array_sort(F.collect_list(F.struct("idx", "line")))
     joined = F.array_join(F.transform(ordered, lambda r: r["line"]), "\n")
     grouped = rows.withColumn("line", shown).groupBy("doc_id", "target").agg(joined.alias("context"))

@@ -255,7 +255,7 @@ QUERIES = {
         f"{_MATCH} select doc_id, idx, cit_no, text, number from matches where ref_idx is null",
     ),
     "uncited_references": (
-        _with_matches(lambda c, r: J.uncited_references(r, J.match_citations(c, r))),
+        _with_matches(lambda c, r: J.uncited_references(r, J.match_citations(c, r), chars=100)),
         f"{_MATCH} select doc_id, ref_idx, content[1:100] as reference_text from refs2 where (doc_id, ref_idx) not in (select (doc_id, ref_idx) from used)",
     ),
     "cited_references": (
