@@ -124,7 +124,7 @@ def top_k(
     blocks = pack(vectors, candidate_rows, id_col, vector_col)
     dealt = blocks.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)))
     asked = pack(queries, query_rows, id_col, vector_col)
-    asked = asked.toDF("dim", "q_n", "q_ids", "q_data").withColumn("block", F.xxhash64("q_ids", "q_data"))
+    asked = asked.toDF("dim", "q_n", "q_ids", "q_data").withColumn("block", F.monotonically_increasing_id())
     asked = asked.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)).cast("array<bigint>")))
     pairs = asked.join(dealt, ["share", "dim"])
 

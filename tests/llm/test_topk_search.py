@@ -43,6 +43,14 @@ def test_vectors(spark, block):
     assert top_k(df.limit(0), queries).count() == 0 and top_k(df, queries.limit(0)).count() == 0
 
 
+def test_repeated_queries_each_get_their_answers(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(30)], "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([(3, [3.0, 1.0])] * 4, df.schema).repartition(4)
+    got = sorted(tuple(r) for r in top_k(df, queries, 5).collect())
+    once = sorted(tuple(r) for r in top_k(df, queries.limit(1), 5).collect())
+    assert len(once) == 5 and got == sorted(once * 4)
+
+
 def test_one_query_among_few():
     ids, x = np.array([1, 2, 3]), np.array([[1, 2], [3, 4], [3, 4]])
     assert search_blocks((ids[:1], x[:1]), (ids, x), 5) == [(1, 0, 2, 11), (1, 0, 3, 11)]
