@@ -37,6 +37,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows, unless the session sets their size: rows are whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's default
+        spark.conf.set(name, "1000")
+
+
 def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[..., tuple]]) -> DataFrame:
     """Apply a function of column lists to each Arrow batch of ``df``.
 
@@ -45,6 +52,7 @@ def map_batches(df: DataFrame, schema: str, start: Callable[[], Callable[..., tu
     only rows held at a time.
     """
     arrow = to_arrow_schema(StructType.fromDDL(schema))
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
@@ -71,6 +79,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def column_function(returns: str, start: Callable[[], Callable[[list], list]]) -> Callable[[Column], Column]:
     """A scalar column function over lists of values; ``start`` runs once per task."""
     kind = to_arrow_type(DataType.fromDDL(returns))
+    bound_batches(SparkSession.active())
 
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         step = start()
@@ -80,6 +89,19 @@ def column_function(returns: str, start: Callable[[], Callable[[list], list]]) -
     return F.arrow_udf(run, returns)
 
 
+KEYS = 1 << 30
+
+
+def key_of(id_col: str) -> Column:
+    """A pseudorandom key of an id, below ``KEYS``."""
+    return F.pmod(F.xxhash64(id_col), F.lit(KEYS))
+
+
+def low_keys(wanted: int, there: int) -> int:
+    """A bound that about twice ``wanted`` of ``there`` keys lie below; all, if there are few."""
+    return KEYS if there <= 4 * wanted or wanted < 1000 else 2 * wanted * KEYS // there
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, rows: int, label_col: str = "quality", where: Column | None = None
 ) -> DataFrame:
@@ -87,10 +109,13 @@ def labelled_sample(
 
     The ids are chosen before texts are read; ``rows`` bounds what is broadcast.  Labels of one
     id that disagree count as the smallest; rows without an id or a label are left out.
+    Ids are counted first, so that only about twice ``rows`` of them meet in one place.
     """
     ids = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
     if where is not None:
         ids = ids.filter(where)
     ids = ids.groupBy("doc_id").agg(F.min("label").alias("label"))
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    most = F.lit(low_keys(rows, ids.count()))
+    chosen = ids.withColumn("key", key_of("doc_id")).filter(F.col("key") < most)
+    chosen = chosen.orderBy("key", "doc_id").limit(rows).drop("key")
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_function, map_batches
+from quire.llm.common import column_function, key_of, low_keys, map_batches
 
 UNKNOWN = "und"
 _RUN = re.compile(r"[^\W\d_]+")
@@ -31,64 +31,87 @@ def words_of(text: str) -> list[str]:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """Log frequencies per language: ``words`` and ``grams`` map to one value per language."""
+    """Log frequencies per language: ``words`` and ``grams`` map to rows of ``values``."""
 
     languages: tuple[str, ...]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    rare: np.ndarray
+    words: dict[str, int]
+    grams: dict[str, int]
+    values: np.ndarray
+    rare: list[float]
     longest: int
 
-    def word(self, word: str) -> np.ndarray:
-        """Log frequencies of one word."""
+    def word(self, word: str, gram_of) -> list[float]:
+        """Log frequencies of one word; ``gram_of`` gives those of an n-gram."""
         if (known := self.words.get(word)) is not None:
-            return known
+            return self.values[known].tolist()
         if not any(map(str.isalpha, word)):
-            return np.zeros(len(self.languages))
-        total, n = np.zeros(len(self.languages)), 0
+            return [0.0] * len(self.languages)
         marked = f"<{word}>"
         size = min(self.longest, len(marked))
-        for at in range(len(marked) - size + 1):
-            total = total + self._gram(marked[at : at + size])
-            n += 1
-        return total / n
+        n = len(marked) - size + 1
+        # Plain lists: a word has few n-grams and there are few languages.
+        return [sum(c) / n for c in zip(*[gram_of(marked[at : at + size]) for at in range(n)], strict=True)]
 
-    def _gram(self, gram: str) -> np.ndarray:
+    def gram(self, gram: str) -> list[float]:
+        """Log frequencies of one n-gram, or the mean of its two shorter parts' if it is unknown."""
         if (known := self.grams.get(gram)) is not None:
-            return known
+            return self.values[known].tolist()
         if len(gram) == 1:
             return self.rare
-        return (self._gram(gram[:-1]) + self._gram(gram[1:])) / 2
+        return [(a + b) / 2 for a, b in zip(self.gram(gram[:-1]), self.gram(gram[1:]), strict=True)]
+
+
+class Grams(dict):
+    """Values of n-grams, computed when they are first asked for."""
+
+    def __init__(self, model: LanguageModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, gram: str) -> list[float]:
+        value = self[gram] = self.model.gram(gram)
+        return value
+
+
+class Table(dict):
+    """Words to rows of a matrix, which doubles when it is full; a new word's row is computed."""
+
+    def __init__(self, width: int, row_of):
+        super().__init__()
+        self.matrix, self.row_of = np.zeros((1024, width)), row_of
+
+    def __missing__(self, key: str) -> int:
+        row = self.row_of(key)
+        at = self[key] = len(self)
+        if at == len(self.matrix):
+            self.matrix = np.vstack([self.matrix, np.zeros_like(self.matrix)])
+        self.matrix[at] = row
+        return at
+
+    def total(self, words: list[str]) -> np.ndarray:
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        return self.matrix[at].sum(0)
 
 
 class Scorer:
-    """Sums over texts; the values of at most ``limit`` words are kept between texts."""
+    """Sums over texts; the values of at most ``limit`` words and n-grams are kept between texts."""
 
     def __init__(self, model: LanguageModel, limit: int = 100_000):
         self.model, self.limit = model, limit
         self._reset()
 
     def _reset(self) -> None:
-        owner = self
-
-        class Rows(dict):
-            def __missing__(self, word: str) -> int:
-                at = self[word] = len(owner.values)
-                owner.values.append(owner.model.word(word))
-                return at
-
-        self.rows, self.values, self.matrix = Rows(), [], np.zeros((0, len(self.model.languages)))
+        grams = Grams(self.model)
+        self.grams = grams
+        self.table = Table(len(self.model.languages), lambda word: self.model.word(word, grams.__getitem__))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text or "")
         if not self.model.languages or not any(any(map(str.isalpha, w)) for w in words):
             return UNKNOWN, 0.0
-        if len(self.rows) > self.limit:
+        if max(len(self.table), len(self.grams)) > self.limit:
             self._reset()
-        at = np.fromiter(map(self.rows.__getitem__, words), dtype=np.int64, count=len(words))
-        if len(self.values) > len(self.matrix):
-            self.matrix = np.vstack([self.matrix, np.array(self.values[len(self.matrix) :])])
-        total = np.bincount(at, minlength=len(self.matrix)) @ self.matrix if len(words) > 50_000 else self.matrix[at].sum(0)
+        total = self.table.total(words)
         best = int(np.argmax(total))
         return self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
@@ -98,14 +121,19 @@ def training_sample(
 ) -> DataFrame:
     """(doc_id, lang, text) of at most ``per_language`` documents of each language, by a hash.
 
-    Spark keeps the first rows of each language within every partition before it shuffles, and
-    then only ids move; at most ``per_language * max_languages`` of them are broadcast.
+    The documents of each language are counted first, for at most ``max_languages`` languages,
+    the most frequent ones; about twice ``per_language`` ids of each are then ranked, and at
+    most ``per_language * max_languages`` ids are broadcast.
     """
-    keys = docs.filter(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    keys = docs.filter(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").dropna()
+    there = keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    most = F.lit(0)
+    for r in there:
+        most = F.when(F.col("lang") == r.lang, low_keys(per_language, r["count"])).otherwise(most)
+    keys = keys.withColumn("key", key_of("doc_id")).filter(F.col("key") < most)
+    order = Window.partitionBy("lang").orderBy("key", "doc_id")
     chosen = keys.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
-    ids = chosen.select("doc_id").dropna().distinct()
-    ids = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language * max_languages))
+    ids = F.broadcast(chosen.select("doc_id").distinct().limit(per_language * max_languages))
     learn = docs.filter(where & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
     return learn.join(ids, "doc_id", "left_semi")
 
@@ -152,14 +180,15 @@ def fit_languages(
     for r in rows:
         totals[r.kind][place[r.lang]] = r.total
         found[r.kind, r.item][place[r.lang]] = r.n
-    logs = {
-        key: np.log((n + 0.5) / (totals[key[0]] + 0.5 * max_words)) for key, n in found.items()
-    }
+    values = np.zeros((len(found), len(languages)))
+    for at, ((kind, _), n) in enumerate(found.items()):
+        values[at] = np.log((n + 0.5) / (totals[kind] + 0.5 * max_words))
     return LanguageModel(
         languages,
-        {item: v for (kind, item), v in logs.items() if kind == 0},
-        {item: v for (kind, item), v in logs.items() if kind},
-        np.log(0.5 / (totals[1] + 0.5 * max_words)) if languages else np.zeros(0),
+        {item: at for at, (kind, item) in enumerate(found) if kind == 0},
+        {item: at for at, (kind, item) in enumerate(found) if kind},
+        values,
+        np.log(0.5 / (totals[1] + 0.5 * max_words)).tolist() if languages else [],
         longest,
     )
 
