@@ -5,17 +5,25 @@ are summed by Spark into a table that grows with the corpus.  Its ``head`` most
 are known to every task; the counts of all other words are joined, and as none of them is
 frequent, no key of that join is.
 
-The model predicts the next of ``short`` frequent words, the end, or *any other word* from the
-two tokens before: the context vector is the sum of two linear maps of their vectors, and the
-score of a token is its product with the token's vector plus a bias.  It is trained in numpy by
-noise-contrastive estimation: every task runs over its part of the training documents and the
-parameters are averaged, weighted by tokens, which adds up in two steps so that no task and
-not the driver gets more than about a square root of them.
-
-With ``exp(u)`` and ``exp(v)`` the exponentials of a token's score parts from either context
-word, the normaliser of all contexts is one matrix product, so log-probabilities are exact.
-Another word has the probability of its class times ``(c + 1)`` over all counts and words of
-that class plus one; the model so is normalised over known words and one unknown.
+The model predicts the next class from the two tokens before: one of ``short`` frequent words,
+a group of *rare* words, the end, or any other word.  The context vector is the sum of two linear
+maps of their vectors, and the score of a class is its product with the class's vector plus a
+bias.  A rare word has a vector of its own, as a context and as a member of its group, in which
+it is predicted by a second softmax.  Rare words are all whose count reaches a bound that rises
+with the root of the corpus, so that their number and the share of tokens with a vector grow
+with it; groups hold about the root of their number.
+
+It is trained in numpy by noise-contrastive estimation on both levels.  Training parts hold a
+fixed number of tokens and are dealt by a hash of id and text, so they do not depend on how the
+input is split.  After each round values and optimiser states are averaged, each row weighted by
+its uses, which adds up in two steps; rounds go on until held-out documents gain no more, and
+the last one also runs over these.
+
+With ``exp(u)`` and ``exp(v)`` the exponentials of a class's score parts from either context
+word, the normaliser of all contexts that are classes is one matrix product; other normalisers
+are summed in blocks, so log-probabilities are exact.  Another word has the probability of its
+class times ``(c + 1)`` over all counts and words of that class plus one; the model so is
+normalised over known words and one unknown.
 
 Null texts count as empty and consist of the end alone.  Rows repeat as given; a document
 without an id is trained on.  Without training documents all counts are 0 and the model is
@@ -26,7 +34,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -78,27 +86,46 @@ class Vocabulary:
     distinct: int
     head: dict[str, int]
     short: tuple[str, ...]
+    rare: tuple[str, ...] = ()
+
+    @property
+    def width(self) -> int:
+        """Rare words in a group."""
+        return math.isqrt(max(0, len(self.rare) - 1)) + 1
+
+    @property
+    def groups(self) -> int:
+        return -(-len(self.rare) // self.width)
 
     @property
     def size(self) -> int:
-        """Predicted classes: the short list, the end, any other word."""
-        return len(self.short) + 2
+        """Predicted classes: the short list, the groups, the end, any other word."""
+        return len(self.short) + self.groups + 2
 
     @property
     def other_total(self) -> int:
         """Counts and words of the class of other words, and one for an unknown word."""
-        inner = sum(self.head[w] for w in self.short) + self.head.get(END, 0)
-        return self.tokens - inner + self.distinct - len(self.short) - (END in self.head) + 1
+        inner = sum(self.head[w] for w in self.short + self.rare) + self.head.get(END, 0)
+        return self.tokens - inner + self.distinct - len(self.short) - len(self.rare) - (END in self.head) + 1
+
+    def rare_counts(self) -> np.ndarray:
+        return np.array([self.head[w] for w in self.rare], dtype=np.float64)
 
     def classes(self) -> np.ndarray:
         """Smoothed frequencies of the classes."""
-        counts = [self.head[w] for w in self.short] + [self.head.get(END, 0)]
+        groups = np.bincount(np.arange(len(self.rare)) // self.width, self.rare_counts()).tolist()
+        counts = [self.head[w] for w in self.short] + groups + [self.head.get(END, 0)]
         n = np.array([*counts, self.tokens - sum(counts)], dtype=np.float64) + 1
         return n / n.sum()
 
 
-def vocabulary(counts: DataFrame, head: int, short: int) -> Vocabulary:
-    """The totals, and the head of the count table: at most ``head`` words.
+def rare_from(tokens: int) -> int:
+    """The count from which a word has a vector of its own."""
+    return max(5, math.isqrt(tokens) // 100)
+
+
+def vocabulary(counts: DataFrame, head: int, short: int, vectors_from: Callable[[int], int] | None = None) -> Vocabulary:
+    """The totals, and the head of the count table: ``head`` words, or all that have a vector.
 
     Words are counted by the power of two their count reaches, and the head is all words from
     the lowest power that leaves no more than ``head``; only these come to the driver.
@@ -112,44 +139,54 @@ def vocabulary(counts: DataFrame, head: int, short: int) -> Vocabulary:
         if above > head:
             break
         lowest = r.power
-    top = counts.filter(power >= lowest).collect()
+    bound = None if vectors_from is None else vectors_from(tokens)
+    top = counts.filter(power >= lowest if bound is None else (power >= lowest) | (F.col("c") >= bound)).collect()
     top.sort(key=lambda r: (-r.c, r.token))
     known = {r.token: r.c for r in top}
     end = counts.filter(F.col("token") == END).first()
     if end is not None:
         known[END] = end.c
-    return Vocabulary(tokens, distinct, known, tuple(r.token for r in top if r.token != END)[:short])
+    words = [r.token for r in top if r.token != END]
+    rare = () if bound is None else tuple(w for w in words[short:] if known[w] >= bound)
+    return Vocabulary(tokens, distinct, known, tuple(words[:short]), rare)
 
 
 class LogBilinear:
-    """Parameters in one vector: token vectors, two context maps, biases."""
-
-    def __init__(self, classes: int, dim: int, values: np.ndarray | None = None, seed: int = 5):
-        self.classes, self.dim = classes, dim
-        n = (classes + 1) * dim  # one more vector for the place before the text
-        shapes = [n, dim * dim, dim * dim, classes]
+    """Parameters in one vector: vectors of classes, of the place before the text and of rare
+    words, two context maps, biases of classes and of rare words."""
+
+    def __init__(self, classes: int, dim: int, values: np.ndarray | None = None, seed: int = 5, rare: int = 0):
+        self.classes, self.dim, self.rare = classes, dim, rare
+        self.rows = classes + 1 + rare
+        n = self.rows * dim
+        shapes = [n, dim * dim, dim * dim, classes + rare]
         if values is None:
             rng = np.random.default_rng(seed)
             values = np.concatenate(
-                [rng.normal(0, 0.1, n), *[np.eye(dim).ravel() * 0.5] * 2, np.zeros(classes)]
+                [rng.normal(0, 0.1, n), *[np.eye(dim).ravel() * 0.5] * 2, np.zeros(classes + rare)]
             )
         self.values = values
         ends = np.cumsum(shapes)
-        self.vectors = values[:n].reshape(classes + 1, dim)
+        self.vectors = values[:n].reshape(self.rows, dim)
+        self.maps = values[n : ends[2]]
         self.near = values[n : ends[1]].reshape(dim, dim)
         self.far = values[ends[1] : ends[2]].reshape(dim, dim)
         self.bias = values[ends[2] :]
 
     def train(
         self, tokens: np.ndarray, near: np.ndarray, far: np.ndarray, noise_of: np.ndarray, state: np.ndarray,
-        rng: np.random.Generator, noise: int = 32, rate: float = 0.1,
+        rng: np.random.Generator, noise: int = 32, rate: float = 0.1, words: np.ndarray | None = None,
+        members: tuple[np.ndarray, int] | None = None, uses: np.ndarray | None = None, inner: int = 8,
     ) -> None:
-        """One step of noise-contrastive estimation on a batch of tokens with their contexts.
+        """One step of noise-contrastive estimation on a batch of classes with their contexts.
 
-        The noise tokens are shared by the batch, so their scores are one matrix product.
-        Steps are scaled by the root of the summed squares of past gradients (``state``).
+        The noise classes are shared by the batch, so their scores are one matrix product.  Of
+        ``words`` that are rare (others are below zero) each is also told from ``inner`` words
+        drawn from its group by the running counts and the width in ``members``.  Steps are
+        scaled by the root of the summed squares of past gradients (``state``); ``uses`` adds up
+        how often each row and bias was used.
         """
-        dim, v = self.dim, self.vectors
+        dim, v, n = self.dim, self.vectors, len(tokens)
         drawn = rng.choice(len(noise_of), noise, p=noise_of)
         shift = np.log(noise * noise_of)
         a, b, out, other = v[near], v[far], v[tokens], v[drawn]
@@ -157,55 +194,175 @@ class LogBilinear:
         right = 1 / (1 + np.exp((q * out).sum(1) + self.bias[tokens] - shift[tokens]))
         wrong = -1 / (1 + np.exp(-(q @ other.T + self.bias[drawn] - shift[drawn])))
         back = right[:, None] * out + wrong @ other
-        rows = np.concatenate([tokens, near, far, drawn])
-        steps = np.concatenate([right[:, None] * q, back @ self.near.T, back @ self.far.T, wrong.T @ q])
-        place = (rows[:, None] * dim + np.arange(dim)).ravel()
-        grad = np.concatenate(
-            [
-                np.bincount(place, steps.ravel(), minlength=v.size),
-                (a.T @ back).ravel(),
-                (b.T @ back).ravel(),
-                np.bincount(tokens, right, minlength=self.classes) + np.bincount(drawn, wrong.sum(0), minlength=self.classes),
-            ]
-        )
-        grad /= len(tokens)
-        state += grad * grad
-        self.values += rate * grad / np.sqrt(state + 1e-8)
+        rows, steps = [tokens, near, far, drawn], [right[:, None] * q, None, None, wrong.T @ q]
+        places, pulls = [tokens, drawn], [right, wrong.sum(0)]
+        if words is not None and len(at := np.flatnonzero(words >= 0)):
+            (ends, width), w, qw = members, words[at], q[at]
+            low, first = w // width * width, self.classes
+            least = np.where(low > 0, ends[low - 1], 0.0)
+            most = ends[np.minimum(low + width, len(ends)) - 1]
+            found = np.searchsorted(ends, least[:, None] + rng.random((len(w), inner)) * (most - least)[:, None], "right")
+            found = np.clip(found, low[:, None], np.minimum(low + width, len(ends))[:, None] - 1)
+            pick = np.concatenate([w[:, None], found], axis=1)
+            share = np.log(inner * (ends[pick] - np.where(pick > 0, ends[pick - 1], 0.0)) / (most - least)[:, None])
+            vectors = v[first + 1 + pick]
+            pull = np.einsum("nd,nkd->nk", qw, vectors) + self.bias[first + pick] - share
+            pull[:, 0] = 1 / (1 + np.exp(pull[:, 0]))
+            pull[:, 1:] = -1 / (1 + np.exp(-pull[:, 1:]))
+            back[at] += np.einsum("nk,nkd->nd", pull, vectors)
+            rows.append((first + 1 + pick).ravel())
+            steps.append((pull[:, :, None] * qw[:, None, :]).reshape(-1, dim))
+            places.append((first + pick).ravel())
+            pulls.append(pull.ravel())
+        steps[1], steps[2] = back @ self.near.T, back @ self.far.T
+        self._apply(np.concatenate(rows), np.concatenate(steps), v, state[: v.size].reshape(v.shape), n, rate, uses, 0)
+        grad = np.concatenate([(a.T @ back).ravel(), (b.T @ back).ravel()]) / n
+        past = state[v.size : v.size + len(grad)]
+        past += grad * grad
+        self.maps += rate * grad / np.sqrt(past + 1e-8)
+        bias, past = self.bias[:, None], state[v.size + len(grad) :][:, None]
+        self._apply(np.concatenate(places), np.concatenate(pulls)[:, None], bias, past, n, rate, uses, self.rows)
+
+    @staticmethod
+    def _apply(rows, steps, values, state, n, rate, uses, first) -> None:
+        """Add up the steps of each row that is used, and move these rows only."""
+        times = np.bincount(rows, minlength=len(values))
+        used = np.flatnonzero(times)
+        place = np.zeros(len(values), dtype=np.int64)
+        place[used] = np.arange(len(used))
+        dim = values.shape[1]
+        flat = (place[rows][:, None] * dim + np.arange(dim)).ravel()
+        grad = np.bincount(flat, steps.ravel(), minlength=len(used) * dim).reshape(-1, dim) / n
+        past = state[used] + grad * grad
+        state[used] = past
+        values[used] += rate * grad / np.sqrt(past + 1e-8)
+        if uses is not None:
+            uses[first + used] += times[used]
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log-score parts of (near token, token) and (far token, token), and all log normalisers."""
-        out = self.vectors[: self.classes]
-        u = self.vectors @ self.near @ out.T
-        v = self.vectors @ self.far @ out.T + self.bias
+        out, of = self.vectors[: self.classes], self.vectors[: self.classes + 1]
+        u = of @ self.near @ out.T
+        v = of @ self.far @ out.T + self.bias[: self.classes]
         top_u, top_v = u.max(1, keepdims=True), v.max(1, keepdims=True)
         z = np.log(np.exp(u - top_u) @ np.exp(v - top_v).T) + top_u + top_v.T
         return u.astype(np.float32), v.astype(np.float32), z.astype(np.float32)
 
 
 def class_ids(vocab: Vocabulary):
-    """A function from words to (ids of the predicted classes with the end, contexts)."""
+    """A function from words to the rows of their vectors, with the end."""
     ids = {w.encode(): i for i, w in enumerate(vocab.short)}
-    end, other, before = vocab.size - 2, vocab.size - 1, vocab.size
+    ids.update((w.encode(), vocab.size + 1 + i) for i, w in enumerate(vocab.rare))
+    end, other = vocab.size - 2, vocab.size - 1
 
-    def run(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def run(words: list[bytes]) -> np.ndarray:
         get = ids.get
-        t = np.fromiter((get(w, other) for w in words), dtype=np.int64, count=len(words))
-        t = np.append(t, end)
-        near = np.concatenate([[before], t[:-1]])
-        return t, near, np.concatenate([[before], near[:-1]])
+        x = np.fromiter((get(w, other) for w in words), dtype=np.int32, count=len(words))
+        return np.append(x, np.int32(end))
 
     return run
 
 
+def contexts(texts: list[np.ndarray], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(classes, near, far, rare words or below zero) of the rows of whole texts, one after another."""
+    x = np.concatenate(texts).astype(np.int64)
+    starts = np.cumsum([0, *map(len, texts)])[:-1]
+    near = np.concatenate([[0], x[:-1]])
+    near[starts] = vocab.size
+    far = np.concatenate([[0], near[:-1]])
+    far[starts] = vocab.size
+    words = np.where(x > vocab.size, x - vocab.size - 1, -1)
+    return np.where(words >= 0, len(vocab.short) + words // vocab.width, x), near, far, words
+
+
+class Scorer:
+    """Exact natural log-probabilities of tokens, both levels."""
+
+    def __init__(self, vocab: Vocabulary, model: LogBilinear):
+        self.vocab, self.classes = vocab, model.classes
+        self.near, self.far = (np.float32(model.vectors @ m) for m in (model.near, model.far))
+        self.vectors, self.bias = np.float32(model.vectors), np.float32(model.bias)
+        self.z = model.tables()[2]
+
+    @staticmethod
+    def total(scores: np.ndarray) -> np.ndarray:
+        top = scores.max(1)
+        scores -= top[:, None]
+        np.exp(scores, out=scores)
+        return np.log(scores.sum(1)) + top
+
+    def __call__(self, t: np.ndarray, near: np.ndarray, far: np.ndarray, words: np.ndarray, block: int = 2048) -> np.ndarray:
+        c, v = self.classes, self.vectors
+        q = self.near[near] + self.far[far]
+        found = np.einsum("nd,nd->n", q, v[t]) + self.bias[t]
+        plain = (near <= c) & (far <= c)
+        found[plain] -= self.z[near[plain], far[plain]]
+        _, first, same = np.unique(near[~plain] * np.int64(len(v)) + far[~plain], return_index=True, return_inverse=True)
+        some, norms = np.flatnonzero(~plain)[first], np.empty(len(first), dtype=np.float32)
+        for at in range(0, len(some), block):
+            norms[at : at + block] = self.total(q[some[at : at + block]] @ v[:c].T + self.bias[:c])
+        found[~plain] -= norms[same]
+        at = np.flatnonzero(words >= 0)
+        group = words[at] // self.vocab.width
+        at = at[np.argsort(group, kind="stable")]
+        ends = np.cumsum(np.bincount(group, minlength=self.vocab.groups))
+        for g in np.unique(group):
+            own = at[ends[g - 1] if g else 0 : ends[g]]
+            low, high = g * self.vocab.width, min((g + 1) * self.vocab.width, len(self.vocab.rare))
+            scores = q[own] @ v[c + 1 + low : c + 1 + high].T + self.bias[c + low : c + high]
+            found[own] += scores[np.arange(len(own)), words[own] - low] - self.total(scores)
+        return found
+
+
 def fit(
-    docs: DataFrame, vocab: Vocabulary, dim: int = 16, rounds: int = 1, batch: int = 4096, text_col: str = "text"
-) -> LogBilinear:
-    """Train over all documents; each round starts from the average of the last."""
-    model = LogBilinear(vocab.size, dim)
-    model.bias[:] = np.log(vocab.classes())
-    noise_of = vocab.classes()
+    docs: DataFrame, vocab: Vocabulary, dim: int = 16, rounds: int | None = None, batch: int = 4096, text_col: str = "text",
+    id_col: str = "doc_id", part_tokens: int = 2_000_000, settled: float = 0.005, most: int = 20,
+) -> LogBilinear:
+    """Train over all documents; each round starts from the average of the last.
+
+    Without ``rounds`` they go on until the held-out log10-probability of a token gains less than
+    ``settled``, ``most`` times at most, and one round more runs over the held-out documents too.
+    """
+    spark = docs.sparkSession
+    model = LogBilinear(vocab.size, dim, rare=len(vocab.rare))
+    noise_of, counts = vocab.classes(), vocab.rare_counts()
+    model.bias[: vocab.size] = np.log(noise_of)
+    if len(counts):
+        sums = np.bincount(np.arange(len(counts)) // vocab.width, counts)
+        model.bias[vocab.size :] = np.log(counts / np.repeat(sums, vocab.width)[: len(counts)])
+    members = (np.cumsum(counts), vocab.width)
+    parts = max(1, -(-vocab.tokens // part_tokens))
+    tasks = min(parts, 2 * spark.sparkContext.defaultParallelism)
+    names = [id_col, text_col]
+    key, held = F.xxhash64(*names), F.pmod(F.hash(*names), F.lit(max(8, vocab.tokens // 100_000))) == 0
+
+    def start():
+        rows = class_ids(vocab)
+        return lambda keys, parts, held, texts: (keys, parts, held, [rows(words_of(t)).tobytes() for t in texts])
+
+    given = docs.select(key.alias("key"), F.pmod(key, F.lit(parts)).cast("int").alias("part"), held.alias("held"), text_col)
+    dealt = map_batches(given, "key bigint, part int, held boolean, x binary", start).repartition(tasks, "part")
+    dealt = cut(dealt.sortWithinPartitions("part", "key", "x"))
+    aside = cut(dealt.filter("held").select("x")) if rounds is None else None
     schema = "weight double, sums array<double>"
 
+    def likelihood(model: LogBilinear) -> float | None:
+        shared = spark.sparkContext.broadcast(model.values)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer, n, total = None, 0, 0.0
+            for b in batches:
+                if b.num_rows:
+                    scorer = scorer or Scorer(vocab, LogBilinear(vocab.size, dim, shared.value, rare=len(vocab.rare)))
+                    found = scorer(*contexts([np.frombuffer(x.as_py(), np.int32) for x in b.column(0)], vocab))
+                    n, total = n + len(found), total + float(found.sum(dtype=np.float64))
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total])], names=["n", "total"])
+
+        r = aside.mapInArrow(run, "n bigint, total double").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+        shared.unpersist()
+        return r.total / r.n * math.log10(math.e) if r.n else None
+
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, sums = 0.0, None
         for b in batches:
@@ -215,40 +372,70 @@ def fit(
         if sums is not None:
             yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([sums], pa.list_(pa.float64()))], names=["weight", "sums"])
 
-    for _ in range(rounds):
-        first = model.values
+    def weights(uses: np.ndarray, seen: float) -> np.ndarray:
+        rows = vocab.size + 1 + len(vocab.rare)
+        return np.concatenate([np.repeat(uses[:rows], dim), np.full(2 * dim * dim, seen), uses[rows:]])
+
+    def step(model: LogBilinear, state: np.ndarray, number: int, whole: bool) -> tuple[LogBilinear, np.ndarray]:
+        shared, size = spark.sparkContext.broadcast((model.values, state)), len(model.values)
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = LogBilinear(vocab.size, dim, first.copy())
-            state, rng, classes = np.zeros(len(first)), np.random.default_rng(3), class_ids(vocab)
-            waiting, n, seen = [], 0, 0
+            first, past = shared.value
+            part, sums, seen_all = None, None, 0.0
+            own = waiting = None
 
-            def step():
-                t, near, far = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            def run():
+                t, near, far, words = contexts(waiting, vocab)
                 for at in range(0, len(t), batch):
-                    own.train(t[at : at + batch], near[at : at + batch], far[at : at + batch], noise_of, state, rng)
+                    to = slice(at, at + batch)
+                    own.train(t[to], near[to], far[to], noise_of, own_state, rng, words=words[to], members=members, uses=uses)
+                return len(t)
+
+            def close():
+                nonlocal sums, seen_all
+                seen = n_seen + (run() if waiting else 0)
+                w = weights(uses, seen)
+                more = np.concatenate([(own.values - first) * w, (own_state - past) * w, uses])
+                sums, seen_all = more if sums is None else sums + more, seen_all + seen
 
             for b in batches:
-                for text in b.column(0):
-                    waiting.append(classes(words_of(text.as_py())))
-                    n += len(waiting[-1][0])
+                for p, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    if p != part:
+                        if own is not None:
+                            close()
+                        part, waiting, n, n_seen = p, [], 0, 0
+                        own = LogBilinear(vocab.size, dim, first.copy(), rare=len(vocab.rare))
+                        own_state, uses = past.copy(), np.zeros(own.rows + len(own.bias))
+                        rng = np.random.default_rng([3, number, p])
+                    waiting.append(np.frombuffer(x.as_py(), np.int32))
+                    n += len(waiting[-1])
                     if n >= batch:
-                        step()
-                        waiting, n, seen = [], 0, seen + n
-            if waiting:
-                step()
-                seen += n
-            if seen:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([float(seen)]), pa.array([own.values * seen], pa.list_(pa.float64()))], names=["weight", "sums"]
-                )
-
-        trained = docs.select(text_col).mapInArrow(learn, schema)
-        parts = max(1, math.isqrt(trained.rdd.getNumPartitions()))
-        sums = trained.repartition(parts).mapInArrow(total, schema).collect()
-        if weight := sum(r.weight for r in sums):
-            model = LogBilinear(vocab.size, dim, np.sum([r.sums for r in sorted(sums)], axis=0) / weight)
-    return model
+                        n_seen += run()
+                        waiting, n = [], 0
+            if own is not None:
+                close()
+                yield pa.RecordBatch.from_arrays([pa.array([seen_all]), pa.array([sums], pa.list_(pa.float64()))], names=["weight", "sums"])
+
+        rows = (dealt if whole else dealt.filter("not held")).select("part", "x")
+        trained = rows.mapInArrow(learn, schema)
+        sums = trained.repartition(max(1, math.isqrt(tasks))).mapInArrow(total, schema).collect()
+        shared.unpersist()
+        if not (seen := sum(r.weight for r in sums)):
+            return model, state
+        found = np.sum([r.sums for r in sorted(sums)], axis=0)
+        w = np.maximum(weights(found[2 * size :], seen), 1)
+        values = model.values + found[:size] / w
+        return LogBilinear(vocab.size, dim, values, rare=len(vocab.rare)), state + found[size : 2 * size] / w
+
+    state, last = np.zeros(len(model.values)), likelihood(model) if rounds is None else None
+    for number in range(rounds if rounds is not None else most if last is not None else 3):
+        model, state = step(model, state, number, whole=last is None)
+        if last is not None:
+            now = likelihood(model)
+            if now - last < settled:
+                break
+            last = now
+    return step(model, state, most, whole=True)[0] if last is not None else model
 
 
 def score(
@@ -260,24 +447,36 @@ def score(
     the lists are written once and joined with the counts.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model.tables())
+    shared = docs.sparkSession.sparkContext.broadcast(model.values)
+    dim = model.dim
     unit = math.log10(math.e)
     base_total = math.log10(vocab.tokens + vocab.distinct + 1)
     other_total = math.log10(vocab.other_total)
 
     def start():
-        u, v, z = shared.value
-        classes, other = class_ids(vocab), vocab.size - 1
-        short = set(vocab.short)
+        scorer = Scorer(vocab, LogBilinear(vocab.size, dim, shared.value, rare=len(vocab.rare)))
+        rows, other = class_ids(vocab), vocab.size - 1
+        short = {*vocab.short, *vocab.rare}
         logs = {w.encode(): math.log10(c + 1) for w, c in vocab.head.items()}
         others = {w.encode() for w in vocab.head if w not in short and w != END}
 
+        def scored(texts, most=50_000):
+            """Each text with its rows and the sum of its log-probabilities; texts of some tokens at a time."""
+            waiting, n = [], 0
+            for i, text in enumerate(texts):
+                waiting.append((text, rows(words_of(text))))
+                n += len(waiting[-1][1])
+                if n >= most or i == len(texts) - 1:
+                    logs = scorer(*contexts([t for _, t in waiting], vocab)).astype(np.float64)
+                    starts = np.cumsum([0, *(len(t) for _, t in waiting)])[:-1]
+                    for (text, t), log in zip(waiting, np.add.reduceat(logs, starts), strict=True):
+                        yield text, t, float(log) * unit
+                    waiting, n = [], 0
+
         def step(ids, texts):
             columns = [[] for _ in range(6)]
-            for text in texts:
+            for text, t, model_sum in scored(texts):
                 words = words_of(text)
-                t, near, far = classes(words)
-                model_sum = float((u[near, t] + v[far, t] - z[near, far]).sum(dtype=np.float64)) * unit
                 found = Counter(words)
                 head = logs.get(END.encode(), 0.0)
                 known, tail_words, tail_counts, in_other = int(END.encode() in logs), [], [], 0.0
@@ -320,12 +519,12 @@ def score(
 
 
 def learn_and_score(
-    docs: DataFrame, training: Column, head: int = 100_000, short: int = 1000, dim: int = 16, rounds: int = 1,
+    docs: DataFrame, training: Column, head: int = 100_000, short: int = 1000, dim: int = 16, rounds: int | None = None,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Count and train on the rows where ``training`` holds, and score every document."""
     learn = docs.filter(training)
     counts = cut(count_tokens(learn, text_col))
-    vocab = vocabulary(counts, head, short)
-    model = fit(learn, vocab, dim, rounds, text_col=text_col)
+    vocab = vocabulary(counts, head, short, rare_from)
+    model = fit(learn, vocab, dim, rounds, text_col=text_col, id_col=id_col)
     return score(docs, counts, vocab, model, id_col, text_col)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm.common import fold
-from quire.llm.lm_scoring import LogBilinear, Vocabulary, count_tokens, fit, learn_and_score, score, vocabulary
+from quire.llm.lm_scoring import LogBilinear, Scorer, Vocabulary, class_ids, contexts, count_tokens, fit, learn_and_score, rare_from, score, vocabulary
 from quire.llm.queries import op6_lm_scoring
 
 
@@ -94,3 +94,34 @@ def test_nothing_to_learn_from(spark):
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got} == {(1, 3, 0, 0, 0.0), (2, 1, 0, 0, 0.0)}
     assert learn_and_score(df.limit(0), F.lit(True)).count() == 0
     assert Vocabulary(0, 0, {}, ()).other_total == 1
+
+
+def test_rare_words_have_vectors_and_both_levels_are_normalised(spark):
+    # A rare word is followed by a rare word that it determines; no word is among the short ones.
+    rows = [(i, " ".join(f"a{(i * 7 + k) % 40} b{(i * 7 + k) % 40}" for k in range(20))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = count_tokens(df)
+    vocab = vocabulary(counts, 10, 2, rare_from)
+    assert len(vocab.rare) == 78 and vocab.groups > 1 and vocab.other_total == 1
+    model = fit(df, vocab, dim=8, rounds=20)
+    scorer, place = Scorer(vocab, model), class_ids(vocab)
+    a, b = (int(place([w.encode()])[0]) for w in vocab.rare[:2])
+    ends = [place([w.encode()])[:1] for w in [*vocab.short, *vocab.rare, "unknown"]] + [place([])]
+    x = np.concatenate([[a, b, int(e[0])] for e in ends])
+    t, near, far, words = contexts([np.array(x, dtype=np.int32)], vocab)
+    at = np.arange(2, len(x), 3)
+    assert abs(np.exp(scorer(t[at], near[at], far[at], words[at])).sum() - 1) < 1e-4
+    texts = [(i, f"a{i} b{i}") for i in range(40)] + [(100 + i, f"a{i} b{(i + 20) % 40}") for i in range(40)]
+    got = {r.doc_id: r.score for r in score(spark.createDataFrame(texts, df.schema), counts, vocab, model).collect()}
+    assert sum(got[i] for i in range(40)) > sum(got[100 + i] for i in range(40)) + 20
+
+
+def test_vocabulary_follows_the_corpus(spark):
+    sizes = []
+    for sf in ("sf0.01", "sf0.1"):
+        counts = count_tokens(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")).cache()
+        vocab = vocabulary(counts, 100_000, 1000, rare_from)
+        have = {r.token for r in counts.filter(F.col("c") >= rare_from(vocab.tokens)).collect()} - {" "}
+        assert have == {*vocab.short, *vocab.rare}
+        sizes.append(len(have))
+    assert sizes[1] > 1.5 * sizes[0] > 3000
