@@ -140,13 +140,12 @@ def vocabulary(counts: DataFrame, head: int, short: int, vectors_from: Callable[
             break
         lowest = r.power
     bound = None if vectors_from is None else vectors_from(tokens)
-    top = counts.filter(power >= lowest if bound is None else (power >= lowest) | (F.col("c") >= bound)).collect()
-    top.sort(key=lambda r: (-r.c, r.token))
-    known = {r.token: r.c for r in top}
+    top = counts.filter(power >= lowest if bound is None else (power >= lowest) | (F.col("c") >= bound)).toArrow()
+    known = dict(sorted(zip(*(c.to_pylist() for c in top.select(["token", "c"]).columns), strict=True), key=lambda r: (-r[1], r[0])))
     end = counts.filter(F.col("token") == END).first()
     if end is not None:
         known[END] = end.c
-    words = [r.token for r in top if r.token != END]
+    words = [w for w in known if w != END]
     rare = () if bound is None else tuple(w for w in words[short:] if known[w] >= bound)
     return Vocabulary(tokens, distinct, known, tuple(words[:short]), rare)
 
@@ -176,7 +175,7 @@ class LogBilinear:
     def train(
         self, tokens: np.ndarray, near: np.ndarray, far: np.ndarray, noise_of: np.ndarray, state: np.ndarray,
         rng: np.random.Generator, noise: int = 32, rate: float = 0.1, words: np.ndarray | None = None,
-        members: tuple[np.ndarray, int] | None = None, uses: np.ndarray | None = None, inner: int = 8,
+        members: tuple[np.ndarray, int] | None = None, uses: np.ndarray | None = None, inner: int = 4,
     ) -> None:
         """One step of noise-contrastive estimation on a batch of classes with their contexts.
 
@@ -230,9 +229,8 @@ class LogBilinear:
         used = np.flatnonzero(times)
         place = np.zeros(len(values), dtype=np.int64)
         place[used] = np.arange(len(used))
-        dim = values.shape[1]
-        flat = (place[rows][:, None] * dim + np.arange(dim)).ravel()
-        grad = np.bincount(flat, steps.ravel(), minlength=len(used) * dim).reshape(-1, dim) / n
+        row = place[rows]
+        grad = np.stack([np.bincount(row, step, minlength=len(used)) for step in steps.T], axis=1) / n
         past = state[used] + grad * grad
         state[used] = past
         values[used] += rate * grad / np.sqrt(past + 1e-8)
@@ -341,10 +339,10 @@ def fit(
         return lambda keys, parts, held, texts: (keys, parts, held, [rows(words_of(t)).tobytes() for t in texts])
 
     given = docs.select(key.alias("key"), F.pmod(key, F.lit(parts)).cast("int").alias("part"), held.alias("held"), text_col)
-    dealt = map_batches(given, "key bigint, part int, held boolean, x binary", start).repartition(tasks, "part")
+    dealt = map_batches(given, "key bigint, part int, held boolean, x binary", start).repartitionById(tasks, F.col("part") % tasks)
     dealt = cut(dealt.sortWithinPartitions("part", "key", "x"))
     aside = cut(dealt.filter("held").select("x")) if rounds is None else None
-    schema = "weight double, sums array<double>"
+    schema = "weight double, sums binary"  # as bytes, which the driver holds once
 
     def likelihood(model: LogBilinear) -> float | None:
         shared = spark.sparkContext.broadcast(model.values)
@@ -367,10 +365,10 @@ def fit(
         weight, sums = 0.0, None
         for b in batches:
             for w, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                values = s.values.to_numpy()
+                values = np.frombuffer(s.as_py())
                 weight, sums = weight + w, values.copy() if sums is None else sums + values
         if sums is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([sums], pa.list_(pa.float64()))], names=["weight", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([sums.tobytes()])], names=["weight", "sums"])
 
     def weights(uses: np.ndarray, seen: float) -> np.ndarray:
         rows = vocab.size + 1 + len(vocab.rare)
@@ -414,15 +412,17 @@ def fit(
                         waiting, n = [], 0
             if own is not None:
                 close()
-                yield pa.RecordBatch.from_arrays([pa.array([seen_all]), pa.array([sums], pa.list_(pa.float64()))], names=["weight", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([seen_all]), pa.array([sums.tobytes()])], names=["weight", "sums"])
 
         rows = (dealt if whole else dealt.filter("not held")).select("part", "x")
         trained = rows.mapInArrow(learn, schema)
-        sums = trained.repartition(max(1, math.isqrt(tasks))).mapInArrow(total, schema).collect()
+        for n in (max(1, math.isqrt(tasks)), 1):
+            trained = trained.repartition(n).mapInArrow(total, schema)
+        sums = trained.collect()
         shared.unpersist()
         if not (seen := sum(r.weight for r in sums)):
             return model, state
-        found = np.sum([r.sums for r in sorted(sums)], axis=0)
+        found = np.sum([np.frombuffer(r.sums) for r in sorted(sums)], axis=0)
         w = np.maximum(weights(found[2 * size :], seen), 1)
         values = model.values + found[:size] / w
         return LogBilinear(vocab.size, dim, values, rare=len(vocab.rare)), state + found[size : 2 * size] / w

@@ -125,3 +125,16 @@ def test_vocabulary_follows_the_corpus(spark):
         assert have == {*vocab.short, *vocab.rare}
         sizes.append(len(have))
     assert sizes[1] > 1.5 * sizes[0] > 3000
+
+
+def test_scores_do_not_depend_on_the_split(spark):
+    rows = [(i, " ".join(f"a{(i * 7 + k) % 30} b{(i * 7 + k) % 30}" for k in range(20))) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = count_tokens(df)
+    vocab, got = vocabulary(counts, 100, 5, rare_from), []
+    for n in (1, 200):
+        split = df.repartition(n)
+        model = fit(split, vocab, dim=4, part_tokens=8000)
+        got.append({r.doc_id: r.score for r in score(split, counts, vocab, model).collect()})
+    assert all(math.isclose(s, got[1][i], rel_tol=1e-6) for i, s in got[0].items())
+    assert sum(got[1].values()) > sum(r.base_score for r in score(df, counts, vocab, model).collect())
