@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, language_id, lm_scoring, mixing, quality_classifier, quality_rules, simhash, token_counts, topk_search, url_filter
+from quire.llm import bpe, language_id, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, token_counts, topk_search, url_filter
 from quire.llm.common import fold, labelled_sample, table
 
 
@@ -106,6 +106,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, rule_model(spark, sf_dir, docs))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(packing.token_pieces(docs, path, capacity=2048, outputs=("ids_crc32",)), capacity=2048)
+
+
 QUERIES = {
     "op1_simhash": (op1_simhash, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
@@ -117,4 +122,5 @@ QUERIES = {
     "op8_mixing": (op8_mixing, mixing.sql()),
     "op9_topk_search": (op9_topk_search, _OP9),
     "op10_quality_rules": (op10_quality_rules, None),
+    "op11_packing": (op11_packing, None),
 }
