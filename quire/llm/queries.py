@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, language_id, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, token_counts, topk_search, url_filter
+from quire.llm import bpe, importance, language_id, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, token_counts, topk_search, url_filter
 from quire.llm.common import fold, labelled_sample, table
 
 
@@ -111,6 +111,10 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(docs, path, capacity=2048, outputs=("ids_crc32",)), capacity=2048)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash": (op1_simhash, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
@@ -123,4 +127,5 @@ QUERIES = {
     "op9_topk_search": (op9_topk_search, _OP9),
     "op10_quality_rules": (op10_quality_rules, None),
     "op11_packing": (op11_packing, None),
+    "op12_importance_resampling": (op12_importance_resampling, importance.sql()),
 }
