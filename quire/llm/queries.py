@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, importance, language_id, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, token_counts, topk_search, url_filter
+from quire.llm import alignment, bpe, importance, language_id, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash, token_counts, topk_search, url_filter
 from quire.llm.common import fold, labelled_sample, table
 
 
@@ -115,6 +115,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.count_links(table(spark, sf_dir, "documents"), *paths)
+
+
 QUERIES = {
     "op1_simhash": (op1_simhash, None),
     "op2_byte_bpe": (op2_byte_bpe, None),
@@ -128,4 +133,5 @@ QUERIES = {
     "op10_quality_rules": (op10_quality_rules, None),
     "op11_packing": (op11_packing, None),
     "op12_importance_resampling": (op12_importance_resampling, importance.sql()),
+    "op13_alignment": (op13_alignment, None),
 }
