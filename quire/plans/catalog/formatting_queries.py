@@ -141,9 +141,16 @@ _DEFAULT_ROWS = ", ".join(
     f"('{p}', {_as_text(p, d)})" for p, d in _LEAVES.items()
 )
 _CUSTOM_LEAVES = f"""select concat('c', c_custkey) as style_id, path, case path when 'style_id' then concat('c', c_custkey)
-  when 'abstract.label' then 'Summary' when 'abstract.max_words' then cast(100 + c_custkey % 50 as varchar)
+  when 'abstract.label' then 'Summary' when 'abstract.max_words' then case when c_custkey % 3 = 0 then value else cast(100 + c_custkey % 50 as varchar) end
   when 'page_layout.margin_top_inches' then cast(cast(0.5 + c_custkey % 4 as double) as varchar) else value end as value, c_custkey
-  from customer, (values {_DEFAULT_ROWS}) as t(path, value) where c_custkey % 3 <> 0"""
+  from customer, (values {_DEFAULT_ROWS}) as t(path, value)"""
+
+
+_MOST_WORDS = f"cast(case when c_custkey % 3 = 0 then {_LEAVES['abstract.max_words']} else 100 + c_custkey % 50 end as int)"
+_SECTION_SQL = (
+    f"select concat('c', c_custkey) as style_id, 'Summary' as label, {_MOST_WORDS} as max_words, "
+    "cast(0.5 + c_custkey % 4 as double) as margin_top, 1 as columns from customer"
+)
 
 
 _TARGET_PATHS = [
@@ -278,8 +285,7 @@ QUERIES = {
     ),
     "nest_leaves": (
         lambda spark, sf: _section_values(Y.nest_leaves(Y.flatten_specs(_parsed(spark, sf)))),
-        "select concat('c', c_custkey) as style_id, 'Summary' as label, cast(100 + c_custkey % 50 as int) as max_words, "
-        "cast(0.5 + c_custkey % 4 as double) as margin_top, 1 as columns from customer where c_custkey % 3 <> 0",
+        _SECTION_SQL,
     ),
     "style_for": (
         _style_for,
@@ -288,8 +294,7 @@ QUERIES = {
     ),
     "with_defaults": (
         lambda spark, sf: _section_values(_parsed(spark, sf)),
-        "select concat('c', c_custkey) as style_id, 'Summary' as label, cast(100 + c_custkey % 50 as int) as max_words, "
-        "cast(0.5 + c_custkey % 4 as double) as margin_top, 1 as columns from customer where c_custkey % 3 <> 0",
+        _SECTION_SQL,
     ),
     "recover_sections": (
         lambda spark, sf: _section_values(Y.recover_sections(_partial(spark, sf))),
@@ -301,7 +306,7 @@ QUERIES = {
         _merged,
         f"select style_id, path, case when c_custkey % 4 = 1 and path = 'abstract.label' then concat('note ', c_custkey) else value end as value "
         f"from ({_CUSTOM_LEAVES}) union all select concat('c', c_custkey), 'custom.note', concat('note ', c_custkey) from customer "
-        "where c_custkey % 3 <> 0 and c_custkey % 4 in (0, 3)",
+        "where c_custkey % 4 in (0, 3)",
     ),
     "compare_specs": (
         lambda spark, sf: Y.compare_specs(parse_specs(_partial(spark, sf)), Y.recover_sections(_partial(spark, sf))),
