@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.styles import in_styles
+from quire.operators.styles import in_styles, known_styles
 from quire.functions.base import strip
 from quire.functions.citation_text import expand_citation_numbers, indel_ratio
 
@@ -256,12 +256,15 @@ def citation_report(
     style_specs: DataFrame,
     doc_styles: DataFrame,
     fuzzy: str = "ratio",
+    matches: DataFrame | None = None,
 ) -> DataFrame:
     """O-J10: counts and a 0-100 consistency score of each document in its style.
 
     ``documents`` has one row per ``doc_id``; ``doc_styles`` says which style each is set in.
+    ``matches`` are the matched citations, where they are at hand already.
     """
-    matches = match_citations(citations, references, fuzzy)
+    matches = match_citations(citations, references, fuzzy) if matches is None else matches
+    doc_styles = known_styles(doc_styles, style_specs)
     cits = citations.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_citations"))
     refs = references.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_references"))
     found = matches.groupBy("doc_id").agg(

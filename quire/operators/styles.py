@@ -161,13 +161,22 @@ def in_styles(rows: DataFrame, doc_styles: DataFrame, dimension: DataFrame, *key
     """Rows of documents with the rules of the style each document is set in.
 
     ``doc_styles(doc_id, style_id)`` says which: one row per document, or several where a
-    document is wanted in several styles.  Both joins are on keys, and whether the rules are
+    document is wanted in several styles.  A document without a row is set in apa7, as is one of
+    an unknown style after ``known_styles``.  Both joins are on keys, and whether the rules are
     small enough to broadcast is left to their size.
     """
-    assigned = rows.join(doc_styles.select("doc_id", "style_id"), "doc_id")
+    assigned = rows.join(doc_styles.select("doc_id", "style_id"), "doc_id", "left")
+    assigned = assigned.withColumn("style_id", F.coalesce("style_id", F.lit(FALLBACK_STYLE)))
     return assigned.join(dimension, ["style_id", *keys])
 
 
+def known_styles(doc_styles: DataFrame, specs: DataFrame) -> DataFrame:
+    """The assignment with apa7 instead of styles that no specification has."""
+    known = specs.select(F.col("style_id").alias("_known"))
+    found = doc_styles.join(known, F.col("style_id") == F.col("_known"), "left")
+    return found.select("doc_id", F.coalesce("_known", F.lit(FALLBACK_STYLE)).alias("style_id"))
+
+
 def every_style(documents: DataFrame, style_ids: list[str]) -> DataFrame:
     """The assignment of every document to each of the named styles."""
     ids = F.explode(F.array(*[F.lit(s) for s in style_ids])).alias("style_id")

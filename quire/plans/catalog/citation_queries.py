@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import citation_text as T
 from quire.operators import citations as C
+from quire.operators import compliance as V
 from quire.operators import matching as J
 from quire.plans.catalog.inputs import (
     MANUSCRIPT_LINES,
@@ -159,6 +160,30 @@ def report(spark, sf) -> DataFrame:
     return J.citation_report(documents, citations, references, builtin_style_specs(spark), document_styles(spark, sf))
 
 
+def report_and_issues(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The report, and its first issue texts; the matches of both are computed once."""
+    citations, references = citations_and_references(spark, sf)
+    specs, doc_styles = builtin_style_specs(spark), document_styles(spark, sf).persist()
+    documents = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_orderkey").alias("doc_id")).distinct()
+    matches = J.match_citations(citations, references).persist()
+    found = J.citation_report(documents, citations, references, specs, doc_styles, matches=matches)
+    odd = J.format_issues(citations, specs, doc_styles)
+    issues = V.top_issues(J.orphan_citations(matches), J.uncited_references(references, matches), odd, specs, doc_styles)
+    return found, issues
+
+
+ISSUES_SQL = """
+ ranked as (
+   select doc_id, null as sid, 1 as kind, row_number() over (partition by doc_id order by idx, cit_no, number) as n, concat('Orphan: ', text) as t
+   from matches where ref_idx is null
+   union all select doc_id, null, 2, row_number() over (partition by doc_id order by ref_idx), concat('Uncited: ', substr(content, 1, 60))
+   from refs2 anti join used using (doc_id, ref_idx)
+   union all select doc_id, style_id, 3, row_number() over (partition by doc_id, style_id order by idx, cit_no), concat('Format: ', substr(issue, 1, 60))
+   from issues where issue is not null),
+ citation_issues as (select r.doc_id, s.style_id, list(t order by kind, n) as listed from ranked r join styles s on coalesce(sid, s.style_id) = s.style_id
+   where n <= 5 group by all)"""
+
+
 def _with_matches(build):
     def run(spark, sf):
         citations, references = citations_and_references(spark, sf)

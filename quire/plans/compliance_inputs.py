@@ -34,15 +34,28 @@ TABLES = {
 
 def tables(lines: DataFrame) -> dict[str, DataFrame]:
     """The formatting tables as DataFrames, with numbers as doubles."""
-    spark = lines.sparkSession
     out = {}
     for name, sql in TABLES.items():
-        df = spark.sql(sql.replace('"', "`").replace("from lines", "from {lines}"), lines=lines)
+        # Selected from ``lines`` itself: a view of it would drop its cache with the view.
+        fields, _, condition = sql.replace('"', "`").removeprefix("select ").partition(" from lines")
+        df = lines.filter(condition.strip().removeprefix("where ")) if condition.strip() else lines
+        df = df.selectExpr(*_fields(fields))
         decimals = [f.name for f in df.schema.fields if f.dataType.typeName() == "decimal"]
         out[name] = df.withColumns({c: df[c].cast("double") for c in decimals}) if decimals else df
     return out
 
 
+def _fields(text: str) -> list[str]:
+    """The fields of a select list, split at the commas outside brackets."""
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(text):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            out.append(text[at:i])
+            at = i + 1
+    return [*out, text[at:]]
+
+
 def styles_values_sql(paths: dict[str, str]) -> str:
     """A ``select`` of the wanted leaves of the built-in styles: ``{column: path}``."""
     defaults = {p: d for p, _, d in leaf_paths()}
