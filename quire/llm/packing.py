@@ -18,6 +18,8 @@ each; null ids stay.  An empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from functools import lru_cache
@@ -31,49 +33,88 @@ from tokenizers import Tokenizer
 
 from quire.llm.common import cut, map_batches
 
+# Control characters that Python takes for white space, and tokenizers do not.
+_MARKS = re.compile(r"[\x1c-\x1f]")
 _GAP = re.compile(r"[ \t\n\r]+")
+# Letters whose lower case is one letter, so that a run of them is one word of the tokenizer.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_WITH_STOPS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space and reads each word by itself.
 
     Then a text has the ids of its words in turn; those of up to ``max_words`` words of at most
-    ``long_word`` characters are remembered between texts.  Ids are little-endian 32-bit integers.
+    ``long_word`` characters are remembered between texts.  A run of plain letters is encoded in
+    lower case and without the stops after it, many runs at once: a token that ends a word marks
+    the border.  Ids are little-endian 32-bit integers.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000, long_word: int = 64):
+    def __init__(self, path: str, max_words: int = 800_000, long_word: int = 64):
         self.tokenizer, self.max_words, self.long_word = Tokenizer.from_file(path), max_words, long_word
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            suffix = json.load(f)["model"].get("end_of_word_suffix")
         probes = [" \t\r\n", *"ab"]
-        if [len(self._ids(p)) for p in probes] != [0, 1, 1] or self._ids("a \n b") != self._ids("a") + self._ids("b"):
-            raise ValueError(f"{path} does not drop white space")
+        words = self._ids("a \n b"), self._ids("Ab") + self._ids(",!")
+        if not suffix or [len(self._ids(p)) for p in probes] != [0, 1, 1] or words != (self._ids("a") + self._ids("b"), self._ids("ab,!")):
+            raise ValueError(f"{path} does not drop white space and case")
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _learn(self, stems: list[str], at_once: int = 200) -> None:
+        plain = [s for s in stems if _PLAIN.fullmatch(s)]
+        for low in range(0, len(plain), 50 * at_once):
+            parts = [plain[at : at + at_once] for at in range(low, min(low + 50 * at_once, len(plain)), at_once)]
+            found = self.tokenizer.encode_batch_fast(list(map(" ".join, parts)), add_special_tokens=False)
+            for part, e in zip(parts, found, strict=True):
+                ids = np.array(e.ids, "<u4")
+                to = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+                data, at = ids.tobytes(), 0
+                for stem, end in zip(part, to.tolist(), strict=True):
+                    self.stems[stem] = data[at:end]
+                    at = end
+        other = [s for s in stems if s not in self.stems]
+        for low in range(0, len(other), 10_000):
+            part = other[low : low + 10_000]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.stems.update((s, np.array(e.ids, "<u4").tobytes()) for s, e in zip(part, found, strict=True))
+
+    @staticmethod
+    def _stem(word: str) -> tuple[str, str]:
+        """Plain letters in lower case and the stops after them; any other word as it is."""
+        found = _WITH_STOPS.fullmatch(word)
+        return (found[1].lower(), found[2]) if found else (word, "")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text."""
-        split = [_GAP.split(t or "") for t in texts]
-        if len(self.known) > self.max_words:
-            self.known.clear()
-        known = self.known
-        new = [w for w in set().union(*split) if w not in known]
-        passing = []
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
-            passing += [w for w in part if len(w) > self.long_word]
-        rows = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in passing:
-            del known[w]
+        split = [_GAP.split(t) if _MARKS.search(t) else t.split() for t in (t or "" for t in texts)]
+        words = set().union(*split)
+        if len(self.known) > self.max_words:  # what the present texts use stays
+            self.known = {w: self.known[w] for w in words if w in self.known}
+            self.stems.clear()
+        known, stems = self.known, self.stems
+        new = {w: self._stem(w) for w in words if w not in known}
+        self._learn(list({s for pair in new.values() for s in pair if s not in stems}))
+        known.update((w, stems[stem] + stems[tail]) for w, (stem, tail) in new.items())
+        rows = [b"".join(map(known.__getitem__, parts)) for parts in split]
+        for w, (stem, _) in new.items():
+            if len(w) > self.long_word:
+                del known[w]
+                stems.pop(stem, None)
         return rows
 
 
 @lru_cache(maxsize=2)
 def load(path: str) -> WordEncoder:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return WordEncoder(path)
 
 

@@ -19,14 +19,14 @@ def library():
 
 def test_words_by_themselves_equal_whole_texts(library):
     rng = random.Random(1)
-    pool = ["a", "The", "É", "é", "́x", "12", "'s", "don't", "!?", " ", "\n", "\t ", "\x1c", "\x85", "\xa0", "　", "<|endoftext|>", "日本", "ΑΣ", "​", "x" * 70]
+    pool = ["a", "The", "É", "é", "́x", "12", "'s", "don't", "!?", " ", "\n", "\t ", "\x1c", "\x85", "\xa0", "　", "<|endoftext|>", "日本", "ΑΣ", "​", "x" * 70, "The", "Éa", ".", ",", "ß", "ÿ", "İ", "aÿ?!", "</w>"]
     encoder = packing.WordEncoder(PATH, max_words=50)
     texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
     for at in range(0, len(texts), 100):
         part = texts[at : at + 100]
         for text, ids in zip(part, encoder.encode(part)):
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
-    assert encoder.encode([None]) == [b""] and all(len(w) <= 64 for w in encoder.known)
+    assert encoder.encode([None]) == [b""] and all(len(w) <= 64 for w in [*encoder.known, *encoder.stems])
 
 
 def test_tokenizers_that_keep_white_space_are_refused():
