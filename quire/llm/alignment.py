@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from functools import lru_cache
 
@@ -38,12 +39,14 @@ from quire.llm.token_counts import byte_letters
 
 # From one space that follows another character than white space to the next.
 _UNIT = re.compile(r"(?s).[^ ]*(?:(?<=[\s\x85\xa0\x1c-\x1f]) [^ ]*)*")
+# Words that both tokenizers spell as they are.
+_PLAIN = re.compile(r" [A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]*")
 
 
 class Pair:
     """Two tokenizers, A with byte-level pieces and B with word pieces, and the bytes of their ids."""
 
-    def __init__(self, path_a: str, path_b: str, max_units: int = 200_000, long_unit: int = 64):
+    def __init__(self, path_a: str, path_b: str, max_units: int = 500_000, long_unit: int = 64):
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.a.no_truncation()
@@ -64,44 +67,77 @@ class Pair:
         ]
         self.size_a = np.array(list(map(len, self.bytes_a)), dtype=np.int64)
         self.size_b = np.array(list(map(len, self.bytes_b)), dtype=np.int64)
-        self.text_a, self.text_b = list(map(str, range(len(self.bytes_a)))), list(map(str, range(len(pieces))))
+        # The text of an id and what follows it: A's from the left, within a group or last; B's from the right.
+        names_a = [b"%d%s" % (i, end) for i in range(len(self.bytes_a)) for end in (b",", b"|")]
+        self.names = names_a + [b"%d%s" % (i, end) for i in reversed(range(len(pieces))) for end in (b";", b",")]
         self.max_units, self.long_unit = max_units, long_unit
-        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.known_a: dict[str, bytes] = {}
+        self.known_b: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # units of other bytes than their text's
         # A space by itself: what the model gives for it after another character.
         self.space = self.b.encode("a ")[len(self.b.encode("a")) :]
 
-    def _learn(self, units: list[str]) -> None:
-        for at in range(0, len(units), 10_000):
-            part = units[at : at + 10_000]
-            ids_a = [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)]
-            ids_b = self.b.encode([u[1:] for u in part], num_threads=1)
-            for unit, x, y in zip(part, ids_a, ids_b, strict=True):
-                y = y or self.space  # the unit is one space
-                data = unit.encode("utf-8", "replace")
-                same = b"".join(map(self.bytes_a.__getitem__, x)) == data == b"".join(map(self.bytes_b.__getitem__, y))
-                self.known[unit] = np.array(x, "<i4").tobytes(), np.array(y, "<i4").tobytes(), same
+    def _ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """The ids of texts that begin with a space, and whether their bytes are the text's."""
+        ids_a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        ids_b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        out = []
+        for text, x, y in zip(texts, ids_a, ids_b, strict=True):
+            y = y or self.space  # the text is one space
+            data = text.encode("utf-8", "replace")
+            same = b"".join(map(self.bytes_a.__getitem__, x)) == data == b"".join(map(self.bytes_b.__getitem__, y))
+            out.append((np.array(x, "<i4"), np.array(y, "<i4"), same))
+        return out
+
+    def _learn(self, units: list[str], at_once: int = 200) -> None:
+        """Plain units are encoded many at once, and the ids parted where the units end."""
+        plain, other = [], []
+        for u in units:
+            (plain if _PLAIN.fullmatch(u) else other).append(u)
+        parts = [plain[at : at + at_once] for at in range(0, len(plain), at_once)]
+        for low in range(0, len(parts), 50):
+            found = self._ids(list(map("".join, parts[low : low + 50])))
+            for part, (x, y, same) in zip(parts[low : low + 50], found, strict=True):
+                ends = np.cumsum([len(u.encode()) for u in part])
+                to_a, to_b = (np.searchsorted(np.cumsum(size[ids]), ends) + 1 for size, ids in ((self.size_a, x), (self.size_b, y)))
+                if not same or (self.size_a[x].cumsum()[to_a - 1] != ends).any() or (self.size_b[y].cumsum()[to_b - 1] != ends).any():
+                    other += part
+                    continue
+                data_a, data_b, p, q = x.tobytes(), y.tobytes(), 0, 0
+                for u, r, s in zip(part, (4 * to_a).tolist(), (4 * to_b).tolist(), strict=True):
+                    self.known_a[u], self.known_b[u] = data_a[p:r], data_b[q:s]
+                    p, q = r, s
+        for at in range(0, len(other), 10_000):
+            part = other[at : at + 10_000]
+            for u, (x, y, same) in zip(part, self._ids(part), strict=True):
+                self.known_a[u], self.known_b[u] = x.tobytes(), y.tobytes()
+                if not same:
+                    self.odd.add(u)
 
     def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """The ids of each text by A and by B; none where the bytes are not a space and the text."""
         split = [_UNIT.findall(" " + t) if t else [] for t in texts]
-        if len(self.known) > self.max_units:
-            self.known.clear()
-        new = [u for u in set().union(*split) if u not in self.known]
+        units = set().union(*split)
+        if len(self.known_a) > self.max_units:  # what the present texts use stays
+            self.known_a, self.known_b = ({u: d[u] for u in units if u in d} for d in (self.known_a, self.known_b))
+            self.odd &= units
+        new = [u for u in units if u not in self.known_a]
         self._learn(new)
-        a, b, get = [], [], self.known.__getitem__
-        for units in split:
-            found = list(map(get, units))
-            whole = all(f[2] for f in found)
-            a.append(np.frombuffer(b"".join(f[0] for f in found) if whole else b"", "<i4"))
-            b.append(np.frombuffer(b"".join(f[1] for f in found) if whole else b"", "<i4"))
+        if not self.odd.isdisjoint(units):
+            split = [parts if self.odd.isdisjoint(parts) else [] for parts in split]
+        a, b = (
+            [np.frombuffer(b"".join(map(known.__getitem__, parts)), "<i4") for parts in split] for known in (self.known_a, self.known_b)
+        )
         for u in new:
             if len(u) > self.long_unit:
-                del self.known[u]
+                del self.known_a[u], self.known_b[u]
+                self.odd.discard(u)
         return a, b
 
 
 @lru_cache(maxsize=2)
 def load(path_a: str, path_b: str) -> Pair:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     return Pair(path_a, path_b)
 
 
@@ -153,10 +189,10 @@ def divide(a: np.ndarray, b: np.ndarray, edges_a: np.ndarray, edges_b: np.ndarra
         p, q = split_a[cut_] + 1, split_b[cut_] + 1
         low_a, high_a = np.concatenate([low_a[cut_], p]), np.concatenate([p, high_a[cut_]])
         low_b, high_b = np.concatenate([low_b[cut_], q]), np.concatenate([q, high_b[cut_]])
-    last_a = np.concatenate([np.zeros(0, dtype=np.int64), *leaves_a])
-    last_b = np.concatenate([np.zeros(0, dtype=np.int64), *leaves_b])
-    order = np.argsort(last_a)
-    return last_a[order], last_b[order]
+    marks_a, marks_b = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool)
+    for at_a, at_b in zip(leaves_a, leaves_b, strict=True):
+        marks_a[at_a] = marks_b[at_b] = True
+    return np.flatnonzero(marks_a), np.flatnonzero(marks_b)
 
 
 class Aligned:
@@ -180,15 +216,16 @@ class Aligned:
         return [(self.ids_a[p:q].tolist(), self.ids_b[r:s].tolist()) for p, q, r, s in bounds]
 
 
-def _joined(names: list[str], ids: np.ndarray, last: np.ndarray) -> list[str]:
-    """The ids of each group, joined by commas."""
-    at = 0
-    text = list(map(names.__getitem__, ids.tolist()))
-    out = []
-    for end in last.tolist():
-        out.append(text[at] if end == at else ",".join(text[at : end + 1]))
-        at = end + 1
-    return out
+def _in_turn(found: Aligned) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of each group, those of A before those of B, as numbers into ``Pair.names``; documents' edges."""
+    marks_a, marks_b = (np.zeros(len(x), dtype=np.int64) for x in (found.ids_a, found.ids_b))
+    marks_a[found.last_a] = marks_b[found.last_b] = 1
+    before_a, before_b = (np.append(0, x + 1) for x in (found.last_a, found.last_b))
+    group_a, group_b = (np.cumsum(m) - m for m in (marks_a, marks_b))
+    out = np.empty(len(marks_a) + len(marks_b), dtype=np.int64)
+    out[np.arange(len(marks_a)) + before_b[group_a]] = 2 * found.ids_a + marks_a
+    out[np.arange(len(marks_b)) + before_a[group_b + 1]] = -1 - (2 * found.ids_b + marks_b)
+    return out, found.edges_a + found.edges_b
 
 
 def align(
@@ -221,10 +258,10 @@ def align(
                     keys = found.ids_a[found.last_a].astype("<i8") * len(pair.bytes_b) + found.ids_b[found.last_b]
                     columns.append([keys[e[i] : e[i + 1]].tobytes() for i in range(len(texts))])
                 else:
-                    both = _joined(pair.text_a, found.ids_a, found.last_a), _joined(pair.text_b, found.ids_b, found.last_b)
-                    rows = list(map("|".join, zip(*both, strict=True)))
-                    parts = [";".join(rows[e[i] : e[i + 1]]) for i in range(len(texts))]
-                    columns.append([hashlib.sha256(p.encode()).hexdigest() if p else "" for p in parts])
+                    codes, to = _in_turn(found)
+                    names = list(map(pair.names.__getitem__, codes.tolist()))
+                    parts = [b"".join(names[to[i] : to[i + 1]])[:-1] for i in range(len(texts))]
+                    columns.append([hashlib.sha256(p).hexdigest() if p else "" for p in parts])
             return columns
 
         def step(ids, texts):

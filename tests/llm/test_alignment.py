@@ -68,7 +68,7 @@ def test_words_by_themselves_equal_the_libraries(libraries):
             assert found.ids_a[found.edges_a[i] : found.edges_a[i + 1]].tolist() == ids_a, repr(text)
             assert found.ids_b[found.edges_b[i] : found.edges_b[i + 1]].tolist() == ids_b, repr(text)
             assert found.groups(i) == groups, repr(text)
-    assert none > 10 and all(len(u) <= 64 for u in pair.known)
+    assert none > 10 and all(len(u) <= 64 for u in [*pair.known_a, *pair.known_b, *pair.odd])
 
 
 def test_divide_equals_the_intersection():
