@@ -39,18 +39,46 @@ def py_strip(c: Column) -> Column:
     return F.btrim(c, F.expr(SPACES))
 
 
+#: Items of a block in a fold that gathers an array: appending copies one block at most.
+BLOCK = 128
+
+
+def _gathered(items: Column, state: dict[str, Column], kind: str, step) -> Column:
+    """One fold over ``items`` that emits an element or null for each and carries ``state``.
+
+    ``step(state, item)`` gives the next state and the element.  Elements are gathered in blocks,
+    so a fold over n items copies n * BLOCK elements, not n squared.
+    """
+    names = list(state)
+    none = F.array().cast(f"array<{kind}>")
+    start = F.struct(*[c.alias(n) for n, c in state.items()], none.alias("open"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+
+    def merge(acc: Column, item: Column) -> Column:
+        after, element = step(acc, item)
+        full = F.size(acc["open"]) >= BLOCK
+        opened = F.when(full, none).otherwise(acc["open"])
+        done = F.when(full, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"])
+        opened = F.when(element.isNull(), opened).otherwise(F.array_append(opened, element))
+        return F.struct(*[after[n].alias(n) for n in names], opened.alias("open"), done.alias("done"))
+
+    return F.aggregate(items, start, merge, lambda acc: F.flatten(F.array_append(acc["done"], acc["open"])))
+
+
 def _spans(s: Column, pattern: str) -> Column:
-    """Matches with their 0-based start: array of ``(m, start)``."""
+    """Matches with their 0-based start and the 8 characters before: array of ``(m, start, before)``."""
     found = F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
     between = F.split(s, pattern, -1)
+    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
 
-    def size_of(parts: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, t: a + F.length(t))
+    def step(acc: Column, p: Column) -> tuple[dict[str, Column], Column]:
+        start, before = acc["at"] + F.length(p["gap"]), F.right(F.concat(acc["tail"], p["gap"]), F.lit(8))
+        after = {"at": start + F.length(p["m"]), "tail": F.right(F.concat(before, p["m"]), F.lit(8))}
+        return after, F.struct(p["m"].alias("m"), start.alias("start"), before.alias("before"))
+
+    return _gathered(pairs, {"at": F.lit(0), "tail": F.lit("")}, "struct<m: string, start: int, before: string>", step)
 
-    return F.transform(
-        found,
-        lambda m, i: F.struct(m.alias("m"), (size_of(between, i + 1) + size_of(found, i)).alias("start")),
-    )
+
+CITATION = "struct<text: string, citation_type: string, author: string, year: string, start: int, end: int>"
 
 
 def _citation(text, kind, author, year, start, end) -> Column:
@@ -73,10 +101,7 @@ def numeric_citations(s: Column) -> Column:
     null = F.lit(None)
     kept = F.filter(
         _spans(s, NUMERIC),
-        lambda r: ~F.rlike(
-            F.substring(s, F.greatest(F.lit(1), r["start"] - 7), F.least(F.lit(8), r["start"])),
-            F.lit(CROSS_REFERENCE),
-        ),
+        lambda r: ~F.rlike(r["before"], F.lit(CROSS_REFERENCE)),
     )
     return F.transform(
         kept,
@@ -134,11 +159,17 @@ def drop_overlaps(narrative: Column, earlier: Column, contained: bool = False) -
     that lies wholly inside.
     """
 
-    def inside(n: Column, e: Column) -> Column:
-        last = (n["end"] <= e["end"]) if contained else (n["start"] < e["end"])
-        return (e["start"] <= n["start"]) & last
+    # In the order of starts, the furthest end so far tells whether any span reaches over one.
+    def marked(spans: Column, kind: int) -> Column:
+        return F.transform(spans, lambda c: F.struct(c["start"].alias("start"), F.lit(kind).alias("kind"), c["end"].alias("end"), c.alias("c")))
 
-    return F.filter(narrative, lambda n: ~F.exists(earlier, lambda e: inside(n, e)))
+    def step(acc: Column, e: Column) -> tuple[dict[str, Column], Column]:
+        reached = acc["furthest"] >= e["end"] if contained else acc["furthest"] > e["start"]
+        after = {"furthest": F.when(e["kind"] == 0, F.greatest(acc["furthest"], e["end"])).otherwise(acc["furthest"])}
+        return after, F.when((e["kind"] == 1) & ~reached, e["c"])
+
+    in_order = F.array_sort(F.concat(marked(earlier, 0), marked(narrative, 1)))
+    return _gathered(in_order, {"furthest": F.lit(-1)}, CITATION, step)
 
 
 @sql_function("text STRING", "ARRAY<INT>")
@@ -156,15 +187,27 @@ def expand_citation_numbers(text):
 
 @sql_function("a STRING, b STRING", "INT")
 def indel_ratio(a, b):
-    """O-J5: 0-100 similarity from the longest common subsequence, halves to even."""
-    cell = (
-        f"if(substr({b}, j, 1) = ch, row[j - 1] + 1, greatest(row[j], acc[j - 1]))"
-    )
-    row = f"aggregate(sequence(1, length({b})), array(0), (acc, j) -> array_append(acc, {cell}))"
-    lcs = (
-        f"aggregate(split({a}, ''), array_repeat(0, length({b}) + 1), (row, ch) -> {row}, "
-        f"row -> row[length({b})])"
+    """O-J5: 0-100 similarity from the longest common subsequence, halves to even.
+
+    The subsequence is counted by bit vectors: of ``a``, 32 characters are a block of bits, and each
+    character has a mask of its places.  A character of ``b`` changes all blocks by one addition
+    with carry; places that end as 0 are in the subsequence.
+    """
+    full = "4294967295L"
+    places = "aggregate(sequence(1, length(s)), 0L, (x, i) -> if(substr(s, i, 1) = c, x | shiftleft(1L, i - 1), x))"
+    masks = f"map_from_entries(transform(array_distinct(split({a}, '')), c -> struct(c, transform(blocks, s -> {places}))))"
+    added = "v[k] + (v[k] & at[k]) + acc.carry"
+    block = f"(({added}) & {full}) | (v[k] & ~at[k])"
+    moved = (
+        "aggregate(sequence(0, size(v) - 1), struct(cast(array() as array<bigint>) as v, 0L as carry), "
+        f"(acc, k) -> struct(array_append(acc.v, {block}) as v, shiftright({added}, 32) as carry), acc -> acc.v)"
     )
+    step = f"if(map_contains_key(mask, ch), transform(array(mask[ch]), at -> {moved})[0], v)"
+    fold = f"aggregate(split({b}, ''), transform(blocks, s -> {full}), (v, ch) -> {step})"
+    left = "aggregate(zip_with(v, blocks, (x, s) -> length(s) - bit_count(x & (shiftleft(1L, length(s)) - 1))), 0, (n, x) -> n + x)"
+    count = f"transform(array({masks}), mask -> transform(array({fold}), v -> {left})[0])[0]"
+    blocks = f"transform(sequence(0, (length({a}) - 1) div 32), k -> substr({a}, cast(32 * k + 1 as int), 32))"
+    lcs = f"transform(array({blocks}), blocks -> {count})[0]"
     return (
         f"case when length({a}) = 0 or length({b}) = 0 then if(length({a}) = length({b}), 100, 0) "
         f"else cast(bround(200.0D * {lcs} / (length({a}) + length({b})), 0) as int) end"

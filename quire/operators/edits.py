@@ -144,7 +144,7 @@ def edit_text(elements: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def _rows_like(elements: DataFrame, rows: DataFrame, **given: Column) -> DataFrame:
-    """New element rows: given columns, paragraph defaults, nulls elsewhere."""
+    """New element rows with their ``_nth``: given columns, paragraph defaults, nulls elsewhere."""
     fixed = {
         "type": F.lit("paragraph"),
         "role": F.lit("unknown"),
@@ -155,13 +155,15 @@ def _rows_like(elements: DataFrame, rows: DataFrame, **given: Column) -> DataFra
     cols = []
     for f in elements.schema.fields:
         c = fixed.get(f.name, F.col("doc_id") if f.name == "doc_id" else F.lit(None))
-        cols.append(c.cast("double" if f.name == "idx" else f.dataType).alias(f.name))
-    return rows.select(*cols)
+        cols.append(c.cast(f.dataType).alias(f.name))
+    return rows.select(*cols, fixed.get("_nth", F.lit(1)).cast("bigint").alias("_nth"))
 
 
 def _insert(elements: DataFrame, rows: DataFrame, max_rows: Limit) -> DataFrame:
-    old = elements.withColumn("idx", F.col("idx").cast("double"))
-    return reindex(old.unionByName(rows), max_rows)
+    """``rows`` put in after the row ``idx``, in the order of ``_nth``: places are exact decimals."""
+    both = elements.withColumn("_nth", F.lit(0).cast("bigint")).unionByName(rows)
+    place = F.concat(F.col("idx").cast("string"), F.lit("."), F.lpad(F.col("_nth").cast("string"), 18, "0"))
+    return reindex(both.withColumn("idx", place.cast("decimal(38,18)")).drop("_nth"), max_rows)
 
 
 def _ranked(edits: DataFrame, *keys: str) -> DataFrame:
@@ -172,17 +174,12 @@ def _ranked(edits: DataFrame, *keys: str) -> DataFrame:
     return edits.withColumn("_rank", rank)
 
 
-def _after(idx: Column, seq: Column) -> Column:
-    """Positions between ``idx`` and ``idx + 1``, increasing with ``seq``."""
-    return idx + 1 - 1 / (seq + 2)
-
-
 def insert_after(elements: DataFrame, edits: DataFrame, max_rows: Limit = None) -> DataFrame:
     """O-E8: ``edits(doc_id, idx, text, style[, seq])`` put after existing rows."""
     known = edits.join(elements.select("doc_id", "idx"), ["doc_id", "idx"], "left_semi")
     known = _ranked(known, "doc_id", "idx")
     rows = _rows_like(
-        elements, known, idx=_after(F.col("idx"), F.col("_rank")), content=F.col("text"), style_name=F.col("style")
+        elements, known, idx=F.col("idx"), _nth=F.col("_rank") + 1, content=F.col("text"), style_name=F.col("style")
     )
     return _insert(elements, rows, max_rows)
 
@@ -195,7 +192,7 @@ def append_paragraphs(elements: DataFrame, edits: DataFrame, max_rows: Limit = N
     """O-E8: ``edits(doc_id, text, style[, seq])`` at the end."""
     at = _ranked(edits, "doc_id").join(_ends(elements), "doc_id")
     rows = _rows_like(
-        elements, at, idx=F.col("_last") + 1 + F.col("_rank"), content=F.col("text"), style_name=F.coalesce("style", F.lit(NORMAL))
+        elements, at, idx=F.col("_last"), _nth=F.col("_rank") + 1, content=F.col("text"), style_name=F.coalesce("style", F.lit(NORMAL))
     )
     return _insert(elements, rows, max_rows)
 
@@ -208,9 +205,11 @@ def append_headings(elements: DataFrame, edits: DataFrame, max_rows: Limit = Non
 
 
 def append_page_breaks(elements: DataFrame, edits: DataFrame, max_rows: Limit = None) -> DataFrame:
-    """O-E8: a page break at the end of each ``edits(doc_id)``."""
-    at = edits.select("doc_id").distinct().join(_ends(elements), "doc_id")
-    rows = _rows_like(elements, at, idx=F.col("_last") + 1, type=F.lit("page_break"), style_name=F.lit(NORMAL))
+    """O-E8: a page break at the end of the document for every row of ``edits(doc_id)``."""
+    at = _ranked(edits.select("doc_id"), "doc_id").join(_ends(elements), "doc_id")
+    rows = _rows_like(
+        elements, at, idx=F.col("_last"), _nth=F.col("_rank") + 1, type=F.lit("page_break"), style_name=F.lit(NORMAL)
+    )
     return _insert(elements, rows, max_rows)
 
 
@@ -220,17 +219,19 @@ def append_list(
     """O-E9: ``edits(doc_id, items)`` with a JSON array of strings; other JSON adds nothing."""
     style = "List Number" if numbered else "List Bullet"
     ranked = _ranked(edits, "doc_id")
-    items = ranked.select("doc_id", "_rank", F.posexplode(F.from_json("items", "array<string>")).alias("_n", "_item"))
+    listed = ranked.withColumn("_items", F.from_json("items", "array<string>"))
+    before = Window.partitionBy("doc_id").orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+    listed = listed.withColumn("_before", F.coalesce(F.sum(F.greatest(F.size("_items"), F.lit(0))).over(before), F.lit(0)))
+    items = listed.select("doc_id", "_before", F.posexplode("_items").alias("_n", "_item"))
     at = items.join(_ends(elements), "doc_id")
-    # Lists follow each other; an item's place is between two whole numbers.
     rows = _rows_like(
-        elements, at, idx=_after(F.col("_last") + 1 + F.col("_rank"), F.col("_n")), content=F.col("_item"), style_name=F.lit(style)
+        elements, at, idx=F.col("_last"), _nth=F.col("_before") + F.col("_n") + 1, content=F.col("_item"), style_name=F.lit(style)
     )
     return _insert(elements, rows, max_rows)
 
 
 def append_table(elements: DataFrame, edits: DataFrame, max_rows: Limit = None) -> DataFrame:
-    """O-E10: ``edits(doc_id, n_rows, n_cols, data)``; cells outside the table are ignored."""
+    """O-E10: ``edits(doc_id, n_rows, n_cols, data[, seq])``; cells outside the table are ignored."""
     values = F.from_json("data", "array<array<string>>")
     row_nos = F.sequence(F.lit(0), F.col("n_rows") - 1)
     col_nos = F.sequence(F.lit(0), F.col("n_cols") - 1)
@@ -243,16 +244,17 @@ def append_table(elements: DataFrame, edits: DataFrame, max_rows: Limit = None)
     numbers = elements.groupBy("doc_id").agg(
         F.max("idx").alias("_last"), F.count_if(F.col("type") == "table").alias("_tables")
     )
-    at = edits.filter("n_rows > 0 and n_cols > 0").join(numbers, "doc_id")
+    at = _ranked(edits.filter("n_rows > 0 and n_cols > 0"), "doc_id").join(numbers, "doc_id")
     rows = _rows_like(
         elements,
         at,
-        idx=F.col("_last") + 1,
+        idx=F.col("_last"),
+        _nth=F.col("_rank") + 1,
         type=F.lit("table"),
         role=F.lit("table"),
         style_name=F.lit("Table Grid"),
         cells=cells.cast(T.ArrayType(T.ArrayType(CELL))),
-        table_number=F.col("_tables") + 1,
+        table_number=F.col("_tables") + 1 + F.col("_rank"),
     )
     return _insert(elements, rows, max_rows)
 
@@ -277,7 +279,7 @@ def create_documents(manuscripts: DataFrame, elements: DataFrame, titles: DataFr
     )
     rows = _rows_like(
         elements, titles, idx=F.lit(0), content=F.col("title"), style_name=F.lit("Heading 1")
-    ).withColumn("idx", F.col("idx").cast("int"))
+    ).drop("_nth")
     return manuscripts.unionByName(new), elements.unionByName(rows)
 
 

@@ -148,16 +148,28 @@ def _ratio_candidates(cited: DataFrame, names: DataFrame) -> DataFrame:
     return pairs.select(*KEY, "family", "ref_idx").distinct()
 
 
-def _substrings(df: DataFrame, name: str) -> DataFrame:
-    """All distinct substrings of ``name`` as ``part``."""
-    size = F.length(name)
-    return (
-        df.withColumn("_i", F.explode(F.sequence(F.lit(1), size)))
-        .withColumn("_n", F.explode(F.sequence(F.lit(1), size - F.col("_i") + 1)))
-        .withColumn("part", F.substring(name, F.col("_i"), F.col("_n")))
-        .drop("_i", "_n")
-        .distinct()
+def _contained(inner: DataFrame, outer: DataFrame, keys: list[str], short: str, long: str, q: int = 3) -> DataFrame:
+    """Pairs in which the name ``short`` is part of the name ``long``, of equal ``keys``.
+
+    A name that contains another holds each of its pieces of ``q`` characters, so the pair meets at
+    the one piece of the shorter name that is rarest among the longer ones; names under ``q``
+    characters are one piece, of their own length.
+    """
+    def pieces(name: Column, width: Column) -> Column:
+        ends = F.length(name) - width + 1
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), ends), lambda i: F.substring(name, i, width)))
+
+    widths = F.array(*[F.lit(w) for w in range(1, q + 1)])
+    held = outer.withColumn("_w", F.explode(F.filter(widths, lambda w: w <= F.length(long))))
+    held = held.withColumn("_piece", F.explode(pieces(F.col(long), F.col("_w")))).drop("_w")
+    rare = held.groupBy(*keys, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    asked = inner.filter(F.length(short) > 0).withColumn("_piece", F.explode(pieces(F.col(short), F.least(F.length(short), F.lit(q)))))
+    own = inner.columns
+    anchors = asked.join(rare, [*keys, "_piece"], "left").groupBy(*own).agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_piece")).alias("_a")
     )
+    anchors = anchors.filter("_a.n > 0").select(*own, F.col("_a._piece").alias("_piece"))
+    return anchors.join(held, [*keys, "_piece"]).filter(F.col(long).contains(F.col(short))).drop("_piece")
 
 
 def match_author_date_fuzzy(cited: DataFrame, names: DataFrame, fuzzy: str = "ratio") -> DataFrame:
@@ -171,12 +183,9 @@ def match_author_date_fuzzy(cited: DataFrame, names: DataFrame, fuzzy: str = "ra
         )
     elif fuzzy == "substring":
         families = names.select("doc_id", "year", F.col("author").alias("family"), "ref_idx")
-        inside = _substrings(cited, "author").join(
-            families.withColumn("part", F.col("family")), ["doc_id", "year", "part"]
-        )
-        around = _substrings(families, "family").join(
-            cited.withColumn("part", F.col("author")), ["doc_id", "year", "part"]
-        )
+        keys = ["doc_id", "year"]
+        inside = _contained(families, cited, keys, "family", "author")
+        around = _contained(cited, families, keys, "author", "family")
         pairs = inside.select(*KEY, "ref_idx").unionByName(around.select(*KEY, "ref_idx"))
     else:
         raise ValueError(f"unknown fuzzy mode {fuzzy!r}")

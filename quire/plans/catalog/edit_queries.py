@@ -54,9 +54,9 @@ def _appended(rows: str) -> str:
 
 
 def _formatted(spark, sf):
-    df = E.format_matching_text(_base(spark, sf), "the", bold=True).filter("formatted")
+    df = E.format_matching_text(_base(spark, sf), "the", bold=True)
     runs = F.transform("runs", lambda r: F.concat(F.coalesce(r["bold"].cast("string"), F.lit("-")), F.lit(":"), r["text"]))
-    return df.select("doc_id", "idx", F.array_join(runs, "|").alias("runs"))
+    return df.select("doc_id", "idx", F.array_join(runs, "|").alias("runs"), "formatted")
 
 
 def _replaced(spark, sf):
@@ -65,13 +65,24 @@ def _replaced(spark, sf):
 
 
 def _tables(spark, sf):
-    edits = table(spark, sf, "labels").select(
+    """A table for every labelled document, and a second one for the toxic ones."""
+    labels = table(spark, sf, "labels")
+    first = labels.select(
         "doc_id",
         F.lit(2).alias("n_rows"),
         F.lit(2).alias("n_cols"),
         F.concat(F.lit('[["id","'), F.col("quality").cast("string"), F.lit('","beyond"],["last"]]')).alias("data"),
+        F.lit(0).alias("seq"),
+    )
+    second = labels.filter("toxic = 1").select(
+        "doc_id", F.lit(1).alias("n_rows"), F.lit(1).alias("n_cols"), F.lit('[["second"]]').alias("data"), F.lit(1).alias("seq")
     )
-    return E.append_table(_base(spark, sf), edits)
+    return E.append_table(_base(spark, sf), first.union(second))
+
+
+def _with_tables(spark, sf):
+    row = F.transform("cells", lambda cells: F.array_join(F.transform(cells, lambda c: c["text"]), "|"))
+    return _tables(spark, sf).select("doc_id", "idx", "type", "content", "table_number", F.array_join(row, ";").alias("cells"))
 
 
 def _paragraph_format(spark, sf):
@@ -82,9 +93,10 @@ def _paragraph_format(spark, sf):
         F.when(F.col("toxic") == 1, "Quote").alias("style"),
         F.when(F.col("toxic") == 1, True).alias("bold"),
     )
-    out = E.format_paragraphs(_base(spark, sf), edits).filter("idx = 0")
+    out = E.format_paragraphs(_base(spark, sf), edits)
     return out.select(
         "doc_id",
+        "idx",
         F.coalesce("fmt.alignment", F.lit("-")).alias("alignment"),
         F.coalesce("style_name", F.lit("-")).alias("style"),
         F.coalesce(F.get("runs", F.lit(0))["bold"], F.lit(False)).alias("bold"),
@@ -96,7 +108,7 @@ def _rejected(spark, sf):
         "doc_id", F.lit(0).alias("idx"), F.when(F.col("quality") == 1, "Center").otherwise("sideways").alias("alignment")
     )
     done, rejected = E.set_alignment(_base(spark, sf), edits)
-    kept = done.filter("fmt.alignment is not null").select("doc_id", "idx", F.col("fmt.alignment").alias("result"))
+    kept = done.select("doc_id", "idx", F.coalesce("fmt.alignment", F.lit("-")).alias("result"))
     return kept.unionByName(rejected.select("doc_id", "idx", F.col("error").alias("result")))
 
 
@@ -107,8 +119,8 @@ def _created(spark, sf):
     )
     titles = table(spark, sf, "pages").select((F.col("page_id") + 10_000_000).alias("doc_id"), F.col("url").alias("title"))
     names, elements = E.create_documents(names, base, titles)
-    firsts = elements.filter("idx = 0").select("doc_id", "content", F.coalesce("style_name", F.lit("-")).alias("style"))
-    return E.list_documents(names).join(firsts, "doc_id")
+    rows = elements.select("doc_id", "idx", "content", F.coalesce("style_name", F.lit("-")).alias("style"))
+    return E.list_documents(names).join(rows, "doc_id")
 
 
 QUERIES = {
@@ -200,15 +212,23 @@ QUERIES = {
         ),
     ),
     "append_table": (
+        _with_tables,
+        f"with {DOC_LINES}, {_ENDS} select doc_id, idx, 'paragraph' as type, content, cast(null as int) as table_number, cast(null as varchar) as cells from lines "
+        "union all select doc_id, last + 1, 'table', '', 1, concat('id|', quality, ';last|') from labels join ends using (doc_id) "
+        "union all select doc_id, last + 2, 'table', '', 2, 'second' from labels join ends using (doc_id) where toxic = 1",
+    ),
+    "read_cells": (
         lambda spark, sf: read_cells(_tables(spark, sf)).drop("bold"),
-        f"with {DOC_LINES}, {_ENDS}, c as (select doc_id, last + 1 as idx, quality from labels join ends using (doc_id)) "
+        f"with {DOC_LINES}, {_ENDS}, c as (select doc_id, last + 1 as idx, quality, toxic from labels join ends using (doc_id)) "
         "select doc_id, idx, 0 as \"row\", 0 as col, 'id' as text from c union all select doc_id, idx, 0, 1, cast(quality as varchar) from c "
-        "union all select doc_id, idx, 1, 0, 'last' from c union all select doc_id, idx, 1, 1, '' from c",
+        "union all select doc_id, idx, 1, 0, 'last' from c union all select doc_id, idx, 1, 1, '' from c "
+        "union all select doc_id, idx + 1, 0, 0, 'second' from c where toxic = 1",
     ),
     "table_rows": (
         lambda spark, sf: table_rows(read_cells(_tables(spark, sf))).withColumn("texts", F.array_join("texts", "|")),
-        f"with {DOC_LINES}, {_ENDS}, c as (select doc_id, last + 1 as idx, quality from labels join ends using (doc_id)) "
-        "select doc_id, idx, 0 as \"row\", concat('id|', quality) as texts from c union all select doc_id, idx, 1, 'last|' from c",
+        f"with {DOC_LINES}, {_ENDS}, c as (select doc_id, last + 1 as idx, quality, toxic from labels join ends using (doc_id)) "
+        "select doc_id, idx, 0 as \"row\", concat('id|', quality) as texts from c union all select doc_id, idx, 1, 'last|' from c "
+        "union all select doc_id, idx + 1, 0, 'second' from c where toxic = 1",
     ),
     "delete_paragraphs": (
         lambda spark, sf: _out(E.delete_paragraphs(_base(spark, sf), _targets(spark, sf))),
@@ -216,8 +236,8 @@ QUERIES = {
     ),
     "create_documents": (
         _created,
-        "select doc_id, concat(source, '.docx') as filename, n_chars as size_bytes, split_part(text, chr(10), 1) as content, '-' as style from documents union all "
-        "select page_id + 10000000, concat(regexp_replace(url, '[<>:\"/\\\\|?*]', '_', 'g'), '.docx'), 0, url, 'Heading 1' from pages",
+        f"with {DOC_LINES} select doc_id, concat(source, '.docx') as filename, n_chars as size_bytes, idx, content, '-' as style from documents join lines using (doc_id) union all "
+        "select page_id + 10000000, concat(regexp_replace(url, '[<>:\"/\\\\|?*]', '_', 'g'), '.docx'), 0, 0, url, 'Heading 1' from pages",
     ),
     "duplicate_documents": (
         lambda spark, sf: E.duplicate_documents(
@@ -231,14 +251,14 @@ QUERIES = {
     ),
     "format_matching_text": (
         _formatted,
-        f"with {DOC_LINES} select doc_id, idx, concat(case when strpos(content, 'the') > 1 then concat('-:', content[1:strpos(content, 'the') - 1], '|') else '' end, "
-        "'true:the', case when length(content) > strpos(content, 'the') + 2 then concat('|-:', content[strpos(content, 'the') + 3:]) else '' end) as runs "
-        "from lines where contains(content, 'the')",
+        f"with {DOC_LINES} select doc_id, idx, case when not contains(content, 'the') then concat('-:', content) else concat(case when strpos(content, 'the') > 1 then concat('-:', content[1:strpos(content, 'the') - 1], '|') else '' end, "
+        "'true:the', case when length(content) > strpos(content, 'the') + 2 then concat('|-:', content[strpos(content, 'the') + 3:]) else '' end) end as runs, "
+        "contains(content, 'the') as formatted from lines",
     ),
     "format_paragraphs": (
         _paragraph_format,
-        f"with {DOC_LINES} select lines.doc_id, case when quality = 1 then 'center' else '-' end as alignment, case when toxic = 1 then 'Quote' else '-' end as style, "
-        "coalesce(toxic = 1, false) as bold from lines left join labels on labels.doc_id = lines.doc_id where idx = 0",
+        f"with {DOC_LINES} select lines.doc_id, idx, case when quality = 1 then 'center' else '-' end as alignment, case when toxic = 1 then 'Quote' else '-' end as style, "
+        "coalesce(toxic = 1, false) as bold from lines left join labels on labels.doc_id = lines.doc_id and idx = 0",
     ),
     "set_style": (
         lambda spark, sf: _out(E.set_style(_base(spark, sf), _targets(spark, sf).select("doc_id", "idx", "style"))),
@@ -246,7 +266,9 @@ QUERIES = {
     ),
     "set_alignment": (
         _rejected,
-        "select doc_id, 0 as idx, case when quality = 1 then 'center' else 'Unknown alignment ''sideways''.' end as result from labels",
+        f"with {DOC_LINES} select lines.doc_id, idx, case when quality = 1 then 'center' else '-' end as result from lines "
+        "left join labels on labels.doc_id = lines.doc_id and idx = 0 union all "
+        "select doc_id, 0, 'Unknown alignment ''sideways''.' from labels where quality is distinct from 1",
     ),
     "edit_errors": (
         lambda spark, sf: E.edit_errors(_base(spark, sf), _targets(spark, sf, 7)),

@@ -105,6 +105,19 @@ def _sql_functions(spark, sf):
     )
 
 
+# The longest common subsequence row by row: up to each place of b, the best of the row before and
+# of a match with the next character of a.
+_RATIO_SQL = """with recursive names as (select distinct p_name, lower(p_brand) as p_brand from part),
+ chars as (select *, string_split(p_name, '') as a, string_split(p_brand, '') as b from names),
+ rows as (
+  select p_name, p_brand, a, b, 0 as i, list_transform(range(len(b) + 1), lambda j: 0) as best from chars
+  union all
+  select p_name, p_brand, a, b, i + 1, list_transform(range(len(b) + 1), lambda j: greatest(best[j + 1],
+    coalesce(list_max(list_transform(range(1, j + 1), lambda k: case when b[k] = a[i + 1] then best[k] + 1 else 0 end)), 0)))
+  from rows where i < len(a))
+ select p_name, p_brand, cast(round_even(200.0 * best[len(b) + 1] / (len(a) + len(b)), 0) as int) as ratio from rows where i = len(a)"""
+
+
 QUERIES = {
     "read_text_manuscripts": (
         lambda spark, sf: doc_elements(spark, sf).select("doc_id", "idx", "elem_id", "type", "role", "content"),
@@ -250,7 +263,7 @@ QUERIES = {
         .select("p_name", F.lower("p_brand").alias("p_brand"))
         .distinct()
         .select("p_name", "p_brand", indel_ratio("p_name", "p_brand").alias("ratio")),
-        None,
+        _RATIO_SQL,
     ),
     "sql_functions": (
         _sql_functions,

@@ -137,3 +137,28 @@ def test_numeric_document_and_report(spark):
     report = J.citation_report(e.select("doc_id").distinct(), cits, refs, builtin_style_specs(spark), every_style(e, ["apa7", "ieee"]))
     r = report.filter("style_id = 'ieee'").collect()[0]
     assert (r.matched, r.orphan_citations, r.uncited_references, r.consistency_score) == (3, 2, 1, 57.1)
+
+
+def test_ratio_of_long_names(spark):
+    rng = random.Random(8)
+    pairs = [("".join(rng.choice("abcdé ") for _ in range(rng.randint(1, 500))) for _ in "ab") for _ in range(12)]
+    pairs = [tuple(p) for p in pairs] + [("x" * 500, "x" * 333), ("a" * 32, "b" + "a" * 31), ("ab" * 40, "ba" * 40)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(T.indel_ratio("a", "b")).collect()]
+    assert got == [indel(a, b) for a, b in pairs]
+
+
+def test_et_al_tells_the_modes_apart(spark):
+    c = spark.createDataFrame([(1, "smith et al.", "2000"), (1, "mit", "2000")], "doc_id long, author string, year string")
+    n = spark.createDataFrame([(1, "smith", "2000", 3), (2, "smith", "2000", 1)], "doc_id long, author string, year string, ref_idx int")
+    got = {m: sorted((r.author, r.ref_idx) for r in J.match_author_date_fuzzy(c, n, m).collect()) for m in ("ratio", "substring")}
+    assert got == {"ratio": [], "substring": [("mit", 3), ("smith et al.", 3)]}
+
+
+def test_a_paragraph_of_many_citations(spark):
+    n = 20_000
+    text = " ".join(f"Figure ({i % 90}) shows, and Smith (2001) agrees with it ({i % 90}) as others do (Doe, 2002; Roe, 2003)." for i in range(n // 5))
+    assert len(text) > 350_000
+    found = C.extract_citations(elements(spark, [(1, 0, "paragraph", "body", text * 5)])).collect()
+    assert len(found) == 4 * n and {r.text for r in found if r.citation_type == "narrative"} == {"Smith (2001)"}
+    for r in found[:: n // 10]:
+        assert (text * 5)[r.start : r.end].startswith(r.text[:4])
