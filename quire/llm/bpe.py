@@ -6,6 +6,9 @@ outermost tokens come out as they were.  A token sequence is the encoding of its
 if every adjacent pair of tokens is (the first merge across a border would also happen in the
 pair alone), so from then on every pair is settled and nothing outside the window can change.
 
+Each match of the splitting pattern is encoded by itself; the ids of frequent matches are
+remembered between texts.
+
 Null texts count as empty; an empty text has no tokens.  Rows repeat as given, null ids stay.
 """
 
@@ -13,12 +16,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from functools import lru_cache
 
 import numpy as np
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,53 +33,46 @@ OUTPUTS = {
     "decoded_sha256": "string",
 }
 
-# A white-space character after another character: every match of the pattern ends before it
-# and the next one starts at it, whatever stands on either side.
-_SAFE = re.compile(r"[^\s\x85\xa0\x1c-\x1f](?=[ \n\t\r])")
-
-
 class ByteBpe:
     """An encoder for ranked byte sequences and a splitting pattern.
 
-    ``leaf_chars`` bounds the texts that are encoded at once, ``leaf_bytes`` the parts of one
-    match that are merged at once, ``window`` is the first number of tokens taken on each
-    side of a boundary.
+    ``leaf_bytes`` bounds the parts of one match that are merged at once, ``window`` is the first
+    number of tokens taken on each side of a boundary, ``leaf_ids`` bounds the ids that are decoded
+    at once.  Up to ``max_matches`` matches of at most ``long_match`` characters are remembered.
     """
 
     def __init__(
         self,
         ranks: dict[bytes, int],
         pattern: str,
-        leaf_chars: int = 2048,
-        leaf_bytes: int = 64,
-        window: int = 4,
+        leaf_bytes: int = 16,
+        window: int = 2,
+        leaf_ids: int = 2048,
+        max_matches: int = 500_000,
+        long_match: int = 64,
     ):
-        self.ranks, self.leaf_chars, self.leaf_bytes, self.window = ranks, leaf_chars, leaf_bytes, window
+        self.ranks, self.leaf_bytes, self.window, self.leaf_ids = ranks, leaf_bytes, window, leaf_ids
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.pattern = regex.compile(pattern)
-        self._leaf = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.pattern, self.max_matches, self.long_match = regex.compile(pattern), max_matches, long_match
+        self.known: dict[str, bytes] = {}
+
+    def encode_array(self, text: str) -> np.ndarray:
+        """Ids of a whole text, as little-endian 32-bit integers."""
+        found = self.pattern.findall(text)
+        matches, known = set(found), self.known
+        if len(known) > self.max_matches:  # what the present text uses stays
+            known = self.known = {m: known[m] for m in matches if m in known}
+        new = [m for m in matches if m not in known]
+        for m in new:
+            known[m] = np.array(self.encode_match(m.encode()), "<u4").tobytes()
+        ids = np.frombuffer(b"".join(map(known.__getitem__, found)), "<u4")
+        for m in new:
+            if len(m) > self.long_match:
+                del known[m]
+        return ids
 
     def encode(self, text: str) -> list[int]:
-        """Ids of a whole text: halves are encoded by themselves and joined."""
-        if len(text) <= self.leaf_chars:
-            return self._leaf.encode_ordinary(text)
-        middle = self._middle(text)
-        if middle is None:
-            return [i for m in self.pattern.finditer(text) for i in self.encode_match(m.group().encode())]
-        # Both sides of a safe place keep their tokens, so this join has an empty window.
-        return self.encode(text[:middle]) + self.encode(text[middle:])
-
-    def _middle(self, text: str) -> int | None:
-        """The safe place next to the middle, or None if there is none in the text."""
-        half = len(text) // 2
-        if found := _SAFE.search(text, half):
-            return found.end()
-        before = None
-        for at in range(half, 0, -1):
-            if text[at] in " \n\t\r" and _SAFE.match(text, at - 1):
-                before = at
-                break
-        return before
+        return self.encode_array(text).tolist()
 
     def encode_match(self, data: bytes) -> list[int]:
         """Ids of one match of the pattern; a match that is a token stays one."""
@@ -125,7 +119,7 @@ class ByteBpe:
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of the ids, concatenated up the tree."""
-        if len(ids) <= self.leaf_chars:
+        if len(ids) <= self.leaf_ids:
             return b"".join(map(self.bytes_of.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
@@ -160,8 +154,8 @@ def encode_documents(
         def step(doc_ids, texts):
             columns = {name: [] for name in outputs}
             for text in texts:
-                ids = bpe.encode(text or "")
-                decoded = bpe.decode(ids)
+                ids = bpe.encode_array(text or "")
+                decoded = bpe.decode(ids.tolist())
                 for name, column in columns.items():
                     if name == "n_tokens":
                         column.append(len(ids))
@@ -170,7 +164,7 @@ def encode_documents(
                     elif name == "decoded":
                         column.append(decoded)
                     elif name == "ids_sha256":
-                        column.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+                        column.append(hashlib.sha256(ids.tobytes()).hexdigest())
                     else:
                         column.append(hashlib.sha256(decoded).hexdigest())
             return doc_ids, *columns.values()

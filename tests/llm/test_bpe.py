@@ -7,6 +7,7 @@ import pytest
 import tiktoken
 
 from quire.llm.bpe import ByteBpe, encode_documents, load
+from quire.llm.queries import op2_byte_bpe
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -19,7 +20,7 @@ def bpe():
 @pytest.fixture(scope="module")
 def small(bpe):
     """The same ranks with tiny leaves, so that every join is exercised."""
-    return ByteBpe(bpe.ranks, public_tokenizers.PATTERN, leaf_chars=3, leaf_bytes=2, window=1)
+    return ByteBpe(bpe.ranks, public_tokenizers.PATTERN, leaf_bytes=2, window=1, leaf_ids=3, max_matches=100)
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +70,23 @@ def test_documents(spark, library):
         assert r.ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(source.encode()).hexdigest()
     assert encode_documents(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_whole_table_equals_the_library(spark, library):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: tuple(r) for r in op2_byte_bpe(spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        ids = library.encode_ordinary(r.text or "")
+        digests = (hashlib.sha256(x).hexdigest() for x in (np.array(ids, "<u4").tobytes(), (r.text or "").encode()))
+        assert got[r.doc_id] == (r.doc_id, len(ids), *digests)
+
+
+def test_matches_go_through_the_joins(bpe, library, monkeypatch):
+    """Without its joins the encoder is wrong, so no other path gives the ids."""
+    texts = [" internationalisation", " Donaudampfschifffahrt", "counterrevolutionaries"]
+    want = [library.encode_ordinary(t) for t in texts]
+    assert [ByteBpe(bpe.ranks, public_tokenizers.PATTERN).encode(t) for t in texts] == want
+    monkeypatch.setattr(ByteBpe, "join", lambda self, left, right: left + right)
+    assert all(ByteBpe(bpe.ranks, public_tokenizers.PATTERN).encode(t) != w for t, w in zip(texts, want))
