@@ -15,9 +15,10 @@ with it; groups hold about the root of their number.
 
 It is trained in numpy by noise-contrastive estimation on both levels.  Training parts hold a
 fixed number of tokens and are dealt by a hash of id and text, so they do not depend on how the
-input is split.  After each round values and optimiser states are averaged, each row weighted by
-its uses, which adds up in two steps; rounds go on until held-out documents gain no more, and
-the last one also runs over these.
+input is split.  A pass over the corpus goes in waves, each of about as many parts as all before
+it: the parts of a wave start from the average of the last one, so what a part learns from grows
+with the corpus while every document is read once.  After a wave values and optimiser states are
+averaged, each row weighted by its uses, which adds up in two steps.
 
 With ``exp(u)`` and ``exp(v)`` the exponentials of a class's score parts from either context
 word, the normaliser of all contexts that are classes is one matrix product; other normalisers
@@ -163,7 +164,7 @@ class LogBilinear:
             rng = np.random.default_rng(seed)
             values = np.concatenate(
                 [rng.normal(0, 0.1, n), *[np.eye(dim).ravel() * 0.5] * 2, np.zeros(classes + rare)]
-            )
+            ).astype(np.float32)
         self.values = values
         ends = np.cumsum(shapes)
         self.vectors = values[:n].reshape(self.rows, dim)
@@ -175,7 +176,7 @@ class LogBilinear:
     def train(
         self, tokens: np.ndarray, near: np.ndarray, far: np.ndarray, noise_of: np.ndarray, state: np.ndarray,
         rng: np.random.Generator, noise: int = 32, rate: float = 0.1, words: np.ndarray | None = None,
-        members: tuple[np.ndarray, int] | None = None, uses: np.ndarray | None = None, inner: int = 4,
+        members: tuple[np.ndarray, int] | None = None, uses: np.ndarray | None = None, inner: int = 3,
     ) -> None:
         """One step of noise-contrastive estimation on a batch of classes with their contexts.
 
@@ -187,7 +188,7 @@ class LogBilinear:
         """
         dim, v, n = self.dim, self.vectors, len(tokens)
         drawn = rng.choice(len(noise_of), noise, p=noise_of)
-        shift = np.log(noise * noise_of)
+        shift = np.log(noise * noise_of).astype(np.float32)
         a, b, out, other = v[near], v[far], v[tokens], v[drawn]
         q = a @ self.near + b @ self.far
         right = 1 / (1 + np.exp((q * out).sum(1) + self.bias[tokens] - shift[tokens]))
@@ -203,7 +204,7 @@ class LogBilinear:
             found = np.searchsorted(ends, least[:, None] + rng.random((len(w), inner)) * (most - least)[:, None], "right")
             found = np.clip(found, low[:, None], np.minimum(low + width, len(ends))[:, None] - 1)
             pick = np.concatenate([w[:, None], found], axis=1)
-            share = np.log(inner * (ends[pick] - np.where(pick > 0, ends[pick - 1], 0.0)) / (most - least)[:, None])
+            share = np.log(inner * (ends[pick] - np.where(pick > 0, ends[pick - 1], 0.0)) / (most - least)[:, None]).astype(np.float32)
             vectors = v[first + 1 + pick]
             pull = np.einsum("nd,nkd->nk", qw, vectors) + self.bias[first + pick] - share
             pull[:, 0] = 1 / (1 + np.exp(pull[:, 0]))
@@ -225,17 +226,16 @@ class LogBilinear:
     @staticmethod
     def _apply(rows, steps, values, state, n, rate, uses, first) -> None:
         """Add up the steps of each row that is used, and move these rows only."""
-        times = np.bincount(rows, minlength=len(values))
-        used = np.flatnonzero(times)
-        place = np.zeros(len(values), dtype=np.int64)
-        place[used] = np.arange(len(used))
-        row = place[rows]
-        grad = np.stack([np.bincount(row, step, minlength=len(used)) for step in steps.T], axis=1) / n
+        order = np.argsort(rows, kind="stable")
+        row = rows[order]
+        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        used = row[starts]
+        grad = np.add.reduceat(steps[order].astype(np.float32), starts, axis=0) / np.float32(n)
         past = state[used] + grad * grad
         state[used] = past
         values[used] += rate * grad / np.sqrt(past + 1e-8)
         if uses is not None:
-            uses[first + used] += times[used]
+            uses[first + used] += np.diff(np.append(starts, len(row)))
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log-score parts of (near token, token) and (far token, token), and all log normalisers."""
@@ -289,7 +289,7 @@ class Scorer:
         np.exp(scores, out=scores)
         return np.log(scores.sum(1)) + top
 
-    def __call__(self, t: np.ndarray, near: np.ndarray, far: np.ndarray, words: np.ndarray, block: int = 2048) -> np.ndarray:
+    def __call__(self, t: np.ndarray, near: np.ndarray, far: np.ndarray, words: np.ndarray, block: int = 256) -> np.ndarray:
         c, v = self.classes, self.vectors
         q = self.near[near] + self.far[far]
         found = np.einsum("nd,nd->n", q, v[t]) + self.bias[t]
@@ -312,15 +312,17 @@ class Scorer:
         return found
 
 
+def waves(parts: int) -> list[tuple[int, int]]:
+    """The parts of a pass in waves: a sixteenth of them first, then as many as all before."""
+    ends = sorted({-(-parts // n) for n in (16, 8, 4, 2, 1)})
+    return list(zip([0, *ends[:-1]], ends, strict=True))
+
+
 def fit(
-    docs: DataFrame, vocab: Vocabulary, dim: int = 16, rounds: int | None = None, batch: int = 4096, text_col: str = "text",
-    id_col: str = "doc_id", part_tokens: int = 2_000_000, settled: float = 0.005, most: int = 20,
+    docs: DataFrame, vocab: Vocabulary, dim: int = 16, passes: int = 1, batch: int = 4096, text_col: str = "text",
+    id_col: str = "doc_id", part_tokens: int = 2_000_000,
 ) -> LogBilinear:
-    """Train over all documents; each round starts from the average of the last.
-
-    Without ``rounds`` they go on until the held-out log10-probability of a token gains less than
-    ``settled``, ``most`` times at most, and one round more runs over the held-out documents too.
-    """
+    """Train over all documents, ``passes`` times; each wave starts from the average of the last."""
     spark = docs.sparkSession
     model = LogBilinear(vocab.size, dim, rare=len(vocab.rare))
     noise_of, counts = vocab.classes(), vocab.rare_counts()
@@ -331,50 +333,34 @@ def fit(
     members = (np.cumsum(counts), vocab.width)
     parts = max(1, -(-vocab.tokens // part_tokens))
     tasks = min(parts, 2 * spark.sparkContext.defaultParallelism)
-    names = [id_col, text_col]
-    key, held = F.xxhash64(*names), F.pmod(F.hash(*names), F.lit(max(8, vocab.tokens // 100_000))) == 0
+    key = F.xxhash64(id_col, text_col)
 
     def start():
         rows = class_ids(vocab)
-        return lambda keys, parts, held, texts: (keys, parts, held, [rows(words_of(t)).tobytes() for t in texts])
+        return lambda keys, parts, texts: (keys, parts, [rows(words_of(t)).tobytes() for t in texts])
 
-    given = docs.select(key.alias("key"), F.pmod(key, F.lit(parts)).cast("int").alias("part"), held.alias("held"), text_col)
-    dealt = map_batches(given, "key bigint, part int, held boolean, x binary", start).repartitionById(tasks, F.col("part") % tasks)
+    given = docs.select(key.alias("key"), F.pmod(key, F.lit(parts)).cast("int").alias("part"), text_col)
+    dealt = map_batches(given, "key bigint, part int, x binary", start).repartitionById(tasks, F.col("part") % tasks)
     dealt = cut(dealt.sortWithinPartitions("part", "key", "x"))
-    aside = cut(dealt.filter("held").select("x")) if rounds is None else None
     schema = "weight double, sums binary"  # as bytes, which the driver holds once
 
-    def likelihood(model: LogBilinear) -> float | None:
-        shared = spark.sparkContext.broadcast(model.values)
-
+    def total(kind: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer, n, total = None, 0, 0.0
+            weight, sums = 0.0, None
             for b in batches:
-                if b.num_rows:
-                    scorer = scorer or Scorer(vocab, LogBilinear(vocab.size, dim, shared.value, rare=len(vocab.rare)))
-                    found = scorer(*contexts([np.frombuffer(x.as_py(), np.int32) for x in b.column(0)], vocab))
-                    n, total = n + len(found), total + float(found.sum(dtype=np.float64))
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total])], names=["n", "total"])
-
-        r = aside.mapInArrow(run, "n bigint, total double").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
-        shared.unpersist()
-        return r.total / r.n * math.log10(math.e) if r.n else None
+                for w, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    values = np.frombuffer(s.as_py(), kind)
+                    weight, sums = weight + w, values.astype(np.float64) if sums is None else sums + values
+            if sums is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([sums.tobytes()])], names=["weight", "sums"])
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, sums = 0.0, None
-        for b in batches:
-            for w, s in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                values = np.frombuffer(s.as_py())
-                weight, sums = weight + w, values.copy() if sums is None else sums + values
-        if sums is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([sums.tobytes()])], names=["weight", "sums"])
+        return run
 
     def weights(uses: np.ndarray, seen: float) -> np.ndarray:
         rows = vocab.size + 1 + len(vocab.rare)
         return np.concatenate([np.repeat(uses[:rows], dim), np.full(2 * dim * dim, seen), uses[rows:]])
 
-    def step(model: LogBilinear, state: np.ndarray, number: int, whole: bool) -> tuple[LogBilinear, np.ndarray]:
+    def step(model: LogBilinear, state: np.ndarray, number: int, low: int, high: int) -> tuple[LogBilinear, np.ndarray]:
         shared, size = spark.sparkContext.broadcast((model.values, state)), len(model.values)
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,35 +393,31 @@ def fit(
                         rng = np.random.default_rng([3, number, p])
                     waiting.append(np.frombuffer(x.as_py(), np.int32))
                     n += len(waiting[-1])
-                    if n >= batch:
+                    if n >= 4 * batch:
                         n_seen += run()
                         waiting, n = [], 0
             if own is not None:
                 close()
-                yield pa.RecordBatch.from_arrays([pa.array([seen_all]), pa.array([sums.tobytes()])], names=["weight", "sums"])
+                found = sums.astype(np.float32).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([seen_all]), pa.array([found])], names=["weight", "sums"])
 
-        rows = (dealt if whole else dealt.filter("not held")).select("part", "x")
-        trained = rows.mapInArrow(learn, schema)
-        for n in (max(1, math.isqrt(tasks)), 1):
-            trained = trained.repartition(n).mapInArrow(total, schema)
+        trained = dealt.filter((F.col("part") >= low) & (F.col("part") < high)).select("part", "x").mapInArrow(learn, schema)
+        for n, kind in ((max(1, math.isqrt(min(tasks, high - low))), "<f4"), (1, "<f8")):
+            trained = trained.repartition(n).mapInArrow(total(kind), schema)
         sums = trained.collect()
         shared.unpersist()
         if not (seen := sum(r.weight for r in sums)):
             return model, state
-        found = np.sum([np.frombuffer(r.sums) for r in sorted(sums)], axis=0)
+        found = np.frombuffer(sums[0].sums)
         w = np.maximum(weights(found[2 * size :], seen), 1)
-        values = model.values + found[:size] / w
-        return LogBilinear(vocab.size, dim, values, rare=len(vocab.rare)), state + found[size : 2 * size] / w
+        values = (model.values + found[:size] / w).astype(np.float32)
+        return LogBilinear(vocab.size, dim, values, rare=len(vocab.rare)), (state + found[size : 2 * size] / w).astype(np.float32)
 
-    state, last = np.zeros(len(model.values)), likelihood(model) if rounds is None else None
-    for number in range(rounds if rounds is not None else most if last is not None else 3):
-        model, state = step(model, state, number, whole=last is None)
-        if last is not None:
-            now = likelihood(model)
-            if now - last < settled:
-                break
-            last = now
-    return step(model, state, most, whole=True)[0] if last is not None else model
+    state = np.zeros(len(model.values), dtype=np.float32)
+    for number in range(passes):
+        for low, high in waves(parts):
+            model, state = step(model, state, number, low, high)
+    return model
 
 
 def score(
@@ -519,12 +501,12 @@ def score(
 
 
 def learn_and_score(
-    docs: DataFrame, training: Column, head: int = 100_000, short: int = 1000, dim: int = 16, rounds: int | None = None,
+    docs: DataFrame, training: Column, head: int = 100_000, short: int = 250, dim: int = 16, passes: int = 1,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Count and train on the rows where ``training`` holds, and score every document."""
     learn = docs.filter(training)
     counts = cut(count_tokens(learn, text_col))
     vocab = vocabulary(counts, head, short, rare_from)
-    model = fit(learn, vocab, dim, rounds, text_col=text_col, id_col=id_col)
+    model = fit(learn, vocab, dim, passes, text_col=text_col, id_col=id_col)
     return score(docs, counts, vocab, model, id_col, text_col)

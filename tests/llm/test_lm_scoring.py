@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm.common import fold
-from quire.llm.lm_scoring import LogBilinear, Scorer, Vocabulary, class_ids, contexts, count_tokens, fit, learn_and_score, rare_from, score, vocabulary
+from quire.llm.lm_scoring import LogBilinear, Scorer, Vocabulary, class_ids, contexts, count_tokens, fit, learn_and_score, rare_from, score, vocabulary, waves
 from quire.llm.queries import op6_lm_scoring
 
 
@@ -103,7 +103,7 @@ def test_rare_words_have_vectors_and_both_levels_are_normalised(spark):
     counts = count_tokens(df)
     vocab = vocabulary(counts, 10, 2, rare_from)
     assert len(vocab.rare) == 78 and vocab.groups > 1 and vocab.other_total == 1
-    model = fit(df, vocab, dim=8, rounds=20)
+    model = fit(df, vocab, dim=8, passes=20)
     scorer, place = Scorer(vocab, model), class_ids(vocab)
     a, b = (int(place([w.encode()])[0]) for w in vocab.rare[:2])
     ends = [place([w.encode()])[:1] for w in [*vocab.short, *vocab.rare, "unknown"]] + [place([])]
@@ -128,13 +128,14 @@ def test_vocabulary_follows_the_corpus(spark):
 
 
 def test_scores_do_not_depend_on_the_split(spark):
+    assert waves(1) == [(0, 1)] and waves(11) == [(0, 1), (1, 2), (2, 3), (3, 6), (6, 11)]
     rows = [(i, " ".join(f"a{(i * 7 + k) % 30} b{(i * 7 + k) % 30}" for k in range(20))) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     counts = count_tokens(df)
     vocab, got = vocabulary(counts, 100, 5, rare_from), []
     for n in (1, 200):
         split = df.repartition(n)
-        model = fit(split, vocab, dim=4, part_tokens=8000)
+        model = fit(split, vocab, dim=4, part_tokens=8000, passes=4)
         got.append({r.doc_id: r.score for r in score(split, counts, vocab, model).collect()})
     assert all(math.isclose(s, got[1][i], rel_tol=1e-6) for i, s in got[0].items())
     assert sum(got[1].values()) > sum(r.base_score for r in score(df, counts, vocab, model).collect())
