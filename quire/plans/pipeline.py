@@ -23,10 +23,10 @@ class Analysis:
     summary: DataFrame
     citations: DataFrame
     references: DataFrame
-    matches: DataFrame
-    report: DataFrame
-    plan: DataFrame
-    changes: DataFrame
+    matches: DataFrame | None
+    report: DataFrame | None
+    plan: DataFrame | None
+    changes: DataFrame | None
 
 
 def analyse(
@@ -35,11 +35,12 @@ def analyse(
     doc_styles: DataFrame,
     fuzzy: str = "ratio",
     max_rows: Limit = None,
+    tables: tuple[str, ...] | None = None,
 ) -> Analysis:
     """Label, extract, reconcile and plan every document in the style ``doc_styles`` gives it.
 
     Tables that several results read - labelled elements, citations, references - are
-    computed once and persisted.
+    computed once and persisted.  With ``tables`` only these and the three are planned; others are None.
     """
     limit = long_documents(elements, max_rows)
     labelled = detect_structure(elements, limit).persist()
@@ -47,14 +48,18 @@ def analyse(
     references = primary_references(references_of(labelled, limit)).persist()
     documents = labelled.select("doc_id").distinct()
     merged = merge(labelled, max_rows=limit)
+
+    def planned(name: str, build) -> DataFrame | None:
+        return build() if tables is None or name in tables else None
+
     return Analysis(
         elements=labelled,
         merged=merged,
         summary=structure_summary_map(labelled),
         citations=citations,
         references=references,
-        matches=match_citations(citations, references, fuzzy),
-        report=citation_report(documents, citations, references, specs, doc_styles, fuzzy),
-        plan=target_format(merged, specs, doc_styles),
-        changes=format_changes(merged, specs, doc_styles, limit),
+        matches=planned("matches", lambda: match_citations(citations, references, fuzzy)),
+        report=planned("report", lambda: citation_report(documents, citations, references, specs, doc_styles, fuzzy)),
+        plan=planned("plan", lambda: target_format(merged, specs, doc_styles)),
+        changes=planned("changes", lambda: format_changes(merged, specs, doc_styles, limit)),
     )

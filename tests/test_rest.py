@@ -13,7 +13,7 @@ from quire.sources.docx import read_docx_corpus
 from quire.sources.exports import write_reports
 from quire.sources.styles import builtin_style_specs, read_style_specs
 from quire.sources.text import from_lines, read_text_files, read_text_manuscripts
-from quire.streaming.incremental import incremental_pipeline, labelled_elements
+from quire.streaming.incremental import TABLES, incremental_pipeline, result_table
 
 SF = "/root/testdata/sf0.001"
 CHECKED = [
@@ -119,15 +119,26 @@ def test_pipeline_and_reports(spark, tmp_path):
 
 
 def test_incremental(spark, tmp_path):
-    source = tmp_path / "in"
+    """Arrivals in two batches, repeated arrivals, a restart and a batch that is played again."""
+    source, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    names = ("elements", "summary", "citations")
+
+    def arrive():
+        stream = spark.readStream.schema(docs.schema).parquet(source)
+        incremental_pipeline(stream, out, cp, tables=names).awaitTermination()
+        return {n: sorted(map(repr, result_table(spark, out, n).collect())) for n in names}
+
     for part in (docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 3 = 0")):
-        part.coalesce(1).write.mode("append").parquet(str(source))
-        stream = spark.readStream.schema(docs.schema).parquet(str(source))
-        incremental_pipeline(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = labelled_elements(spark, str(tmp_path / "out"))
-    lines = read_text_manuscripts(docs.filter("doc_id % 2 = 0 or doc_id % 3 = 0"))
-    assert got.count() == lines.count()
+        part.union(part).coalesce(1).write.mode("append").parquet(source)
+        got = arrive()
+    wanted = docs.filter("doc_id % 2 = 0 or doc_id % 3 = 0")
+    assert result_table(spark, out, "elements").count() == read_text_manuscripts(wanted).count()
+    assert len(got["summary"]) == result_table(spark, out, "summary").select("doc_id").distinct().count() * len(got["summary"]) // wanted.count()
+    assert arrive() == got  # nothing new has arrived
+    (tmp_path / "cp" / "commits" / "1").unlink()
+    (tmp_path / "cp" / "commits" / ".1.crc").unlink(missing_ok=True)
+    assert arrive() == got and set(names) < set(TABLES)
 
 
 def test_repeated_edits_and_ties(spark):
