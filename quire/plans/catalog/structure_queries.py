@@ -23,6 +23,7 @@ from quire.plans.catalog.inputs import (
 )
 from quire.plans.catalog.text_queries import _ARTIFACT_SQL, _AUTHOR_SQL, _PIPE_SQL, _WORDS
 from quire.schemas import SECTION_ROLES
+from quire.sources.docx import resolve_fonts
 
 _W = "(partition by doc_id order by idx)"
 _BEFORE = "(partition by doc_id order by idx rows between unbounded preceding and 1 preceding)"
@@ -244,7 +245,67 @@ _JOINED_SQL = f"""{_MERGE_SQL},
    union all select doc_id, idx, role, line from groups where grp is null)
  select doc_id, cast(row_number() over (partition by doc_id order by first) - 1 as int) as idx, role, content from kept"""
 
+
+
+def _merged_by_default(spark, sf):
+    """Every second document is cut into short lines, so that it is fragmented where it is long."""
+    rows = _cut_lines(spark, sf)
+    return M.merge(rows).select("doc_id", "idx", "role", "content")
+
+
+_SHORT = "case when doc_id % 2 = 0 then substr(content, 1, 70) else content end"
+
+
+def _cut_lines(spark, sf):
+    return labelled_documents(spark, sf).withColumn("content", F.expr(_SHORT))
+
+
+_CUT_SQL = _MERGE_SQL.replace("trim(content) as line", f"trim({_SHORT}) as line")
+_DEFAULT_SQL = f"""{_CUT_SQL},
+ broken as (select doc_id, count(*) filter (where line <> '') >= 20 and count(*) filter (where line <> '' and length(line) < 100) / count(*) filter (where line <> '') > 0.6
+   and median(length(line)) filter (where line <> '') < 80 as fragmented from groups group by doc_id),
+ grouped as (select g.*, case when fragmented then grp end as own from groups g join broken using (doc_id)),
+ kept as (select doc_id, min(idx) as first, min_by(role, idx) as role, case when count(*) > 1 then array_to_string(list(line order by idx), ' ')
+     else min({_SHORT}) end as content from grouped join (select doc_id, idx, content from lines) using (doc_id, idx) where own is not null group by doc_id, own
+   union all select doc_id, idx, role, {_SHORT} from grouped join (select doc_id, idx, content from lines) using (doc_id, idx) where own is null)
+ select doc_id, cast(row_number() over (partition by doc_id order by first) - 1 as int) as idx, role, content from kept"""
+
+
+def _moved_citations(spark, sf):
+    """A citation on every line, moved with the paragraph that the line becomes part of."""
+    rows = labelled_documents(spark, sf)
+    citations = rows.select("doc_id", "idx", F.lit(0).alias("cit_no"), F.col("idx").alias("line"))
+    return M.merge_citations(citations, M.merge_groups(rows))
+
+
+_MOVED_SQL = f"""{_MERGE_SQL}
+ select g.doc_id, coalesce(first, idx) as idx, 0 as cit_no, idx as line from groups g
+ left join (select doc_id, grp, min(idx) as first from groups where grp is not null group by all) f on f.doc_id = g.doc_id and f.grp = g.grp"""
+
+
+# Runs, paragraph styles and document defaults; each states a font or size for some rows only.
+_RUN = "case (doc_id + idx) % 3 when 0 then 'Arial' end as font_name, cast(case (doc_id + 2 * idx) % 4 when 0 then 21 end as double) as half_points"
+_STYLE = "case idx % 5 when 0 then 'Georgia' end as style_font, cast(case idx % 3 when 0 then 28 end as double) as style_half_points"
+_DEFAULT = "case when doc_id % 4 <> 0 then 'Times New Roman' end as default_font, cast(case when doc_id % 3 <> 0 then 24 end as double) as default_half_points"
+
+
+def _fonts(spark, sf):
+    lines = doc_elements(spark, sf).select("doc_id", "idx", "content")
+    null = {n: F.lit(None).cast("boolean").alias(n) for n in ("bold", "italic", "underline", "strike", "superscript", "subscript")}
+    fields = [F.col("content").alias("text"), *null.values(), "font_name", "half_points", F.lit(None).cast("string").alias("color")]
+    runs = lines.selectExpr("*", *_RUN.split(", ", 1)).select("doc_id", "idx", F.array(F.struct(*fields)).alias("runs"))
+    styles = lines.select("idx").distinct().selectExpr("idx", *_STYLE.split(", ", 1))
+    defaults = lines.select("doc_id").distinct().selectExpr("doc_id", *_DEFAULT.split(", ", 1))
+    out = resolve_fonts(runs.join(styles, "idx").join(defaults, "doc_id"))
+    return out.select("doc_id", "idx", F.inline("runs")).select("doc_id", "idx", "text", "font_name", "font_size_pt")
+
+
 QUERIES = {
+    "resolve_fonts": (
+        _fonts,
+        f"with {DOC_LINES}, r as (select *, {_RUN}, {_STYLE}, {_DEFAULT} from lines) select doc_id, idx, content as text, "
+        "coalesce(font_name, style_font, default_font) as font_name, coalesce(half_points, style_half_points, default_half_points) / 2 as font_size_pt from r",
+    ),
     "role_from_style": (
         lambda spark, sf: _styled(spark, sf).select("doc_id", "idx", "role", "confidence"),
         f"with {DOC_LINES} select doc_id, idx, case idx % 7 when 0 then 'title' when 1 then 'heading_2' when 2 then 'heading_1' "
@@ -356,6 +417,8 @@ QUERIES = {
     ),
     "merge_groups": (_merge_groups, f"{_MERGE_SQL} select doc_id, idx, grp, starts from groups"),
     "merge_paragraphs": (_merged, _JOINED_SQL),
+    "merge_default": (_merged_by_default, _DEFAULT_SQL),
+    "merge_citations": (_moved_citations, _MOVED_SQL),
     "reindex": (
         lambda spark, sf: reindex(doc_elements(spark, sf).filter("content not like '%a%'")).select("doc_id", "idx", "content"),
         f"with {DOC_LINES} select doc_id, cast(row_number() over (partition by doc_id order by idx) - 1 as int) as idx, content "
