@@ -43,7 +43,7 @@ def py_strip(c: Column) -> Column:
 BLOCK = 128
 
 
-def _gathered(items: Column, state: dict[str, Column], kind: str, step) -> Column:
+def gathered(items: Column, state: dict[str, Column], kind: str, step) -> Column:
     """One fold over ``items`` that emits an element or null for each and carries ``state``.
 
     ``step(state, item)`` gives the next state and the element.  Elements are gathered in blocks,
@@ -51,17 +51,17 @@ def _gathered(items: Column, state: dict[str, Column], kind: str, step) -> Colum
     """
     names = list(state)
     none = F.array().cast(f"array<{kind}>")
-    start = F.struct(*[c.alias(n) for n, c in state.items()], none.alias("open"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+    start = F.struct(*[c.alias(n) for n, c in state.items()], none.alias("_block"), F.array().cast(f"array<array<{kind}>>").alias("_done"))
 
     def merge(acc: Column, item: Column) -> Column:
         after, element = step(acc, item)
-        full = F.size(acc["open"]) >= BLOCK
-        opened = F.when(full, none).otherwise(acc["open"])
-        done = F.when(full, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"])
+        full = F.size(acc["_block"]) >= BLOCK
+        opened = F.when(full, none).otherwise(acc["_block"])
+        done = F.when(full, F.array_append(acc["_done"], acc["_block"])).otherwise(acc["_done"])
         opened = F.when(element.isNull(), opened).otherwise(F.array_append(opened, element))
-        return F.struct(*[after[n].alias(n) for n in names], opened.alias("open"), done.alias("done"))
+        return F.struct(*[after[n].alias(n) for n in names], opened.alias("_block"), done.alias("_done"))
 
-    return F.aggregate(items, start, merge, lambda acc: F.flatten(F.array_append(acc["done"], acc["open"])))
+    return F.aggregate(items, start, merge, lambda acc: F.flatten(F.array_append(acc["_done"], acc["_block"])))
 
 
 def _spans(s: Column, pattern: str) -> Column:
@@ -75,7 +75,7 @@ def _spans(s: Column, pattern: str) -> Column:
         after = {"at": start + F.length(p["m"]), "tail": F.right(F.concat(before, p["m"]), F.lit(8))}
         return after, F.struct(p["m"].alias("m"), start.alias("start"), before.alias("before"))
 
-    return _gathered(pairs, {"at": F.lit(0), "tail": F.lit("")}, "struct<m: string, start: int, before: string>", step)
+    return gathered(pairs, {"at": F.lit(0), "tail": F.lit("")}, "struct<m: string, start: int, before: string>", step)
 
 
 CITATION = "struct<text: string, citation_type: string, author: string, year: string, start: int, end: int>"
@@ -169,7 +169,7 @@ def drop_overlaps(narrative: Column, earlier: Column, contained: bool = False) -
         return after, F.when((e["kind"] == 1) & ~reached, e["c"])
 
     in_order = F.array_sort(F.concat(marked(earlier, 0), marked(narrative, 1)))
-    return _gathered(in_order, {"furthest": F.lit(-1)}, CITATION, step)
+    return gathered(in_order, {"furthest": F.lit(-1)}, CITATION, step)
 
 
 @sql_function("text STRING", "ARRAY<INT>")

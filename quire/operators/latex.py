@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.base import strip
-from quire.functions.citation_text import py_strip
+from quire.functions.citation_text import gathered, py_strip
 from quire.ordering import Limit, latest, over_documents, total
 
 # Names that open a section, and chunk sizes.
@@ -64,19 +64,15 @@ def _pack(paragraphs: Column, limit: int, restart: bool = False) -> Column:
 
     With ``restart`` an empty chunk is as good as none.
     """
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open")
-    )
-
-    def step(acc: Column, p: Column) -> Column:
+    def step(acc: Column, p: Column) -> tuple[dict[str, Column], Column]:
         opened = F.nullif(acc["open"], F.lit("")) if restart else acc["open"]
         full = F.length(opened) + F.length(p) + 2 > limit
-        return F.struct(
-            F.when(full, F.array_append(acc["done"], acc["open"])).otherwise(acc["done"]).alias("done"),
-            F.when(opened.isNull() | full, p).otherwise(F.concat(acc["open"], F.lit("\n\n"), p)).alias("open"),
-        )
+        longer = F.when(opened.isNull() | full, p).otherwise(F.concat(acc["open"], F.lit("\n\n"), p))
+        return {"open": longer}, F.when(p.isNull() | full, acc["open"])
 
-    return F.aggregate(paragraphs, start, step, lambda acc: F.array_append(acc["done"], acc["open"]))
+    # A null after the last paragraph closes the chunk that is open.
+    ended = F.concat(paragraphs, F.array(F.lit(None).cast("string")))
+    return gathered(ended, {"open": F.lit(None).cast("string")}, "string", step)
 
 
 def chunk_sections(sections: DataFrame, limit: int = MAX_SECTION_CHUNK) -> DataFrame:

@@ -94,24 +94,40 @@ def _sanitised(spark, sf):
     return L.sanitize_latex(docs)
 
 
+# Greedy packing, one paragraph at a time.
+_CHUNKS_SQL = f"""{_SECTIONS.replace('with ', 'with recursive ', 1)}, sec as (select doc_id, section_no, title, {_PARAGRAPHS} as content from sections),
+ par as (select doc_id, section_no, title, length(content) as total, list_filter(string_split(content, concat(chr(10), chr(10))), lambda x: true) as ps from sec),
+ walk as (select doc_id, section_no, title, total, ps, 1 as i, 1 as part, length(ps[1]) as size from par
+   union all select doc_id, section_no, title, total, ps, i + 1, case when total > 150 and size + length(ps[i + 1]) + 2 > 150 then part + 1 else part end,
+   case when total > 150 and size + length(ps[i + 1]) + 2 > 150 then length(ps[i + 1]) else size + 2 + length(ps[i + 1]) end from walk where i < len(ps)),
+ packed as (select doc_id, section_no, title, part, string_agg(ps[i], concat(chr(10), chr(10)) order by i) as content from walk group by all),
+ chunks as (select doc_id, section_no, part, case when max(part) over (partition by doc_id, section_no) > 1 then concat(title, ' (Part ', part, ')') else title end as title,
+  trim(content) as content from packed)"""
+
+
+def _preamble(style: str) -> str:
+    return "'" + "\n".join(L.PREAMBLES[style]) + "\n" + "'"
+
+
+# The one repair these texts need: a section Abstract becomes the environment, next to what follows.
+_LATEX_SQL = f"""{_CHUNKS_SQL}, pieces as (
+  select doc_id, section_no, part, title, replace(replace(replace(replace(content, '&', '\\&'), '%', '\\%'), '#', '\\#'), '_', '\\_') as text from chunks),
+ bodies as (select doc_id, rtrim(string_agg(case when title = 'Abstract'
+    then concat('\\begin{{abstract}}', chr(10), text, chr(10), '\\end{{abstract}}')
+    else concat('\\section{{', title, '}}', chr(10), chr(10), text, chr(10), chr(10)) end, '' order by section_no, part), chr(10)) as body
+  from pieces group by doc_id),
+ latex as (select doc_id, case doc_id % 3 when 0 then 'ieee' when 1 then 'apa7' else 'other' end as style,
+   concat(case doc_id % 3 when 0 then {_preamble('ieee')} when 1 then {_preamble('apa7')} else {_preamble('default')} end,
+   chr(10), '\\begin{{document}}', chr(10), chr(10), body, chr(10), chr(10), '\\end{{document}}', chr(10)) as latex from bodies)"""
+
+
 QUERIES = {
     "split_sections": (_sections, f"{_SECTIONS} select doc_id, section_no, title, content from sections"),
     "split_sections_documents": (
         lambda spark, sf: L.split_sections(doc_lines(spark, sf)),
         _SECTIONS.replace(MANUSCRIPT_LINES, DOC_LINES) + " select doc_id, section_no, title, content from sections",
     ),
-    "chunk_sections": (
-        _chunks,
-        # Greedy packing, one paragraph at a time.
-        f"""{_SECTIONS.replace('with ', 'with recursive ', 1)}, sec as (select doc_id, section_no, title, {_PARAGRAPHS} as content from sections),
- par as (select doc_id, section_no, title, length(content) as total, list_filter(string_split(content, concat(chr(10), chr(10))), lambda x: true) as ps from sec),
- walk as (select doc_id, section_no, title, total, ps, 1 as i, 1 as part, length(ps[1]) as size from par
-   union all select doc_id, section_no, title, total, ps, i + 1, case when total > 150 and size + length(ps[i + 1]) + 2 > 150 then part + 1 else part end,
-   case when total > 150 and size + length(ps[i + 1]) + 2 > 150 then length(ps[i + 1]) else size + 2 + length(ps[i + 1]) end from walk where i < len(ps)),
- packed as (select doc_id, section_no, title, part, string_agg(ps[i], concat(chr(10), chr(10)) order by i) as content from walk group by all)
- select doc_id, section_no, part, case when max(part) over (partition by doc_id, section_no) > 1 then concat(title, ' (Part ', part, ')') else title end as title,
-  trim(content) as content from packed""",
-    ),
+    "chunk_sections": (_chunks, f"{_CHUNKS_SQL} select * from chunks"),
     "chunk_guideline": (
         _guideline,
         f"""with recursive par as (select doc_id, length(replace(text, chr(10), concat(chr(10), chr(10)))) as total, string_split(text, chr(10)) as ps from documents),
@@ -136,7 +152,7 @@ QUERIES = {
         ),
         "select page_id, concat('\\section{', url, '}', chr(10), chr(10), replace(replace(replace(replace(html, '&', '\\&'), '%', '\\%'), '#', '\\#'), '_', '\\_')) as latex from pages",
     ),
-    "assemble_latex": (_latex, None),
+    "assemble_latex": (_latex, f"{_LATEX_SQL} select doc_id, style, latex from latex"),
     "sanitize_latex": (
         _sanitised,
         "select doc_id, concat('\\documentclass{IEEEtran}', chr(10), '\\usepackage{cite}', chr(10), chr(10), '\\usepackage{extra}', chr(10), chr(10), "
@@ -144,8 +160,9 @@ QUERIES = {
         "chr(10), '\\end{document}') as latex from documents",
     ),
     "latex_outline": (
-        lambda spark, sf: L.latex_outline(_latex(spark, sf)).groupBy("doc_id", "title", "level").agg(F.count(F.lit(1)).alias("n")),
-        None,
+        lambda spark, sf: L.latex_outline(_latex(spark, sf)),
+        f"""{_LATEX_SQL}, cut as (select doc_id, unnest(string_split(latex, chr(10))) as row, generate_subscripts(string_split(latex, chr(10)), 1) as line from latex)
+ select doc_id, regexp_extract(row, '^\\\\section\\{{([^}}]+)\\}}', 1) as title, 1 as level, cast(line as int) as line from cut where starts_with(row, '\\section{{')""",
     ),
     "export_text": (
         lambda spark, sf: export_text(doc_elements(spark, sf)),
