@@ -405,7 +405,7 @@ def fit(
         for n, kind in ((max(1, math.isqrt(min(tasks, high - low))), "<f4"), (1, "<f8")):
             trained = trained.repartition(n).mapInArrow(total(kind), schema)
         sums = trained.collect()
-        shared.unpersist()
+        shared.destroy()  # also the driver's copy: the next wave has its own
         if not (seen := sum(r.weight for r in sums)):
             return model, state
         found = np.frombuffer(sums[0].sums)
