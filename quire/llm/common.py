@@ -108,7 +108,8 @@ def labelled_sample(
     """(doc_id, text, label) of at most ``rows`` labelled documents, chosen by a hash of the id.
 
     The ids are chosen before texts are read; ``rows`` bounds what is broadcast.  Labels of one
-    id that disagree count as the smallest; rows without an id or a label are left out.
+    id that disagree count as the smallest; rows without an id or a label are left out.  Of rows
+    that repeat an id the smallest text counts, so ``rows`` bounds the sample too.
     Ids are counted first, so that only about twice ``rows`` of them meet in one place.
     """
     ids = labels.select(F.col("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
@@ -118,7 +119,8 @@ def labelled_sample(
     most = F.lit(low_keys(rows, ids.count()))
     chosen = ids.withColumn("key", key_of("doc_id")).filter(F.col("key") < most)
     chosen = chosen.orderBy("key", "doc_id").limit(rows).drop("key")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:

@@ -60,3 +60,12 @@ def test_same_result_for_any_partitioning_and_no_labels(spark, model):
     assert {r.score for r in score_quality(docs, none).collect()} == {0.5}
     twice = labels.union(labels.limit(3))
     assert labelled_sample(docs, twice, 100).count() == 40
+
+
+def test_samples_are_bounded_in_rows(spark):
+    from quire.llm.common import labelled_sample
+
+    docs = spark.range(20_000).selectExpr("id % 7 as doc_id", "concat('text ', id % 3) as text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, 5).collect()
+    assert len(got) == 5 and {(r.text, r.label) for r in got} == {("text 0", r.doc_id % 2) for r in got}
