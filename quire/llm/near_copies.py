@@ -8,9 +8,10 @@ documents, so that unlike documents seldom share one and work stays nearly in pr
 
 Documents of a shared block are candidates if 64 further bits of theirs are close too; what is
 linked is then decided by the shingles themselves.  A block value that many documents share does
-not give all pairs: its documents meet the smallest of them, and the smallest of those whose
-further bits begin alike.  Candidates are verified in two rounds: first one for each document,
-then those alone that would join components not joined yet, which loses no component.
+not give all pairs at first: its documents meet the smallest of them, and the smallest of those
+whose further bits begin alike.  What these leave in different components is then compared whole,
+chunk by chunk.  Candidates are verified in two rounds each: first one for each document, then
+those alone that would join components not joined yet, which loses no component.
 
 Words are lower-cased in A-Z.  A text of fewer words than a shingle is one shingle; texts without
 words (null and empty ones) are copies of each other.  Equal sets have equal fingerprints and
@@ -22,17 +23,26 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, map_batches
+from quire.llm.common import bound_batches, cut, map_batches
 from quire.llm.simhash import components
 
 SHINGLE = 5
 SEED = 42
 SKETCH = 64
+#: Nodes of a block value that give all their pairs at once.
+PAIRED = 32
+#: Nodes of a chunk of a larger one.
+CHUNK = 256
+#: Rows of a list of block values or nodes that is small enough to be broadcast.
+LISTED = 100_000
 
 
 @dataclass(frozen=True)
@@ -50,11 +60,20 @@ def plan_blocks(documents: int, similarity: float = 0.8, recall: float = 0.95) -
     A bit of two sets of cosine c differs with probability arccos(c) / pi, where c is 2J / (1 + J)
     for sets of one size and Jaccard similarity J.
     """
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    differ = _differ(similarity)
     width = max(8, math.ceil(math.log2(max(documents, 1))) - 1)
     count = math.ceil(math.log(1 - recall) / math.log1p(-((1 - differ) ** width)))
-    near = SKETCH * differ + 3.5 * math.sqrt(SKETCH * differ * (1 - differ))
-    return Blocks(count, width, math.ceil(near))
+    return Blocks(count, width, _reach(SKETCH, similarity))
+
+
+def _differ(similarity: float) -> float:
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _reach(bits: int, similarity: float) -> int:
+    """How many of so many bits a pair at the bound differs in, hardly ever more."""
+    differ = _differ(similarity)
+    return math.ceil(bits * differ + 3.5 * math.sqrt(bits * differ * (1 - differ)))
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -125,7 +144,7 @@ def text_key(text_col: str) -> Column:
     return F.xxhash64(text_col).alias("text_key")
 
 
-def candidates(nodes: DataFrame, near: int, paired: int = 32) -> DataFrame:
+def candidates(nodes: DataFrame, near: int, paired: int = PAIRED) -> DataFrame:
     """(a, b) with a < b of nodes (node, sketch, parts) that share a block and have close sketches.
 
     Blocks of up to ``paired`` nodes give all their close pairs, larger ones pairs with their
@@ -152,6 +171,87 @@ def _close(a: Column, b: Column, near: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= near
 
 
+def unpaired(
+    nodes: DataFrame, found: DataFrame, blocks: Blocks, similarity: float, paired: int = PAIRED, chunk: int = CHUNK
+) -> DataFrame:
+    """(a, b) with a < b: all close pairs of larger blocks whose nodes (node, root) of ``found`` keep apart.
+
+    A block is dealt into chunks of about ``chunk`` nodes, those of a large component by
+    themselves, and every chunk meets every other, but not one of the same component.  A block
+    that is one component is left out.  Sketches that are close are compared in more bits.
+    """
+    rows = nodes.select(F.explode("parts").alias("part"), "node", "sketch", _more_bits(blocks).alias("bits"))
+    big = cut(rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > paired).select("part"))
+    if big.count() <= LISTED:
+        big = F.broadcast(big)
+    large = rows.join(big, "part").join(found, "node", "left")
+    large = large.select("part", "node", "sketch", "bits", F.coalesce("root", "node").alias("root"))
+    apart = large.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    large = cut(large.join(apart.select("part"), "part"))
+
+    share = large.groupBy("part", "root").agg(F.count(F.lit(1)).alias("alike"))
+    size = share.groupBy("part").agg(F.sum("alike").alias("n"))
+    dealt = large.join(share, ["part", "root"]).join(size, "part")
+    own = F.col("alike") >= chunk
+    only = F.when(own, F.col("root"))
+    place = F.when(own, F.pmod(F.xxhash64("node"), F.ceil(F.col("alike") / chunk))).otherwise(
+        F.pmod(F.xxhash64("root"), F.ceil(F.col("n") / chunk))
+    )
+    dealt = dealt.select("part", only.alias("only"), place.alias("place"), F.struct("node", "sketch", "root", "bits").alias("m"))
+    chunks = cut(dealt.groupBy("part", "only", "place").agg(F.collect_list("m").alias("m")))
+    chunks = chunks.withColumn("no", F.monotonically_increasing_id())
+
+    x, y = (chunks.select("part", F.col("no").alias(f"{e}no"), F.col("only").alias(f"{e}only")) for e in "xy")
+    meet = x.join(y, "part").filter((F.col("xno") <= F.col("yno")) & ~F.coalesce(F.col("xonly") == F.col("yonly"), F.lit(False)))
+    meet = meet.select("xno", "yno")
+    for e in "xy":
+        members = [F.col(f"m.{n}").alias(e + n) for n in ("node", "sketch", "root")]
+        meet = meet.join(chunks.select(F.col("no").alias(f"{e}no"), *members, F.flatten("m.bits").alias(f"{e}bits")), f"{e}no")
+    return _close_members(meet, blocks, similarity).distinct()
+
+
+#: Words of a node beside its sketch, two blocks' bits each.
+_WORDS = 8
+
+
+def _more_bits(blocks: Blocks) -> Column:
+    def own(i: int) -> Column:
+        return F.col("parts")[i].bitwiseAND(F.lit((1 << blocks.width) - 1))
+
+    words = [F.shiftleft(own(2 * i), 32).bitwiseOR(own(2 * i + 1)) for i in range(min(_WORDS, blocks.count // 2))]
+    return F.array(*words).cast("array<bigint>")
+
+
+def _close_members(meet: DataFrame, blocks: Blocks, similarity: float) -> DataFrame:
+    """The close pairs between the members of each row's two chunks that are of different components."""
+    near, words = blocks.near, min(_WORDS, blocks.count // 2)
+    reach = _reach(SKETCH + 2 * words * blocks.width, similarity)
+    bound_batches(meet.sparkSession)
+
+    def pairs(row: dict[str, np.ndarray], same: bool) -> tuple[np.ndarray, np.ndarray]:
+        bits = np.bitwise_count(row["xsketch"][:, None] ^ row["ysketch"])
+        close = (bits <= near) & (row["xroot"][:, None] != row["yroot"])
+        i, j = np.nonzero(np.triu(close) if same else close)
+        if words:
+            xs, ys, kept = row["xbits"].reshape(-1, words), row["ybits"].reshape(-1, words), np.empty(len(i), dtype=bool)
+            for at in range(0, len(i), 65_536):
+                a, b = i[at : at + 65_536], j[at : at + 65_536]
+                kept[at : at + 65_536] = np.bitwise_count(xs[a] ^ ys[b]).sum(1, dtype=np.int64) + bits[a, b] <= reach
+            i, j = i[kept], j[kept]
+        a, b = row["xnode"][i], row["ynode"][j]
+        return np.minimum(a, b), np.maximum(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {n: batch.column(n)[at] for n in batch.schema.names}
+                same = row["xno"] == row["yno"]
+                lists = {n: v.values.to_numpy().view(np.uint64) if n[1:] in ("sketch", "bits") else v.values.to_numpy() for n, v in row.items() if n[1:] != "no"}
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pairs(lists, same)], ["a", "b"])
+
+    return meet.mapInArrow(run, "a bigint, b bigint")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose sets (node, shingles) are similar enough.
 
@@ -165,29 +265,46 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(common >= F.lit(similarity) * every).select("a", "b")
 
 
-def roots(docs: DataFrame, prints: DataFrame, blocks: Blocks, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """(node, root) of every node that has a near copy."""
-    nodes = prints.groupBy("node").agg(F.min(F.struct("sketch", "parts")).alias("p")).select("node", "p.*")
-    pairs = cut(candidates(nodes, blocks.near))
+def shingle_sets(docs: DataFrame, prints: DataFrame, pairs: DataFrame, id_col: str, text_col: str, few: bool = False) -> DataFrame:
+    """(node, shingles) of every node of the pairs; if they may be ``few``, texts of others stay where they are."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     found = prints.join(wanted, "node").groupBy("node").agg(F.min(F.struct(*_row(prints, id_col, F.col("text_key")))).alias("row"))
     names = [f"_{n}" for n in ROW]
-    texts = docs.select(*_row(docs, id_col, text_key(text_col), names), F.col(text_col).alias("text"))
-    texts = texts.join(found.select("node", *[F.col(f"row.{r}").alias(n) for r, n in zip(ROW, names, strict=True)]), names)
+    found = found.select("node", *[F.col(f"row.{r}").alias(n) for r, n in zip(ROW, names, strict=True)])
+    if few:
+        found = cut(found)
+        found = F.broadcast(found) if found.count() <= LISTED else found
+    texts = docs.select(*_row(docs, id_col, text_key(text_col), names), F.col(text_col).alias("text")).join(found, names)
     texts = texts.dropDuplicates(names)  # by the keys of the join: no exchange more
 
     def start():
         return lambda ids, texts: (ids, [shingle_set(t).view(np.int64) for t in texts])
 
-    sets = map_batches(texts.select("node", "text"), "node bigint, shingles array<bigint>", start)
-    sets = cut(sets)
-    first = cut(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, similarity))
-    joined = components(first)
+    return cut(map_batches(texts.select("node", "text"), "node bigint, shingles array<bigint>", start))
+
+
+def joined(pairs: DataFrame, sets: DataFrame, similarity: float, found: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the components that ``found`` and those of the pairs that are similar enough make."""
+    links = cut(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, similarity))
+    if found is not None:
+        links = links.union(found.select(F.col("root").alias("a"), F.col("node").alias("b")))
+    now = components(links)
     ends = pairs
     for end in ("a", "b"):
-        ends = ends.join(joined.toDF(end, f"root_{end}"), end, "left")
+        ends = ends.join(now.toDF(end, f"root_{end}"), end, "left")
     rest = ends.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    return components(first.union(cut(verified(rest, sets, similarity))))
+    return components(links.union(cut(verified(rest, sets, similarity))))
+
+
+def roots(docs: DataFrame, prints: DataFrame, blocks: Blocks, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(node, root) of every node that has a near copy."""
+    nodes = cut(prints.groupBy("node").agg(F.min(F.struct("sketch", "parts")).alias("p")).select("node", "p.*"))
+    pairs = cut(candidates(nodes, blocks.near))
+    found = joined(pairs, shingle_sets(docs, prints, pairs, id_col, text_col), similarity)
+    more = cut(unpaired(nodes, found, blocks, similarity))
+    if more.isEmpty():
+        return found
+    return joined(more, shingle_sets(docs, prints, more, id_col, text_col, few=True), similarity, found)
 
 
 def drop_near_copies(

@@ -116,6 +116,49 @@ def test_candidates_of_shared_blocks(spark, paired):
         assert 0 < len(got) < len(want)
 
 
+@pytest.mark.parametrize("chunk", [4, 256])
+def test_large_blocks_give_every_pair_of_other_components(spark, chunk):
+    rng = random.Random(chunk)
+    rows = [(i, rng.getrandbits(7), [rng.randrange(3), 10 + rng.randrange(40)]) for i in range(150)]
+    root = {i: i // 40 * 40 for i in range(110)}  # the others have no link yet
+    nodes = spark.createDataFrame(rows, "node long, sketch long, parts array<long>")
+    found = spark.createDataFrame(list(root.items()), "node long, root long")
+    got = [tuple(r) for r in near_copies.unpaired(nodes, found, Blocks(1, 8, 2), 0.8, 32, chunk).collect()]
+    want = {
+        (a[0], b[0])
+        for a in rows
+        for b in rows
+        if a[0] < b[0] and a[2][0] == b[2][0] and (a[1] ^ b[1]).bit_count() <= 2 and root.get(a[0], a[0]) != root.get(b[0], b[0])
+    }
+    assert len(want) > 100 and set(got) == want and len(got) == len(want)
+
+
+def test_no_pair_of_a_large_block_is_lost(spark, monkeypatch):
+    """One block of one bit: only the smallest nodes of a value met the others before."""
+    rng = random.Random(8)
+    _, texts = corpus(rng)
+    blocks = Blocks(1, 1, 20)
+    monkeypatch.setattr(near_copies, "plan_blocks", lambda *_: blocks)
+    prints = [near_copies.long_fingerprint(shingle_set(t), 65) for t in texts]
+    sets = [brute_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            alike = len(a & b) >= 0.8 * len(a | b)
+            if a == b or (alike and prints[i][64] == prints[j][64] and (prints[i][:64] != prints[j][:64]).sum() <= blocks.near):
+                i, k = sorted((find(i), find(j)))
+                root[k] = i
+    got = drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = {i for i in range(len(texts)) if find(i) == i}
+    assert len(want) < len(texts) - 50 and {r.doc_id for r in got} == want
+
+
 def test_sets_equal_brute_force():
     rng = random.Random(3)
     for _ in range(200):
