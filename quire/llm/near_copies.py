@@ -7,11 +7,12 @@ all bits differs, and blocks are as many as make it agree in one of them with pr
 documents, so that unlike documents seldom share one and work stays nearly in proportion.
 
 Documents of a shared block are candidates if 64 further bits of theirs are close too; what is
-linked is then decided by the shingles themselves.  A block value that many documents share does
-not give all pairs at first: its documents meet the smallest of them, and the smallest of those
-whose further bits begin alike.  What these leave in different components is then compared whole,
-chunk by chunk.  Candidates are verified in two rounds each: first one for each document, then
-those alone that would join components not joined yet, which loses no component.
+linked is then decided by the shingles themselves.  At first each document is verified against
+its nearest candidate and the one of smallest name only.  Blocks whose candidates these links
+leave in different components are then compared whole, chunk by chunk: the sets of documents that
+are close in still more bits meet in one task for each two chunks, which gives no list of pairs
+but the links that join components, fewer than its documents.  So rows stay in proportion to the
+documents of a block, however many of its pairs are close, and no component is lost.
 
 Words are lower-cased in A-Z.  A text of fewer words than a shingle is one shingle; texts without
 words (null and empty ones) are copies of each other.  Equal sets have equal fingerprints and
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,27 +146,57 @@ def text_key(text_col: str) -> Column:
     return F.xxhash64(text_col).alias("text_key")
 
 
-def candidates(nodes: DataFrame, near: int, paired: int = PAIRED) -> DataFrame:
-    """(a, b) with a < b of nodes (node, sketch, parts) that share a block and have close sketches.
-
-    Blocks of up to ``paired`` nodes give all their close pairs, larger ones pairs with their
-    smallest node and with the smallest of each beginning of the sketch.
-    """
+def _members(nodes: DataFrame) -> tuple[DataFrame, Column]:
+    """(part, node, sketch, n) of the nodes that share a block, n of them, and their struct."""
     rows = nodes.select(F.explode("parts").alias("part"), "node", "sketch")
     sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = rows.join(sizes, "part")
+    return rows.join(sizes, "part"), F.struct("node", "sketch")
+
 
-    member = F.struct("node", "sketch")
+def close_groups(nodes: DataFrame, near: int, paired: int = PAIRED) -> DataFrame:
+    """(part, all): the nodes of each block of up to ``paired`` that have a close one there."""
+    shared, member = _members(nodes)
     small = shared.filter(F.col("n") <= paired).groupBy("part").agg(F.collect_list(member).alias("all"))
-    x = small.select("all", F.explode("all").alias("x"))
-    small = x.select(F.col("x.node").alias("a"), F.explode(F.filter("all", lambda y: (F.col("x.node") < y.node) & _close(F.col("x.sketch"), y.sketch, near))).alias("y"))
 
+    def other(x: Column) -> Column:
+        return F.exists("all", lambda y: (x.node != y.node) & _close(x.sketch, y.sketch, near))
+
+    return small.select("part", F.filter("all", other).alias("all")).filter(F.size("all") > 1)
+
+
+def close_pairs(nodes: DataFrame, groups: DataFrame, near: int, paired: int = PAIRED) -> DataFrame:
+    """(a, b, apart) with a < b of nodes (node, sketch, parts) that share a block; ``apart`` of their sketches' bits differ.
+
+    ``groups``, those of blocks of up to ``paired`` nodes, give all their close pairs, larger blocks
+    pairs with their smallest node and with the smallest of each beginning of the sketch.
+    """
+    x = groups.select("all", F.explode("all").alias("x"))
+    small = x.select("x", F.explode(F.filter("all", lambda y: (F.col("x.node") < y.node) & _close(F.col("x.sketch"), y.sketch, near))).alias("y"))
+
+    shared, member = _members(nodes)
     begin = F.explode(F.array(F.lit(-1).cast("bigint"), F.shiftrightunsigned("sketch", 58))).alias("begin")
     large = shared.filter(F.col("n") > paired).select("part", "node", "sketch", begin)
-    hubs = large.groupBy("part", "begin").agg(F.min(member).alias("hub"))
-    large = large.join(hubs, ["part", "begin"]).filter((F.col("hub.node") < F.col("node")) & _close(F.col("hub.sketch"), F.col("sketch"), near))
-    pairs = small.select("a", F.col("y.node").alias("b")).union(large.select(F.col("hub.node"), "node"))
-    return pairs.distinct()
+    hubs = large.groupBy("part", "begin").agg(F.min(member).alias("x"))
+    large = large.join(hubs, ["part", "begin"]).filter((F.col("x.node") < F.col("node")) & _close(F.col("x.sketch"), F.col("sketch"), near))
+    pairs = small.union(large.select("x", member.alias("y")))
+    apart = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch")))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), apart.alias("apart")).distinct()
+
+
+def candidates(nodes: DataFrame, near: int, paired: int = PAIRED) -> DataFrame:
+    """(a, b) of ``close_pairs``."""
+    return close_pairs(nodes, close_groups(nodes, near, paired), near, paired).select("a", "b")
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """(a, b): of the pairs (a, b, apart), each node's with its nearest and with its smallest other one."""
+    sides = F.array(
+        F.struct(F.col("a").alias("node"), F.col("b").alias("other"), "apart"),
+        F.struct(F.col("b").alias("node"), F.col("a").alias("other"), "apart"),
+    )
+    best = pairs.select(F.inline(sides)).groupBy("node").agg(F.min(F.struct("apart", "other")).alias("near"), F.min("other").alias("least"))
+    best = best.select("node", F.explode(F.array("near.other", "least")).alias("other"))
+    return best.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def _close(a: Column, b: Column, near: int) -> Column:
@@ -174,7 +206,13 @@ def _close(a: Column, b: Column, near: int) -> Column:
 def unpaired(
     nodes: DataFrame, found: DataFrame, blocks: Blocks, similarity: float, paired: int = PAIRED, chunk: int = CHUNK
 ) -> DataFrame:
-    """(a, b) with a < b: all close pairs of larger blocks whose nodes (node, root) of ``found`` keep apart.
+    """(a, b) with a < b: all close pairs of larger blocks whose nodes (node, root) of ``found`` keep apart."""
+    meet = meetings(large_blocks(nodes, found, blocks, paired, chunk))
+    return _close_members(meet, blocks, similarity).distinct()
+
+
+def large_blocks(nodes: DataFrame, found: DataFrame, blocks: Blocks, paired: int = PAIRED, chunk: int = CHUNK) -> DataFrame:
+    """(part, only, place, m): blocks of more than ``paired`` nodes that hold several components of ``found``, dealt.
 
     A block is dealt into chunks of about ``chunk`` nodes, those of a large component by
     themselves, and every chunk meets every other, but not one of the same component.  A block
@@ -197,7 +235,21 @@ def unpaired(
     place = F.when(own, F.pmod(F.xxhash64("node"), F.ceil(F.col("alike") / chunk))).otherwise(
         F.pmod(F.xxhash64("root"), F.ceil(F.col("n") / chunk))
     )
-    dealt = dealt.select("part", only.alias("only"), place.alias("place"), F.struct("node", "sketch", "root", "bits").alias("m"))
+    return dealt.select("part", only.alias("only"), place.alias("place"), F.struct("node", "sketch", "root", "bits").alias("m"))
+
+
+def small_blocks(nodes: DataFrame, groups: DataFrame, found: DataFrame, blocks: Blocks) -> DataFrame:
+    """(part, only, place, m) of ``groups`` that hold several components of ``found``, each one chunk."""
+    rows = groups.select("part", F.explode("all.node").alias("node")).join(found, "node", "left")
+    rows = rows.withColumn("root", F.coalesce("root", "node"))
+    apart = rows.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
+    rows = rows.join(apart.select("part"), "part").join(nodes.select("node", "sketch", _more_bits(blocks).alias("bits")), "node")
+    none, member = F.lit(None).cast("bigint").alias("only"), F.struct("node", "sketch", "root", "bits").alias("m")
+    return rows.select("part", none, F.lit(0).cast("bigint").alias("place"), member)
+
+
+def meetings(dealt: DataFrame) -> DataFrame:
+    """The members of every two chunks of a block, and of every one with itself, but not of one component."""
     chunks = cut(dealt.groupBy("part", "only", "place").agg(F.collect_list("m").alias("m")))
     chunks = chunks.withColumn("no", F.monotonically_increasing_id())
 
@@ -207,7 +259,7 @@ def unpaired(
     for e in "xy":
         members = [F.col(f"m.{n}").alias(e + n) for n in ("node", "sketch", "root")]
         meet = meet.join(chunks.select(F.col("no").alias(f"{e}no"), *members, F.flatten("m.bits").alias(f"{e}bits")), f"{e}no")
-    return _close_members(meet, blocks, similarity).distinct()
+    return meet
 
 
 #: Words of a node beside its sketch, two blocks' bits each.
@@ -222,8 +274,11 @@ def _more_bits(blocks: Blocks) -> Column:
     return F.array(*words).cast("array<bigint>")
 
 
-def _close_members(meet: DataFrame, blocks: Blocks, similarity: float) -> DataFrame:
-    """The close pairs between the members of each row's two chunks that are of different components."""
+def _close_members(meet: DataFrame, blocks: Blocks, similarity: float, pairs_of: bool = True) -> DataFrame:
+    """The close pairs between the members of each row's two chunks that are of different components.
+
+    Without ``pairs_of`` only the members that have such a pair, (xno, yno, node, root).
+    """
     near, words = blocks.near, min(_WORDS, blocks.count // 2)
     reach = _reach(SKETCH + 2 * words * blocks.width, similarity)
     bound_batches(meet.sparkSession)
@@ -238,18 +293,86 @@ def _close_members(meet: DataFrame, blocks: Blocks, similarity: float) -> DataFr
                 a, b = i[at : at + 65_536], j[at : at + 65_536]
                 kept[at : at + 65_536] = np.bitwise_count(xs[a] ^ ys[b]).sum(1, dtype=np.int64) + bits[a, b] <= reach
             i, j = i[kept], j[kept]
-        a, b = row["xnode"][i], row["ynode"][j]
-        return np.minimum(a, b), np.maximum(a, b)
+        return i, j
+
+    def out(row: dict[str, np.ndarray], xno: int, yno: int) -> list[np.ndarray]:
+        i, j = pairs(row, xno == yno)
+        if pairs_of:
+            a, b = row["xnode"][i], row["ynode"][j]
+            return [np.minimum(a, b), np.maximum(a, b)]
+        i, j = (np.union1d(i, j), i[:0]) if xno == yno else (np.unique(i), np.unique(j))
+        node, root = (np.concatenate([row["x" + n][i], row["y" + n][j]]) for n in ("node", "root"))
+        return [np.full(len(node), xno), np.full(len(node), yno), node, root]
+
+    names = ["a", "b"] if pairs_of else ["xno", "yno", "node", "root"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 row = {n: batch.column(n)[at] for n in batch.schema.names}
-                same = row["xno"] == row["yno"]
+                no = row["xno"].as_py(), row["yno"].as_py()
                 lists = {n: v.values.to_numpy().view(np.uint64) if n[1:] in ("sketch", "bits") else v.values.to_numpy() for n, v in row.items() if n[1:] != "no"}
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in pairs(lists, same)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out(lists, *no)], names)
+
+    return meet.mapInArrow(run, ", ".join(f"{n} bigint" for n in names))
+
+
+def links_of(sets: list[np.ndarray], root: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Places of similar sets of different components, as few as join what all such pairs would."""
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    shingle, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, wide = np.repeat(np.arange(len(sets)), size), often > 1
+    place = np.cumsum(wide) - 1  # of the shingles of several sets
+    kept = wide[column]
+    owner, column = owner[kept], place[column[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)), dtype=np.int64)
+    for low in range(0, int(wide.sum()), 4096):
+        a, b = np.searchsorted(column, (low, low + 4096))
+        has = np.zeros((len(sets), 4096), dtype=np.float32)
+        has[owner[a:b], column[a:b] - low] = 1
+        common += (has @ has.T).astype(np.int64)
+    alike = (common >= similarity * (size[:, None] + size - common)) & (root[:, None] != root)
+
+    names, at = np.unique(root, return_inverse=True)
+    up = list(range(len(names)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    links = []
+    for i, j in zip(*(p.tolist() for p in np.nonzero(np.triu(alike))), strict=True):
+        x, y = top(at[i]), top(at[j])
+        if x != y:
+            up[x] = y
+            links.append((i, j))
+            if len(links) == len(names) - 1:
+                break
+    return links
+
+
+def linked(members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between the members (xno, yno, node, root) of each meeting whose sets (node, shingles) are similar.
+
+    A meeting is one group of at most two chunks.
+    """
+
+    def run(meeting: pa.Table) -> pa.Table:
+        meeting = meeting.combine_chunks()
+        node, root = (meeting.column(n).to_numpy() for n in ("node", "root"))
+        shingles = meeting.column("shingles")
+        flat = pc.list_flatten(shingles).to_numpy()
+        ends = np.cumsum(pc.list_value_length(shingles).to_numpy())
+        ij = links_of(np.split(flat, ends[:-1]), root, similarity)
+        a, b = (node[[p[e] for p in ij]] if ij else node[:0] for e in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return meet.mapInArrow(run, "a bigint, b bigint")
+    rows = members.join(sets, "node").select("xno", "yno", "node", "root", "shingles")
+    return rows.groupBy("xno", "yno").applyInArrow(run, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -265,10 +388,9 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(common >= F.lit(similarity) * every).select("a", "b")
 
 
-def shingle_sets(docs: DataFrame, prints: DataFrame, pairs: DataFrame, id_col: str, text_col: str, few: bool = False) -> DataFrame:
-    """(node, shingles) of every node of the pairs; if they may be ``few``, texts of others stay where they are."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    found = prints.join(wanted, "node").groupBy("node").agg(F.min(F.struct(*_row(prints, id_col, F.col("text_key")))).alias("row"))
+def shingle_sets(docs: DataFrame, prints: DataFrame, wanted: DataFrame, id_col: str, text_col: str, few: bool = False) -> DataFrame:
+    """(node, shingles) of every node of ``wanted``; if they may be ``few``, texts of others stay where they are."""
+    found = prints.join(wanted.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct(*_row(prints, id_col, F.col("text_key")))).alias("row"))
     names = [f"_{n}" for n in ROW]
     found = found.select("node", *[F.col(f"row.{r}").alias(n) for r, n in zip(ROW, names, strict=True)])
     if few:
@@ -283,28 +405,20 @@ def shingle_sets(docs: DataFrame, prints: DataFrame, pairs: DataFrame, id_col: s
     return cut(map_batches(texts.select("node", "text"), "node bigint, shingles array<bigint>", start))
 
 
-def joined(pairs: DataFrame, sets: DataFrame, similarity: float, found: DataFrame | None = None) -> DataFrame:
-    """(node, root) of the components that ``found`` and those of the pairs that are similar enough make."""
-    links = cut(verified(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, similarity))
-    if found is not None:
-        links = links.union(found.select(F.col("root").alias("a"), F.col("node").alias("b")))
-    now = components(links)
-    ends = pairs
-    for end in ("a", "b"):
-        ends = ends.join(now.toDF(end, f"root_{end}"), end, "left")
-    rest = ends.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    return components(links.union(cut(verified(rest, sets, similarity))))
-
-
 def roots(docs: DataFrame, prints: DataFrame, blocks: Blocks, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """(node, root) of every node that has a near copy."""
     nodes = cut(prints.groupBy("node").agg(F.min(F.struct("sketch", "parts")).alias("p")).select("node", "p.*"))
-    pairs = cut(candidates(nodes, blocks.near))
-    found = joined(pairs, shingle_sets(docs, prints, pairs, id_col, text_col), similarity)
-    more = cut(unpaired(nodes, found, blocks, similarity))
-    if more.isEmpty():
+    groups = cut(close_groups(nodes, blocks.near))
+    pairs = cut(nearest(close_pairs(nodes, groups, blocks.near)))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    links = cut(verified(pairs, shingle_sets(docs, prints, wanted, id_col, text_col), similarity))
+    found = cut(components(links))
+    dealt = large_blocks(nodes, found, blocks).union(small_blocks(nodes, groups, found, blocks))
+    members = cut(_close_members(meetings(dealt), blocks, similarity, pairs_of=False))
+    if members.isEmpty():
         return found
-    return joined(more, shingle_sets(docs, prints, more, id_col, text_col, few=True), similarity, found)
+    more = linked(members, shingle_sets(docs, prints, members, id_col, text_col, few=True), similarity)
+    return components(cut(more).union(found.select(F.col("root"), F.col("node"))))
 
 
 def drop_near_copies(

@@ -166,3 +166,59 @@ def test_sets_equal_brute_force():
         want = sorted(near_copies.xxhash.xxh64_intdigest(s.encode(), 42) for s in brute_set(t))
         assert shingle_set(t).tolist() == want
     assert isinstance(plan_blocks(10), Blocks)
+
+
+def test_a_group_of_close_texts_is_verified_in_rows_of_its_size(spark, monkeypatch):
+    """Copies are similar to one text alone, but the fingerprints of nearly all their pairs are close."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)]
+    for k in range(300):
+        own = list(base)
+        own[5 + k % 50] = f"new{k}"
+        texts.append(" ".join(own))
+    rng.shuffle(texts)
+    monkeypatch.setattr(near_copies, "plan_blocks", lambda *_: Blocks(8, 4, 20))
+    counts, verified, linked = [], near_copies.verified, getattr(near_copies, "linked", None)
+
+    def counted(pairs, *rest):
+        counts.append(pairs.count())
+        return verified(pairs, *rest)
+
+    def counted_links(members, *rest):
+        links = linked(members, *rest)
+        meetings = members.select("xno", "yno").distinct().count()
+        assert members.count() <= 2 * near_copies.CHUNK * meetings
+        assert links.count() <= members.count()
+        return links
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    monkeypatch.setattr(near_copies, "linked", counted_links, raising=False)
+    got = drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    _, joined = near_pairs(dict(enumerate(texts)))
+    assert sum(counts) <= 2 * len(texts)
+    assert {r.doc_id for r in got} == {i for i, r in joined.items() if r == i} == {0}
+
+
+def test_links_join_what_all_similar_pairs_join():
+    rng = random.Random(4)
+    for _ in range(30):
+        sets = [near_copies.np.array(sorted(rng.sample(range(30), rng.randint(0, 6)))) for _ in range(40)]
+        root = near_copies.np.array([rng.randrange(25) for _ in sets])
+        up = list(range(25))
+
+        def top(i, up=up):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        links = near_copies.links_of([s.astype("i8") for s in sets], root, 0.5)
+        for i, j in links:
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            assert len(a & b) >= 0.5 * len(a | b) and top(root[i]) != top(root[j])
+            up[top(root[i])] = top(root[j])
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                a_, b_ = set(a.tolist()), set(b.tolist())
+                if len(a_ & b_) >= 0.5 * len(a_ | b_):
+                    assert top(root[i]) == top(root[j])
