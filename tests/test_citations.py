@@ -163,3 +163,27 @@ def test_a_paragraph_of_many_citations(spark):
     assert len(found) == 20_000 and {r.text for r in found if r.citation_type == "narrative"} == {"Smith (2001)"}
     for r in found[::1000]:
         assert text[r.start : r.end].startswith(r.text[:4])
+
+
+def test_reference_lines_are_gathered_without_a_buffer_per_entry(spark):
+    lines = [
+        (1, 4, "reference_entry", " 1. Smith J (1999) On "),
+        (1, 9, "reference_entry", "parts. J Parts 1(2): 3-4."),
+        (1, 7, "body", "not a reference"),
+        (1, 8, "reference_entry", "  "),
+        (1, 12, "reference_entry", "2. Chen L (2001) On delay."),
+        (2, 0, "reference_entry", "a line before any entry"),
+        (2, 1, "reference_entry", "Jones, A. (2000). On"),
+        (2, 2, "reference_entry", "suppliers and"),
+        (2, 3, "reference_entry", "parts."),
+    ]
+    rows = spark.createDataFrame(lines, "doc_id long, idx int, role string, content string")
+    merged = C.merge_reference_lines(rows)
+    assert merged.columns == ["doc_id", "ref_idx", "content", "n_lines", "text"]
+    assert sorted(map(tuple, merged.collect())) == [
+        (1, 4, " 1. Smith J (1999) On ", 2, "1. Smith J (1999) On parts. J Parts 1(2): 3-4."),
+        (1, 12, "2. Chen L (2001) On delay.", 1, "2. Chen L (2001) On delay."),
+        (2, 0, "a line before any entry", 1, "a line before any entry"),
+        (2, 1, "Jones, A. (2000). On", 3, "Jones, A. (2000). On suppliers and parts."),
+    ]
+    assert "Aggregate" not in merged._jdf.queryExecution().executedPlan().toString()
