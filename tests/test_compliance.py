@@ -3,6 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from quire.operators import compliance as V
+from quire.plans.catalog.citation_queries import citations_and_references, report_and_issues
 from quire.plans.compliance_inputs import tables
 from quire.sources.styles import builtin_style_specs
 from quire.sources.text import from_lines
@@ -54,3 +55,12 @@ def test_alone_and_together_agree(spark):
     )
     both = every.filter(F.col("category").isin("references", "page_layout"))
     assert sorted(map(repr, alone.collect())) == sorted(map(repr, both.collect()))
+
+
+def test_steps_after_the_matches_carry_no_plan_of_the_passes(spark):
+    found, issues = report_and_issues(spark, "/root/testdata/sf0.001")
+    for df in (found, issues):
+        plan = df._jdf.queryExecution().logical().toString()
+        assert "_section" not in plan and "regexp" not in plan  # columns of detection, patterns of references
+    citations, references = citations_and_references(spark, "/root/testdata/sf0.001")
+    assert found.groupBy().sum("total_citations", "total_references").collect() == [(citations.count(), references.count())]
