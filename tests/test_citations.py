@@ -6,8 +6,10 @@ from quire.functions import citation_text as T
 from quire.operators import citations as C
 from quire.operators import matching as J
 from quire.sources.exports import csl_json
+from quire.operators.structure import detect_structure
 from quire.operators.styles import every_style
 from quire.sources.styles import builtin_style_specs
+from quire.sources.text import from_lines
 
 
 def values(spark, build, inputs):
@@ -187,3 +189,25 @@ def test_reference_lines_are_gathered_without_a_buffer_per_entry(spark):
         (2, 1, "Jones, A. (2000). On", 3, "Jones, A. (2000). On suppliers and parts."),
     ]
     assert "Aggregate" not in merged._jdf.queryExecution().executedPlan().toString()
+
+
+def test_format_issues_need_only_documents_that_join_names(spark):
+    body = {
+        1: ["It was seen (Doe and Roe, 2001).", "Doe (2002) agrees.", "Lee & Kim (2003) do not."],
+        2: ["Doe (2002) agrees.", "This and that.", "As before (1)."],
+        3: ["It was seen (Doe a​nd Roe, 2001; Lee & Kim, 2004).", "x (1, 2) and (3)"],
+        4: ["Doe &\tRoe (2001), and so on (Lee, 2003)."],
+    }
+    rows = [(d, i, t) for d, ts in body.items() for i, t in enumerate(["A Title", "Abstract", "Introduction", *ts])]
+    elements = from_lines(spark.createDataFrame(rows, "doc_id long, idx int, content string"))
+    kept = C.joining_documents(elements)
+    assert {r.doc_id for r in kept.select("doc_id").distinct().collect()} == {1, 3, 4}
+    specs = builtin_style_specs(spark)
+    styles = every_style(elements, ["apa7", "mla", "ieee"])
+
+    def issues(citations):
+        return sorted(map(repr, J.format_issues(citations, specs, styles).collect()))
+
+    want = issues(C.extract_citations(detect_structure(elements)))
+    assert len(want) > 1 and any("doc_id=3" in w for w in want)
+    assert issues(C.extract_joining(detect_structure(kept))) == want
