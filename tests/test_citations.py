@@ -211,3 +211,91 @@ def test_format_issues_need_only_documents_that_join_names(spark):
     want = issues(C.extract_citations(detect_structure(elements)))
     assert len(want) > 1 and any("doc_id=3" in w for w in want)
     assert issues(C.extract_joining(detect_structure(kept))) == want
+
+
+def _matching_inputs(spark):
+    """Citations and references of many kinds: a number twice, no name, names with and without an equal one."""
+    rng = random.Random(5)
+    names = ["smith", "smithe", "Lee", "lee et al.", "", None, "okafor", "okafors", "chen"]
+    cits, refs = [], []
+    for d in range(6):
+        for i in range(25):
+            text, author, year = rng.choice([("(1)", None, None), ("(2, 9)", None, None), ("()", None, None), ("x", rng.choice(names), str(2000 + rng.randint(0, 2)))])
+            cits.append((d, i // 2, i % 2, text, "parenthetical", author, year))
+        for i in range(12):
+            authors = rng.choice([[], [(rng.choice(names), None)]])
+            number = rng.choice([None, 1, 2, 3])
+            refs.append((d, 100 + i, rng.choice(["2. x", "x"]), (number, authors, rng.choice([None, "2000", "2001"]))))
+    refs.append((9, 0, "1. only references", (1, [], None)))
+    cits.append((8, 0, 0, "(1)", "parenthetical", None, None))
+    c = spark.createDataFrame(cits, "doc_id long, idx int, cit_no int, text string, citation_type string, author string, year string")
+    ref = "struct<original_number:int,authors:array<struct<family:string,given:string>>,year:string>"
+    return cits, refs, c, spark.createDataFrame(refs, f"doc_id long, ref_idx int, content string, ref {ref}")
+
+
+def _matches(cits, refs, similar):
+    """The matches by the definition: number by number and name by name."""
+    out = []
+    for d in {c[0] for c in cits}:
+        mine = [c for c in cits if c[0] == d]
+        listed = [r for r in refs if r[0] == d]
+        bare = sum(c[6] is None for c in mine)
+        for _, i, k, text, _, author, year in mine:
+            if year is None and bare > len(mine) - bare:
+                for n in T_NUMBERS[text] or [None]:
+                    hits = [i for _, i, s, (o, _, _) in listed if n is not None and (o if o is not None else 2 if s[0] == "2" else None) == n]
+                    out.append((d, i, k, text, n, max(hits, default=None), "number" if hits else None))
+                continue
+            named = [(r[3][1][0][0].lower(), r[1]) for r in listed if r[3][1] and r[3][1][0][0] is not None and r[3][2] == year]
+            a = author.lower() if author and year else None
+            exact = [i for f, i in named if f == a]
+            near = [i for f, i in named if a is not None and similar(a, f)]
+            hit = min(exact or near, default=None)
+            out.append((d, i, k, text, None, hit, "exact" if exact else "fuzzy" if near else None))
+    return sorted(map(repr, out))
+
+
+T_NUMBERS = {"(1)": [1], "(2, 9)": [2, 9], "()": [], "x": []}
+
+
+def test_matches_meet_without_joining_every_citation(spark):
+    cits, refs, c, r = _matching_inputs(spark)
+    ways = {"ratio": lambda a, f: f != "" and indel(a, f) >= 85, "substring": lambda a, f: f != "" and (a in f or f in a)}
+    for mode, similar in ways.items():
+        got = J.match_citations(c, r, mode)
+        assert sorted(repr(tuple(x)) for x in got.collect()) == _matches(cits, refs, similar), mode
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Union")]  # what all citations pass; names without an equal one are joined below
+    assert "Join" not in above and "Exchange" not in above
+    matches = J.match_citations(c, r)
+    used = {(m.doc_id, m.ref_idx) for m in matches.collect() if m.ref_idx is not None}
+    every = {(x[0], x[1]) for x in refs}
+    assert {(x.doc_id, x.ref_idx) for x in J.cited_references(r, matches).collect()} == used
+    assert {(x.doc_id, x.ref_idx) for x in J.uncited_references(r, matches).collect()} == every - used
+    plans = J.uncited_references(r, matches)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plans
+
+
+def test_marks_are_the_citations_and_primary_references(spark):
+    lines = [
+        ("body", "As Smith (2020) and (Doe & Roe, 2019; Lee, 2018a) say (1, 4–6), see (Fig. 1)."),
+        ("body", "No citation (here)."),
+        ("abstract_body", "Only (3)."),
+        ("title", "Smith (2020)"),
+        ("reference_entry", "Smith, J. (2020). On"),
+        ("reference_entry", "parts. J Parts, 1(2), 3-4."),
+        ("reference_entry", "   "),
+        ("reference_entry", "2. x"),
+        ("reference_entry", None),
+        ("body", None),
+    ]
+    rows = elements(spark, [(d, i, "paragraph", role, s) for d in (1, 2) for i, (role, s) in enumerate(lines[d - 1 :])])
+    marks = C.citation_marks(rows)
+    names = ["doc_id", "idx", "cit_no", "text", "citation_type", "author", "year"]
+    assert C.citations_in(marks).columns == names
+    want = C.extract_citations(rows).select(*names)
+    assert want.count() == 6 and sorted(map(repr, C.citations_in(marks).collect())) == sorted(map(repr, want.collect()))
+    refs = C.primary_references(C.references_of(rows))
+    kept = ["doc_id", "ref_idx", "content", "ref.year", "ref.original_number", F.slice("ref.authors", 1, 1).alias("a")]
+    got = C.references_in(marks).select(*kept).collect()
+    assert len(got) == 4 and sorted(map(repr, got)) == sorted(map(repr, refs.select(*kept).collect()))
